@@ -163,6 +163,13 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     return out.select(F.col("k").alias(key), known("class_id"), "class_size", "n_links", known("component_id"), F.coalesce(F.col("k") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` (all its columns) with one row of each group of linked texts, the one with the smallest key; rows with a null key stay."""
+    kept = jaccard_classes(docs, key, text, **options).where(F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("_k")).distinct()
+    out = docs.where(F.col(key).isNotNull()).join(kept, docs[key] == F.col("_k"), "left_semi").dropDuplicates([key])
+    return out.unionByName(docs.where(F.col(key).isNull()))
+
+
 def op4_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 

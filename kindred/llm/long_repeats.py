@@ -127,7 +127,7 @@ def _same_row(rows: DataFrame, chosen: DataFrame, *also: str) -> DataFrame:
 
 
 def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """One row per row of ``docs``: key, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text``.
+    """One row per row of ``docs``: key, ``n_words``, ``n_removed``, ``kept_sha256``, ``kept_text`` and ``text_hash`` (of the input).
 
     Every word in a window of ``window`` words whose words also start anywhere else (in the same text
     too) is removed, all copies alike; windows are judged on the input. ``kept_text`` is the kept words
@@ -228,16 +228,30 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     # texts that are alike are removed whole; a copy is any text of the same words
     by_sha = same.where("copies > 1").select("sha", F.lit(-1).cast("long").alias("n_removed"), F.lit(_sha(b"")).alias("kept_sha256"), F.lit("").alias("kept_text"))
     by_sha = by_sha.unionByName(trimmed.join(same.where("copies = 1").select("sha"), "sha"))
-    out = named.select("k", "n_words", "sha").join(by_sha, "sha", "left")
+    out = named.select("k", "d", "n_words", "sha").join(by_sha, "sha", "left")
     return out.select(
         F.col("k").alias(key), "n_words",
         F.when(F.col("n_removed") < 0, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept_text",
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept_text", F.col("d").alias("text_hash"),
     )
 
 
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars", window: int = WINDOW) -> DataFrame:
+    """``docs`` (all its columns) with repeated words cut from the texts; rows left without a word go.
+
+    A text that loses words becomes its kept words joined by a space, and ``n_chars``, if there is such a
+    column, its new length; all other rows stay as they are.
+    """
+    cut = repeated_words(docs, key, text, window).where("kept_text is not null").groupBy(F.col(key).alias("_k"), F.col("text_hash").alias("_d")).agg(F.max("kept_text").alias("_t"))
+    out = docs.join(cut, (F.xxhash64(docs[text]) == F.col("_d")) & docs[key].eqNullSafe(F.col("_k")), "left").where("_t is null or _t <> ''")
+    new = {text: F.coalesce(F.col("_t"), docs[text])}
+    if n_chars in docs.columns:
+        new[n_chars] = F.when(F.col("_t").isNotNull(), F.length("_t").cast(docs.schema[n_chars].dataType)).otherwise(docs[n_chars])
+    return out.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+
+
 def op10_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_words(table(spark, sf_dir, "documents")).drop("kept_text")
+    return repeated_words(table(spark, sf_dir, "documents")).drop("kept_text", "text_hash")
 
 
 #: DuckDB: every window as an array of words, counted over the whole corpus.
