@@ -1,4 +1,9 @@
 """All queries over the reference's operators, by name, with their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import inspect
+
+from kindred.plans import queries as _queries
+from kindred.plans.sql import ORACLES
+
+QUERIES = {name: f for name, f in vars(_queries).items() if inspect.isfunction(f) and f.__module__ == _queries.__name__ and not name.startswith("_")}
+__all__ = ["ORACLES", "QUERIES"]
