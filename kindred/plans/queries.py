@@ -45,28 +45,35 @@ def _topk(spark, sf_dir, distance, cols=("v",), k=10) -> DataFrame:
     return R.top_k(d, "d", k).select("q", "c", "rk", F.round("d", 6).alias("d"))
 
 
-qv, cv = F.col("q_v"), F.col("c_v")
-COSINE = V.cosine_distance(qv, cv, F.col("q_n"), F.col("c_n"))
+def _qc(column: str = "v"):
+    return F.col(f"q_{column}"), F.col(f"c_{column}")
+
+
+def _cosine():
+    return V.cosine_distance(*_qc(), *_qc("n"))
 
 
 def cosine_topk(spark, sf_dir):
-    return _topk(spark, sf_dir, COSINE, ("v", "n"))
+    return _topk(spark, sf_dir, _cosine(), ("v", "n"))
 
 
 def euclidean_topk(spark, sf_dir):
-    return _topk(spark, sf_dir, V.euclidean_distance(qv, cv))
+    return _topk(spark, sf_dir, V.euclidean_distance(*_qc()))
 
 
 def diagonal_topk(spark, sf_dir):
     w = [math.sqrt(x) for x in DIAGONAL]
+    qv, cv = _qc()
     return _topk(spark, sf_dir, V.euclidean_distance(V.weighted(qv, w), V.weighted(cv, w)))
 
 
 def projection_topk(spark, sf_dir):
+    qv, cv = _qc()
     return _topk(spark, sf_dir, F.abs(V.project(qv, DIRECTION) - V.project(cv, DIRECTION)))
 
 
 def low_rank_topk(spark, sf_dir):
+    qv, cv = _qc()
     return _topk(spark, sf_dir, V.euclidean_distance(V.project_many(qv, BLOCKS4), V.project_many(cv, BLOCKS4)))
 
 
@@ -105,7 +112,7 @@ def token_length_topk(spark, sf_dir):
 
 
 def _judged(spark, sf_dir) -> DataFrame:
-    return _pair_frame(_vectors(spark, sf_dir), "v", "n", "y", "label").select("q", "c", F.abs(F.col("q_y") - F.col("c_y")).alias("o"), COSINE.alias("m"), "q_label", "c_label")
+    return _pair_frame(_vectors(spark, sf_dir), "v", "n", "y", "label").select("q", "c", F.abs(F.col("q_y") - F.col("c_y")).alias("o"), _cosine().alias("m"), "q_label", "c_label")
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
