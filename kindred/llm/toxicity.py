@@ -6,7 +6,7 @@ of chance are left out; a logistic regression on the scaled features gives the s
 
 It is fitted on at most ``max_rows`` labelled rows (toxic ones up to a third of that first), taken by the
 smallest hashes of their keys: a bounded sample. Counting and feature sets stay on the executors; the driver
-gets counts of at most ``2**BITS`` features and the chosen features of the sample. Scoring is one pass
+gets the ``max_features`` clearest features and which of them each row of the sample has. Scoring is one pass
 over all texts against a table of ``2**BITS`` weights (4 MB), without a shuffle.
 """
 
@@ -23,7 +23,8 @@ from kindred.llm.tables import table
 from kindred.storage import staged
 
 BITS, ORDERS = 20, (3, 4, 5)
-MAX_ROWS = 12_000
+#: Bounds of the labelled sample and of the classifier's features (those whose ratio is clearest).
+MAX_ROWS, MAX_FEATURES = 12_000, 6_000
 REJECT = 0.7
 
 
@@ -65,25 +66,35 @@ def _groups(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
 
 
 def logistic(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, n_cols: int, ridge: float = 1.0, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression on triplets, by gradient steps of Barzilai-Borwein length."""
+    """L2-penalised logistic regression on triplets, by gradient steps of Barzilai-Borwein length that never raise the loss."""
     n = len(y)
-    w, g_old, w_old, step = np.zeros(n_cols + 1), None, None, 1e-3
+    w = np.zeros(n_cols + 1)
     w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
-    for _ in range(rounds):
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
         z = np.bincount(row, weights=x * w[col], minlength=n) + w[-1]
+        loss = float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * (w[:-1] @ w[:-1]))
         e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.append(np.bincount(col, weights=x * e[row], minlength=n_cols) + ridge * w[:-1], e.sum())
-        if g_old is not None:
-            s, d = w - w_old, g - g_old
-            step = float(np.clip((s @ s) / max(s @ d, 1e-12), 1e-6, 1.0)) if s @ d > 0 else 1e-4
-        if np.abs(g).max() < 1e-3:
+        return loss, np.append(np.bincount(col, weights=x * e[row], minlength=n_cols) + ridge * w[:-1], e.sum())
+
+    loss, g = at(w)
+    step = 1 / max(1.0, float(np.abs(g).sum()))
+    for _ in range(rounds):
+        new = w - step * g
+        new_loss, new_g = at(new)
+        if not new_loss <= loss - 1e-4 * step * (g @ g):  # too far: a shorter step from the same place
+            step /= 4
+            continue
+        s, d = new - w, new_g - g
+        done = loss - new_loss < 1e-7 * abs(loss)
+        w, loss, g = new, new_loss, new_g
+        step = float(s @ s / (s @ d)) if s @ d > 0 else step * 2
+        if done:
             break
-        w_old, g_old = w.copy(), g
-        w = w - step * g
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, clear: float = 3.0, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, clear: float = 3.0, ridge: float = 1.0, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, float]:
     """Weights (one for each hashed feature, ratio and coefficient in one) and the intercept.
 
     Rows with a null key, a null label or another label than 0 and 1 teach nothing; a key that has both
@@ -117,13 +128,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
         i = np.flatnonzero(n.sum(axis=0))
         yield pd.DataFrame({"i": i, "q": n[0, i], "p": n[1, i]})
 
-    counts = sets.mapInPandas(count, "i int, q long, p long").groupBy("i").agg(F.sum("q").alias("q"), F.sum("p").alias("p")).where("p + q >= 4").toPandas()
-    i, p, q = counts["i"].to_numpy(), counts["p"].to_numpy() + 1.0, counts["q"].to_numpy() + 1.0
+    counts = sets.mapInPandas(count, "i int, q long, p long").groupBy("i").agg(F.sum("q").alias("q"), F.sum("p").alias("p")).where("p + q >= 4")
+    counts = staged(counts.select("i", (F.col("p") + 1.0).alias("p"), (F.col("q") + 1.0).alias("q")), "counts")
+    total = counts.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
+    ratio = F.log((F.col("p") / F.lit(total["p"] or 1.0)) / (F.col("q") / F.lit(total["q"] or 1.0)))
+    z = F.abs(ratio) / F.sqrt(1 / F.col("p") + 1 / F.col("q"))
+    best = counts.select("i", ratio.alias("ratio"), z.alias("z")).where(F.col("z") >= clear).orderBy(F.desc("z"), "i").limit(max_features).collect()
+    i, ratio = np.array([r["i"] for r in best], dtype=np.int64), np.array([r["ratio"] for r in best])
     weights = np.zeros(1 << BITS, dtype=np.float32)
-    if len(i):
-        ratio = np.log((p / p.sum()) / (q / q.sum()))
-        keep = np.abs(ratio) / np.sqrt(1 / p + 1 / q) >= clear
-        i, ratio = i[keep], ratio[keep]
     number = np.full(1 << BITS, -1, dtype=np.int32)
     number[i] = np.arange(len(i))
 
@@ -138,8 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
         share = (y.sum() + 0.5) / (len(y) + 1)
         return weights, float(np.log(share / (1 - share)))
     cols = [np.frombuffer(b, dtype=np.int32) for b in chosen["f"]]
-    row, col = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols)
-    coef, bias = logistic(row, col, ratio[col], y, len(i), ridge)
+    row, col = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols]), np.concatenate(cols)
+    coef, bias = logistic(row, col, ratio[col].astype(np.float32), y, len(i), ridge)
     weights[i] = coef * ratio
     return weights, bias
 
