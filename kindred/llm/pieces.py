@@ -167,7 +167,7 @@ def _one_each(e: UnicodeError):
 _known: dict[str, bytes] = {}
 
 
-def encode_texts(model: PieceModel, texts: list[str], known: dict[str, bytes] | None = None, most_known: int = 300_000) -> list[bytes]:
+def encode_texts(model: PieceModel, texts: list[str], known: dict[str, bytes] | None = None, most_known: int = 150_000) -> list[bytes]:
     """Ids of whole texts with begin and end. known: words encoded before; it is emptied when it outgrows most_known."""
     known = _known if known is None else known
     if len(known) > most_known:
