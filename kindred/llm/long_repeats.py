@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -116,61 +117,55 @@ def _batches(pdf: pd.DataFrame, most: int = 1 << 20) -> Iterator[tuple[pd.DataFr
         yield pdf.iloc[i:j], Words(items[i:j])
 
 
-def _same_row(rows: DataFrame, chosen: DataFrame, *also: str) -> DataFrame:
-    """Rows of which text hash, key (null as well) and the columns of also are in chosen, with its other columns."""
-    c = chosen.select(*[F.col(x).alias(f"_{x}") for x in chosen.columns])
-    on = (F.col("d") == F.col("_d")) & F.col("k").eqNullSafe(F.col("_k"))
-    for x in also:
-        on &= F.col(x) == F.col(f"_{x}")
-    extra = [F.col(f"_{x}").alias(x) for x in chosen.columns if x not in rows.columns]
-    return rows.join(c, on).select(*rows.columns, *extra)
+@dataclass(frozen=True)
+class Found:
+    """``named``: rid, k, d, n_words, sha per row; ``whole``: sha of texts that other rows equal; ``held``: rid, t, runs, alone; ``hits``: rid, at (repeated windows)."""
 
+    named: DataFrame
+    whole: DataFrame
+    held: DataFrame
+    hits: DataFrame
 
-def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """One row per row of ``docs``: key, ``n_words``, ``n_removed``, ``kept_sha256``, ``kept_text`` and ``text_hash`` (of the input).
 
-    Every word in a window of ``window`` words whose words also start anywhere else (in the same text
-    too) is removed, all copies alike; windows are judged on the input. ``kept_text`` is the kept words
-    joined by a space, null where nothing is removed. A null or empty text has no words. Repeated rows
-    are copies of each other like any others. Further columns are ignored; an empty table gives no rows.
-    """
+def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> Found:
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("d"))
     kind = docs.schema[key].dataType.simpleString()
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        rid = TaskContext.get().partitionId() << 33
         for pdf in batches:
             for part, words in _batches(pdf):
                 symbols = Symbols(words, rounds)
                 whole = [_text_of(words, d) for d in range(len(part))]
                 yield pd.DataFrame(
                     {
-                        "k": part["k"].to_numpy(), "d": part["d"].to_numpy(), "n_words": np.diff(words.first), "sha": [_sha(b) for b in whole],
+                        "rid": np.arange(rid, rid + len(part)), "k": part["k"].to_numpy(), "d": part["d"].to_numpy(), "n_words": np.diff(words.first), "sha": [_sha(b) for b in whole],
                         "names": [symbols.name[inside(symbols, d, words, window)].view(np.int64) for d in range(len(part))],
                     }
                 )
+                rid += len(part)
 
-    named = staged(src.mapInPandas(name, f"k {kind}, d long, n_words long, sha string, names array<long>"), "names")
+    named = staged(src.mapInPandas(name, f"rid long, k {kind}, d long, n_words long, sha string, names array<long>"), "names")
     # equal word sequences: one row speaks for all
-    same = named.where(F.col("n_words") >= window).groupBy("sha").agg(F.min(F.struct("d", "k")).alias("rep"), F.count("*").alias("copies"))
-    same = staged(same.select("sha", "copies", "rep.d", "rep.k"), "copies")
-    names = _same_row(named.where(F.col("n_words") >= window), same.select("sha", "d", "k"), "sha")
-    # a row that is there twice, key and all, speaks once
-    names = names.groupBy("k", "d", "sha").agg(F.max("names").alias("names"))
-    mute = names.where(F.size("names") == 0).select("k", "d", "sha", F.array().cast("array<int>").alias("at"))
-    each = names.select("k", "d", "sha", F.posexplode("names").alias("i", "name"))
+    same = named.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"))
+    same = staged(same, "copies")
+    names = named.where(F.col("n_words") >= window).select("rid", "names").join(same.select("rid"), "rid", "left_semi")
+    mute = names.where(F.size("names") == 0).select("rid", F.array().cast("array<int>").alias("at"))
+    each = names.select("rid", F.posexplode("names").alias("i", "name"))
     often = each.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     # texts with a symbol that repeats, or without any symbol that could tell
-    wanted = staged(each.join(often, "name").groupBy("k", "d", "sha").agg(F.collect_list("i").alias("at")).unionByName(mute), "repeats")
+    at = each.join(often, "name").groupBy("rid").agg(F.collect_list("i").alias("at")).unionByName(mute)
+    told = same.select("rid", (F.col("copies") == 1).alias("alone"))
+    wanted = staged(named.select("rid", F.col("k").alias("_k"), F.col("d").alias("_d"), "sha").join(told, "rid").join(at, "rid"), "repeats")
 
     def regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Starts of the windows that may repeat, as runs [from, to); rid numbers the texts."""
-        from pyspark import TaskContext
-
-        rid = TaskContext.get().partitionId() << 33
+        """Starts of the windows that may repeat, as runs [from, to)."""
         for pdf in batches:
             for part, words in _batches(pdf):
                 symbols, rows = Symbols(words, rounds), []
-                for d, (k, t, sha, at) in enumerate(zip(part["k"], part["t"], part["sha"], part["at"], strict=True)):
+                for d, (rid, t, sha, alone, at) in enumerate(zip(part["rid"], part["t"], part["sha"], part["alone"], part["at"], strict=True)):
                     n = words.first[d + 1] - words.first[d] - window + 1
                     if n <= 0 or _sha(_text_of(words, d)) != sha:
                         continue
@@ -184,12 +179,13 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                     free = np.concatenate([[False], np.cumsum(out)[:n] == 0, [False]])
                     edge = np.flatnonzero(free[1:] != free[:-1])
                     if len(edge):
-                        rows.append((rid, t, sha, edge.astype(np.int32)))
-                        rid += 1
+                        rows.append((rid, t, alone, edge.astype(np.int32)))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["rid", "t", "sha", "runs"])
+                    yield pd.DataFrame(rows, columns=["rid", "t", "alone", "runs"])
 
-    held = staged(_same_row(src, wanted).select("k", "t", "sha", "at").mapInPandas(regions, "rid long, t string, sha string, runs array<int>"), "regions")
+    # a row that is there twice, key and all, comes twice under one rid; it is not alone
+    meet = src.join(wanted, (F.col("d") == F.col("_d")) & F.col("k").eqNullSafe(F.col("_k"))).select("rid", "t", "sha", "alone", "at")
+    held = staged(meet.mapInPandas(regions, "rid long, t string, alone boolean, runs array<int>"), "regions")
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -207,32 +203,50 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     windows = held.select("rid", "t", "runs").mapInPandas(hashes, "rid long, at int, h1 long, h2 long")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    found = windows.join(twice, ["h1", "h2"]).groupBy("rid").agg(F.collect_list("at").alias("at"))
+    hits = windows.join(twice, ["h1", "h2"]).groupBy("rid").agg(F.collect_list("at").alias("at"))
+    return Found(named.drop("names"), same.where("copies > 1").select("sha", F.lit(True).alias("whole")), held, hits)
+
+
+def _kept(words: Words, d: int, at: np.ndarray, window: int) -> np.ndarray:
+    """Whether each word of text d is outside all windows that start at ``at``."""
+    n = words.first[d + 1] - words.first[d]
+    cover = np.zeros(n + 1, dtype=np.int64)
+    at = np.asarray(at, dtype=np.int64)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + window, -1)
+    return np.cumsum(cover)[:n] == 0
+
+
+def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+    """One row per row of ``docs``: key, ``n_words``, ``n_removed``, ``kept_sha256``, ``kept_text`` and ``text_hash`` (of the input).
+
+    Every word in a window of ``window`` words whose words also start anywhere else (in the same text
+    too) is removed, all copies alike; windows are judged on the input. ``kept_text`` is the kept words
+    joined by a space, null where nothing is removed. A null or empty text has no words. Repeated rows
+    are copies of each other like any others. Further columns are ignored; an empty table gives no rows.
+    """
+    found = _search(docs, key, text, window, rounds)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part, words in _batches(pdf):
                 rows = []
-                for d, (sha, at) in enumerate(zip(part["sha"], part["at"], strict=True)):
-                    n = words.first[d + 1] - words.first[d]
-                    cover = np.zeros(n + 1, dtype=np.int64)
-                    at = np.asarray(at, dtype=np.int64)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + window, -1)
-                    keep = np.cumsum(cover)[:n] == 0
+                for d, (rid, at) in enumerate(zip(part["rid"], part["at"], strict=True)):
+                    keep = _kept(words, d, at, window)
                     kept = _text_of(words, d, keep)
-                    rows.append((sha, int(n - keep.sum()), _sha(kept), kept.decode()))
-                yield pd.DataFrame(rows, columns=["sha", "n_removed", "kept_sha256", "kept_text"])
+                    rows.append((rid, int(len(keep) - keep.sum()), _sha(kept), kept.decode()))
+                yield pd.DataFrame(rows, columns=["rid", "n_removed", "kept_sha256", "kept_text"])
 
-    trimmed = held.select("rid", "t", "sha").join(found, "rid").mapInPandas(cut, "sha string, n_removed long, kept_sha256 string, kept_text string")
     # texts that are alike are removed whole; a copy is any text of the same words
-    by_sha = same.where("copies > 1").select("sha", F.lit(-1).cast("long").alias("n_removed"), F.lit(_sha(b"")).alias("kept_sha256"), F.lit("").alias("kept_text"))
-    by_sha = by_sha.unionByName(trimmed.join(same.where("copies = 1").select("sha"), "sha"))
-    out = named.select("k", "d", "n_words", "sha").join(by_sha, "sha", "left")
+    lone = found.held.where("alone").select("rid", "t").join(found.hits, "rid")
+    trimmed = lone.mapInPandas(cut, "rid long, n_removed long, kept_sha256 string, kept_text string")
+    out = found.named.join(found.whole, "sha", "left").join(trimmed, "rid", "left")
+    gone = F.col("whole").isNotNull()
     return out.select(
         F.col("k").alias(key), "n_words",
-        F.when(F.col("n_removed") < 0, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept_text", F.col("d").alias("text_hash"),
+        F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(gone, F.lit(_sha(b""))).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"), F.col("d").alias("text_hash"),
     )
 
 
@@ -240,13 +254,28 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n_
     """``docs`` (all its columns) with repeated words cut from the texts; rows left without a word go.
 
     A text that loses words becomes its kept words joined by a space, and ``n_chars``, if there is such a
-    column, its new length; all other rows stay as they are.
+    column, its new length; all other rows stay as they are. Places of windows meet the rows, not texts.
     """
-    cut = repeated_words(docs, key, text, window).where("kept_text is not null").groupBy(F.col(key).alias("_k"), F.col("text_hash").alias("_d")).agg(F.max("kept_text").alias("_t"))
-    out = docs.join(cut, (F.xxhash64(docs[text]) == F.col("_d")) & docs[key].eqNullSafe(F.col("_k")), "left").where("_t is null or _t <> ''")
-    new = {text: F.coalesce(F.col("_t"), docs[text])}
+    found = _search(docs, key, text, window, ROUNDS)
+    own = "_" * max(map(len, docs.columns))  # begins no name of docs
+    k, d, at, hit, kept = (own + x for x in ("k", "d", "at", "hit", "kept"))
+    marks = found.named.join(found.whole, "sha", "left").join(found.hits, "rid", "left").where("whole or at is not null")
+    marks = marks.groupBy(F.col("k").alias(k), F.col("d").alias(d)).agg(F.max(F.when(F.col("whole").isNull(), F.col("at"))).alias(at), F.lit(True).alias(hit))
+
+    @F.pandas_udf("string")
+    def cut(t: pd.Series, at: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(t), dtype=object)
+        rows = pd.DataFrame({"t": t, "at": at, "i": np.arange(len(t))}).dropna(subset=["t"])
+        for part, words in _batches(rows):
+            for d, (i, a) in enumerate(zip(part["i"], part["at"], strict=True)):
+                out[i] = _text_of(words, d, _kept(words, d, a, window)).decode()
+        return out
+
+    met = docs.join(marks, (F.xxhash64(docs[text]) == F.col(d)) & docs[key].eqNullSafe(F.col(k)), "left").where(F.col(hit).isNull() | F.col(at).isNotNull())
+    out = met.withColumn(kept, cut(F.when(F.col(at).isNotNull(), docs[text]), F.col(at))).where(F.col(kept).isNull() | (F.col(kept) != ""))
+    new = {text: F.coalesce(F.col(kept), docs[text])}
     if n_chars in docs.columns:
-        new[n_chars] = F.when(F.col("_t").isNotNull(), F.length("_t").cast(docs.schema[n_chars].dataType)).otherwise(docs[n_chars])
+        new[n_chars] = F.when(F.col(kept).isNotNull(), F.length(kept).cast(docs.schema[n_chars].dataType)).otherwise(docs[n_chars])
     return out.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
 
 
