@@ -58,7 +58,7 @@ def prefixes(items: np.ndarray, trees: int, length: int) -> np.ndarray:
     return mix(out).view(np.int64)
 
 
-def shared(a: list[np.ndarray], b: list[np.ndarray], same: bool, most: int = 4096) -> np.ndarray:
+def shared(a: list[np.ndarray], b: list[np.ndarray], same: bool, most: int = 1024) -> np.ndarray:
     """Sizes of the intersections of all sets of a with all of b, by products of 0-1 matrices of bounded width."""
     every = a if same else a + b
     owner = np.repeat(np.arange(len(every)), [len(x) for x in every])
