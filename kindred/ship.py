@@ -10,9 +10,15 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+#: Rows that go to a Python worker at once: texts are long, and both sides hold whole batches.
+BATCH_ROWS = "1000"
 
 
 def ship(spark: SparkSession) -> None:
+    """Also lowers Spark's default of rows per Arrow batch; a number that somebody set stays."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
