@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kindred.storage import staged
+
 
 class RoleError(ValueError):
     """A role was asked for that must stay unseen."""
@@ -29,6 +31,18 @@ def hash_limit(rows: DataFrame, group: str, key: Column, n: int) -> DataFrame:
     return rows.withColumn("key", key).withColumn("rk", F.row_number().over(W.partitionBy(group).orderBy("key"))).where(F.col("rk") <= n)
 
 
+def global_rank(rows: DataFrame, order: list[Column], name: str = "rk") -> DataFrame:
+    """``rows`` with their place from 1 in a total order: ranges of rows are ranked by themselves, after the rows of earlier ranges.
+
+    The only window without a key sees one row per range.
+    """
+    dealt = staged(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    here = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_here", here).join(before, "_range").withColumn(name, F.col("_here") + F.col("_before")).drop("_range", "_here", "_before")
+
+
 def hash_folds(groups: DataFrame, name: str, k: int) -> DataFrame:
     """Balanced folds of distinct groups by hash order; the window sees one row per group."""
     order = W.orderBy(F.sha2(F.col(name), 256), name)

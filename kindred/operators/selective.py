@@ -6,9 +6,11 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kindred.operators.keys import global_rank
+from kindred.operators.probes import fit_logistic
+
 
 @dataclass(frozen=True)
 class Query:
@@ -53,10 +55,10 @@ def interval_decision(low: Column, high: Column, query: Query) -> tuple[Column,
 def risk_coverage(rows: DataFrame, score: str, correct: Column, anchors: list[float], tie: str) -> DataFrame:
     """For each anchor: rows accepted (floor(n * anchor) best scores, ties by ``tie``) and the share of wrong ones among them.
 
-    Ranks come from a window over the rows that an anchor can accept.
+    Rows are ranked range by range, never in one task.
     """
     n = rows.count()
-    best = rows.withColumn("wrong", (~correct).cast("int")).withColumn("rk", F.row_number().over(W.orderBy(F.col(score).desc(), tie)))
+    best = global_rank(rows.withColumn("wrong", (~correct).cast("int")), [F.col(score).desc(), F.col(tie)])
     cuts = [math.floor(n * a) for a in anchors]
     aggs = [F.struct(F.lit(a).alias("anchor"), F.lit(c).cast("long").alias("accepted"), F.sum(F.when(F.col("rk") <= c, F.col("wrong"))).alias("wrong")) for a, c in zip(anchors, cuts, strict=True)]
     out = best.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("a")).select("a.*")
@@ -69,3 +71,28 @@ def selective_report(rows: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("n"), F.sum(F.col("accepted").cast("int")).alias("n_accepted"), F.avg(F.col("accepted").cast("double")).alias("coverage"),
         F.avg(F.when(F.col("accepted"), (~F.col("correct")).cast("double"))).alias("risk"),
     )
+
+
+def compound_conformal(fit: DataFrame, calibration: DataFrame, rows: DataFrame, vector: str, label: str, alpha: float) -> DataFrame:
+    """``rows`` with prediction, accepted, score and reason of a logistic model of the whole query.
+
+    A label is in a row's set if one less its probability is at most the conformal quantile of the
+    calibration rows; a set of one label is accepted. A fit of one class raises; without calibration rows all is refused.
+    """
+    model = fit_logistic(fit, vector, label)
+    p = model.probability(F.col(vector))
+    scores = calibration.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select((1 - F.when(F.col(label).cast("int") == 1, p).otherwise(1 - p)).alias("s"))
+    q = conformal_quantile(scores, "s", alpha)
+    limit = F.lit(-1.0 if q is None else q)
+    yes, no = (1 - p) <= limit, p <= limit
+    reason = F.when(yes & no, "refused_ambiguous_prediction_set").when(yes | no, "accepted_singleton_prediction_set").otherwise("refused_empty_prediction_set")
+    return rows.withColumn("prediction", yes).withColumn("accepted", yes != no).withColumn("score", F.greatest(p, 1 - p)).withColumn("reason", reason)
+
+
+def confidence_decision(rows: DataFrame, probability: str, coverage: float, tie: str) -> DataFrame:
+    """``rows`` with prediction, score and accepted: the floor(n * coverage) most confident rows, ties by ``tie``; no calibration."""
+    p = F.col(probability)
+    n = rows.count()
+    cut = n if coverage == 1 else math.floor(n * coverage)
+    scored = rows.withColumn("prediction", p > 1 - p).withColumn("score", F.greatest(p, 1 - p))
+    return global_rank(scored, [F.col("score").desc_nulls_last(), F.col(tie)]).withColumn("accepted", F.col("rk") <= cut).drop("rk")

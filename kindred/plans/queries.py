@@ -518,6 +518,90 @@ def probe_quality(spark, sf_dir):
     return r.groupBy("fold").agg(F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(1 - F.sum(e * e) / (F.count("y") * F.var_pop("y")), 6).alias("r2"), F.count("*").alias("n"))
 
 
+def _roles_of_rows(spark, sf_dir) -> DataFrame:
+    """Folds 0 to 2 fit, 3 validates and calibrates, 4 is judged."""
+    return staged(_folded(spark, sf_dir).withColumn("role", F.when(F.col("fold") < 3, "fit").when(F.col("fold") == 3, "validation").otherwise("test")).withColumn("positive", (F.col("y") > 0).cast("int")), "folded")
+
+
+def alpha_grid(spark, sf_dir):
+    """Validation error of the ridge for each alpha, and whether it is the chosen one."""
+    errors = P.alpha_errors(_roles_of_rows(spark, sf_dir), "x", "y", "role", [0.01, 0.1, 1.0, 10.0, 100.0])
+    best = P.best_alpha(errors)
+    return spark.createDataFrame([(a, e, a == best) for a, e in errors], "alpha double, mae double, chosen boolean").withColumn("mae", F.round("mae", 6))
+
+
+def pls_projection(spark, sf_dir):
+    """Each vector on the four directions of partial least squares for the first coordinate; signs as fitted."""
+    r = _roles_of_rows(spark, sf_dir)
+    g = P.grams(r.where("role = 'fit'"), "x", "y", "fold")
+    fit = g[0] + g[1] + g[2]
+    turn, mean = fit.pls(4), (fit.sx / fit.n).tolist()
+    centred = F.zip_with("x", V.literal(mean), lambda a, b: a - b)
+    return r.select("id", *[F.round(V.project(centred, turn[:, i].tolist()), 6).alias(f"t{i}") for i in range(turn.shape[1])])
+
+
+def permuted_label_null(spark, sf_dir):
+    """Test R2 of the ridge against ridges on permuted labels."""
+    r = _roles_of_rows(spark, sf_dir)
+    g = P.grams(r, "x", "y", "fold")
+    null = P.permutation_null(g[0] + g[1] + g[2], P.permuted_products(r.where("role = 'fit'"), "x", "y", "id", 100), g[4].r2)
+    return spark.createDataFrame([(null["observed"], null["mean"], null["q95"], null["q99"], null["replicates"])], "observed double, mean double, q95 double, q99 double, replicates int")
+
+
+def compound_conformal(spark, sf_dir):
+    """Whether the first coordinate is above 0: a logistic model of the others, accepted where its conformal set has one label."""
+    r = _roles_of_rows(spark, sf_dir)
+    d = S.compound_conformal(r.where("role = 'fit'"), r.where("role = 'validation'"), r, "x", "positive", 0.10)
+    return d.select("id", "role", "prediction", "accepted", F.round("score", 6).alias("score"), "reason")
+
+
+def interaction_probe(spark, sf_dir):
+    """Probability that the first two coordinates have one sign, by a logistic model of coordinates and their products."""
+    e = _vectors(spark, sf_dir).select("id", P.with_products(F.slice("v", 1, 4)).alias("x"), ((F.get("v", F.lit(0)) > 0) == (F.get("v", F.lit(1)) > 0)).cast("int").alias("same"))
+    e = staged(e, "products")
+    model = P.fit_logistic(e, "x", "same")
+    return e.select("id", "same", F.round(model.probability(F.col("x")), 6).alias("p1"))
+
+
+def perceptron_probe(spark, sf_dir):
+    """The same from the coordinates alone, by a perceptron."""
+    e = staged(_vectors(spark, sf_dir).select("id", F.slice("v", 1, 2).alias("x"), ((F.get("v", F.lit(0)) > 0) == (F.get("v", F.lit(1)) > 0)).cast("int").alias("same")), "signs")
+    return P.perceptron(e, e, "x", "same").select("id", "same", F.round("p1", 6).alias("p1"))
+
+
+def confidence_at_half(spark, sf_dir):
+    """The more confident half of the rows, by the logistic of the first margin."""
+    m = _margins(spark, sf_dir).select("id", F.round(1 / (1 + F.exp(-F.get("margins", F.lit(0)))), 9).alias("p"))
+    return S.confidence_decision(m, "p", 0.5, "id").select("id", "prediction", "accepted", F.round("score", 6).alias("score"))
+
+
+def independent_interval_decision(spark, sf_dir):
+    """Boxes from one conformal radius per condition."""
+    m = staged(_margins(spark, sf_dir), "margins")
+    cal = m.where("calibration")
+    half = V.literal([S.conformal_quantile(cal.select(F.get("residuals", F.lit(i)).alias("r")), "r", 0.10) for i in range(3)])
+    d = m.where("not calibration").withColumn("low", F.zip_with("margins", half, lambda x, h: x - h)).withColumn("high", F.zip_with("margins", half, lambda x, h: x + h))
+    yes, accepted, score = S.interval_decision(F.col("low"), F.col("high"), FORMS["two_of_three"])
+    return d.select("id", yes.alias("prediction"), accepted.alias("accepted"), F.round(score, 6).alias("score"))
+
+
+def manifest_triplet_accuracy(spark, sf_dir):
+    """256 triplets per query whose two candidates a hash of (query, number, side) draws with replacement; oracle ties do not count."""
+    e = _vectors(spark, sf_dir).select("id", "v", "n", "y")
+    placed = K.global_rank(e, [F.col("id")], "place").withColumn("place", F.col("place") - 1)
+    n = e.count()
+    draw = lambda side: F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("q").cast("string"), F.col("i").cast("string"), F.lit(side)), 256), 1, 8), 16, 10).cast("long") % n
+    t = e.where(F.col("id") % EVERY == 0).select(F.col("id").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
+    t = t.select("q", "i", draw("a").alias("a"), draw("b").alias("b"))
+    query = e.select(F.col("id").alias("q"), F.col("v").alias("q_v"), F.col("n").alias("q_n"), F.col("y").alias("q_y"))
+    for side in "ab":
+        c = placed.select(F.col("place").alias(side), F.col("v").alias("c_v"), F.col("n").alias("c_n"), F.col("y").alias("c_y"))
+        t = t.join(c, side).join(query, "q").withColumn(f"o_{side}", F.abs(F.col("q_y") - F.col("c_y"))).withColumn(f"m_{side}", F.round(_cosine(), 12)).drop("c_v", "c_n", "c_y", "q_v", "q_n", "q_y")
+    od, md = F.col("o_a") - F.col("o_b"), F.col("m_a") - F.col("m_b")
+    score = F.when(md == 0, 0.5).when(F.signum(md) == F.signum(od), 1.0).otherwise(0.0)
+    return t.where(od != 0).groupBy("q").agg(F.round(F.avg(score), 6).alias("accuracy"), F.count("*").alias("triplets"))
+
+
 # ledger
 
 

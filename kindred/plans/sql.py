@@ -102,4 +102,7 @@ ORACLES = {
     "residual_mass": f"WITH {_M}, c AS (SELECT truth[1] - margins[1] AS r FROM m WHERE cal), x AS (SELECT id, (SELECT avg((m.margins[1] > -r)::INT) FROM c) AS p0, (SELECT count(*) FILTER (r > -m.margins[1]) / count(*) FROM c) AS p FROM m WHERE NOT cal) SELECT id, round(p, 6) AS p, p > 0.5 AS prediction, p <= 0.05 OR p >= 0.95 AS accepted FROM x",
     "payload_commitments": "WITH l AS (SELECT event_type, substr(sha256(event_id::VARCHAR), 1, 2) AS b, event_id, concat_ws('|', event_id, user_id, event_type, props) AS line FROM events), h AS (SELECT event_type, b, sha256(string_agg(line, '' ORDER BY event_id)) AS h, count(*) AS n FROM l GROUP BY ALL) SELECT event_type, sha256(string_agg(h, '' ORDER BY b)) AS commitment, sum(n)::BIGINT AS n FROM h GROUP BY event_type",
     "chain_links": "SELECT user_id, event_id, lag(sha256(event_id || '|' || event_type)) OVER w AS previous_sha256, event_id - lag(event_id) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
+    "confidence_at_half": f"WITH {_M}, p AS (SELECT id, round(1 / (1 + exp(-margins[1])), 9) AS p FROM m), k AS (SELECT *, greatest(p, 1 - p) AS score, row_number() OVER (ORDER BY greatest(p, 1 - p) DESC, id) AS rk, count(*) OVER () AS n FROM p) SELECT id, p > 1 - p AS prediction, rk <= floor(n * 0.5) AS accepted, round(score, 6) AS score FROM k",
+    "independent_interval_decision": f"WITH {_M}, r AS (SELECT unnest([1, 2, 3]) AS i, unnest(res) AS r FROM m WHERE cal), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY r) AS k, count(*) OVER (PARTITION BY i) AS n FROM r), h AS (SELECT list(r ORDER BY i) AS h FROM k WHERE k = least(n, ceil((n + 1) * 0.9::DOUBLE))), b AS (SELECT id, list_transform([1, 2, 3], lambda i: margins[i] - h[i]) AS low, list_transform([1, 2, 3], lambda i: margins[i] + h[i]) AS high FROM m, h WHERE NOT cal), d AS (SELECT *, len(list_filter(low, lambda x: x > 0)) AS sure, len(list_filter(high, lambda x: x > 0)) AS maybe FROM b) SELECT id, sure >= 2 AS prediction, sure >= 2 OR maybe < 2 AS accepted, round(list_min(list_transform([1, 2, 3], lambda i: least(abs(low[i]), abs(high[i])))), 6) AS score FROM d",
+    "manifest_triplet_accuracy": f"WITH {_E}, k AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS n FROM e), t AS (SELECT id AS q, v AS qv, y AS qy, n, unnest(range(0, 256)) AS i FROM k WHERE id % 20 = 0), d AS (SELECT *, ('0x' || substr(sha256(q || '|' || i || '|a'), 1, 8))::BIGINT % n AS a, ('0x' || substr(sha256(q || '|' || i || '|b'), 1, 8))::BIGINT % n AS b FROM t), s AS (SELECT q, abs(qy - x.y) - abs(qy - z.y) AS od, round(list_cosine_distance(qv, x.v), 12) - round(list_cosine_distance(qv, z.v), 12) AS md FROM d JOIN k x ON x.place = a JOIN k z ON z.place = b) SELECT q, round({_SCORE}, 6) AS accuracy, count(*) AS triplets FROM s WHERE od <> 0 GROUP BY q",
 }

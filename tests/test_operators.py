@@ -131,6 +131,111 @@ def test_ridge_out_of_fold(spark, sf_dir):
         assert np.allclose(rows["yhat"].to_numpy()[f == k], (x[f == k] - mx) @ w + my, atol=1e-8)
 
 
+def _noisy(spark, n=400, d=5, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    y = x @ np.arange(1, d + 1) * 0.3 + rng.normal(size=n)
+    rows = [(i, x[i].tolist(), float(y[i]), int(y[i] > 0)) for i in range(n)]
+    return x, y, spark.createDataFrame([*rows, (n, None, 1.0, 1), (n + 1, x[0].tolist(), None, None)], "k long, v array<double>, y double, l int")
+
+
+def test_logistic_is_at_the_optimum(spark):
+    x, y, rows = _noisy(spark)
+    m = P.fit_logistic(rows, "v", "l", c=2.0)
+    p = 1 / (1 + np.exp(-(x @ m.w + m.b)))
+    assert np.allclose(x.T @ (p - (y > 0)) + m.w / 2.0, 0, atol=1e-6) and abs((p - (y > 0)).sum()) < 1e-6
+    got = rows.where("v is not null and l is not null").select(m.probability(F.col("v")).alias("p"), "k").orderBy("k").toPandas()["p"]
+    assert np.allclose(got, p)
+    with pytest.raises(ValueError):
+        P.fit_logistic(rows.where("l = 1"), "v", "l")
+
+
+def test_pls_against_deflation(spark):
+    x, y, rows = _noisy(spark)
+    g = P.grams(rows.withColumn("f", F.lit(0)), "v", "y", "f")[0]
+    e, t, scores = x - x.mean(0), y - y.mean(), []
+    for _ in range(3):
+        w = e.T @ t / np.linalg.norm(e.T @ t)
+        s = e @ w
+        e, t = e - np.outer(s, s @ e) / (s @ s), t - s * (s @ t) / (s @ s)
+        scores.append(s)
+    assert np.allclose((x - x.mean(0)) @ g.pls(3), np.column_stack(scores), atol=1e-8)
+
+
+def test_moments_give_r2_and_standard_scores(spark):
+    x, y, rows = _noisy(spark)
+    g = P.grams(rows.withColumn("f", F.lit(0)), "v", "y", "f")[0]
+    w, b = g.ridge(1.0)
+    assert math.isclose(g.r2(w, b), 1 - ((y - x @ w - b) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+    z = (x - x.mean(0)) / x.std(0)
+    s, mean, sd = g.standardised()
+    assert np.allclose(s.xx, z.T @ z) and np.allclose(s.xy, z.T @ y) and np.allclose(mean, x.mean(0)) and np.allclose(sd, x.std(0))
+
+
+def test_alpha_grid_and_ties(spark):
+    x, y, rows = _noisy(spark)
+    errors = P.alpha_errors(rows.withColumn("r", F.when(F.col("k") < 300, "fit").otherwise("validation")), "v", "y", "r", [0.1, 10.0])
+    a, b = x[:300], y[:300]
+    for alpha, e in errors:
+        w = np.linalg.solve((a - a.mean(0)).T @ (a - a.mean(0)) + alpha * np.eye(5), (a - a.mean(0)).T @ (b - b.mean()))
+        assert math.isclose(e, np.abs(y[300:] - (x[300:] - a.mean(0)) @ w - b.mean()).mean())
+    assert P.best_alpha([(1.0, 2.0), (3.0, 2.0)]) == 3.0 and P.best_alpha([(1.0, 2.0), (3.0, 2.0)], larger=False) == 1.0
+
+
+def test_permutations_keep_sums_and_agree(spark):
+    x, y, rows = _noisy(spark)
+    one = P.permuted_products(rows, "v", "y", "k", 40, block=64)
+    assert np.allclose(one, P.permuted_products(rows.repartition(7), "v", "y", "k", 40, block=64))
+    ones = P.permuted_products(rows.withColumn("v", F.when(F.col("v").isNotNull(), F.array(F.lit(1.0)))), "v", "y", "k", 3)
+    assert np.allclose(ones, y.sum())
+    g = P.grams(rows.withColumn("f", F.lit(0)), "v", "y", "f")[0]
+    null = P.permutation_null(g, one, g.r2)
+    assert null["observed"] > null["q99"] >= null["q95"] >= null["mean"]
+
+
+def test_products_without_squares(spark):
+    got = spark.createDataFrame([([2.0, 3.0, 5.0],), ([7.0],)], "v array<double>").select(P.with_products(F.col("v"))).collect()
+    assert [r[0] for r in got] == [[2.0, 3.0, 5.0, 6.0, 10.0, 15.0], [7.0]]
+
+
+def test_perceptron_learns_what_no_line_can(spark):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-1, 1, size=(600, 2))
+    rows = spark.createDataFrame([(r.tolist(), int((r[0] > 0) == (r[1] > 0))) for r in x], "v array<double>, l int")
+    out = P.perceptron(rows, rows.unionByName(spark.createDataFrame([(None, 1)], rows.schema)), "v", "l").toPandas()
+    assert out["p1"].isna().sum() == 1
+    out = out.dropna()
+    assert ((out["p1"] > 0.5) == (out["l"] == 1)).mean() > 0.9
+
+
+def test_compound_conformal_sets(spark):
+    x, y, rows = _noisy(spark, 600)
+    some = rows.where("v is not null and l is not null")
+    fit, cal, test = (some.where(F.col("k") % 3 == i) for i in range(3))
+    out = S.compound_conformal(fit, cal, test, "v", "l", 0.2).toPandas()
+    m = P.fit_logistic(fit, "v", "l")
+    p = lambda r: 1 / (1 + np.exp(-(np.array(r["v"].tolist()) @ m.w + m.b)))
+    c = cal.toPandas()
+    s = np.sort(np.where(c["l"] == 1, 1 - p(c), p(c)))
+    q = s[min(len(s), math.ceil((len(s) + 1) * 0.8)) - 1]
+    yes, no = 1 - p(out) <= q, p(out) <= q
+    assert (out["prediction"] == yes).all() and (out["accepted"] == (yes ^ no)).all()
+    assert set(out["reason"]) <= {"accepted_singleton_prediction_set", "refused_empty_prediction_set", "refused_ambiguous_prediction_set"}
+    assert not S.compound_conformal(fit, cal.limit(0), test, "v", "l", 0.2).where("accepted").count()
+
+
+def test_confidence_and_global_rank(spark):
+    p = [0.9, 0.2, 0.5, 0.7, 0.9, 0.1]
+    rows = spark.createDataFrame(list(enumerate(p)), "id long, p double").repartition(3)
+    got = {r["id"]: r["accepted"] for r in S.confidence_decision(rows, "p", 0.5, "id").collect()}
+    assert [got[i] for i in range(6)] == [True, False, False, False, True, True]
+    assert not S.confidence_decision(rows, "p", 0.0, "id").where("accepted").count() and S.confidence_decision(rows, "p", 1.0, "id").where("accepted").count() == 6
+    big = spark.range(5000).withColumn("x", F.col("id") % 7)
+    r = K.global_rank(big, [F.col("x").desc(), F.col("id")]).toPandas().sort_values("rk")
+    assert (r["rk"].to_numpy() == np.arange(1, 5001)).all() and (r["x"].diff().dropna() <= 0).all()
+    assert K.global_rank(big.limit(0), [F.col("id")]).count() == 0
+
+
 def test_bootstrap_and_decision(spark):
     mean, low, high = I.bootstrap_mean(np.arange(50.0))
     assert low < mean < high

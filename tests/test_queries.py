@@ -10,7 +10,7 @@ def test_against_sql(spark, sf_dir, duck, name):
 
 
 def test_every_query_has_sql_or_is_listed():
-    assert set(QUERIES) - set(ORACLES) == {"simhash_fingerprints", "simhash_near_pairs", "near_pair_classes", "ridge_oof", "probe_quality"}
+    assert set(QUERIES) - set(ORACLES) == {"simhash_fingerprints", "simhash_near_pairs", "near_pair_classes", "ridge_oof", "probe_quality", "alpha_grid", "pls_projection", "permuted_label_null", "compound_conformal", "interaction_probe", "perceptron_probe"}
 
 
 def test_entry_imports():
