@@ -15,6 +15,29 @@ def shared_content_edges(rows: DataFrame, node: str, content: str) -> DataFrame:
     return held.join(low, "x").where("n <> low").select(F.col("low").alias("a"), F.col("n").alias("b")).distinct()
 
 
+def resolved_edges(candidates: DataFrame, dispositions: DataFrame, rules: DataFrame, protocol: str) -> DataFrame:
+    """Candidates with ``review_status`` and ``connecting``.
+
+    candidates: candidate_id, edge_type, a, b; dispositions: candidate_id, disposition, protocol_sha256; rules: edge_type,
+    requirement (AUTO, REVIEW_ONLY or APPROVED_REQUIRED), connects. AUTO edges are approved and connect as their rule
+    says, REVIEW_ONLY ones never connect, the others connect once a disposition approves them and are UNRESOLVED without
+    one. The query fails on a disposition that has no candidate, that a rule does not take, that was made under another
+    protocol, or that comes twice, and on a type without a rule. a is the smaller of the two ends.
+    """
+    d = dispositions.groupBy("candidate_id").agg(F.count("*").alias("_times"), F.max("disposition").alias("disposition"), F.max("protocol_sha256").alias("_protocol"))
+    c = candidates.select("*", F.lit(True).alias("_there"))
+    both = c.join(d, "candidate_id", "full").join(rules.select("edge_type", "requirement", "connects"), "edge_type", "left")
+    given = F.col("_times").isNotNull()
+    wrong = (
+        F.when(F.col("_there").isNull(), "disposition without candidate").when(F.col("requirement").isNull(), "type without rule").when(F.col("_times") > 1, "two dispositions")
+        .when(given & (F.col("requirement") != "APPROVED_REQUIRED"), "rule takes no disposition").when(given & ~F.col("_protocol").eqNullSafe(F.lit(protocol)), "stale disposition")
+    )
+    status = F.when(wrong.isNotNull(), F.raise_error(F.concat_ws(": ", wrong, F.col("candidate_id").cast("string")))).when(F.col("requirement") == "AUTO", "APPROVED").when(F.col("requirement") == "REVIEW_ONLY", "REVIEW_ONLY").otherwise(F.coalesce("disposition", F.lit("UNRESOLVED")))
+    connecting = F.when(F.col("requirement") == "AUTO", F.col("connects")).otherwise((F.col("requirement") == "APPROVED_REQUIRED") & (F.col("review_status") == "APPROVED"))
+    rest = [n for n in candidates.columns if n not in ("a", "b")]
+    return both.withColumn("review_status", status).withColumn("connecting", connecting).select(*rest, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "review_status", "connecting")
+
+
 def components_of(nodes: DataFrame, edges: DataFrame, name: str, protocol: str) -> DataFrame:
     """Every node with its component, the component's size and its id: a hash of its sorted members and the protocol."""
     comp = connected_components(edges).withColumnRenamed("node", name)

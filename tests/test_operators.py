@@ -8,8 +8,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from kindred.__main__ import main
 from kindred.functions import vectors as V
 from kindred.functions.code import primitives
+from kindred.functions.encoder import embed, mean_pool
 from kindred.operators import duplicates as D
 from kindred.operators import inference as I
 from kindred.operators import keys as K
@@ -17,7 +19,8 @@ from kindred.operators import ledger as L
 from kindred.operators import probes as P
 from kindred.operators import selective as S
 from kindred.operators.components import connected_components
-from kindred.operators.graph import outcome
+from kindred.operators.graph import outcome, resolved_edges
+from kindred.plans import authorisation as A
 from kindred.plans import workflow as WF
 from kindred.plans.queries import _folded
 from kindred.sources import readers
@@ -286,6 +289,73 @@ def test_workflow_blocks_and_resumes():
     assert [d.name for d in e.value.done] == ["a"]
 
 
+RULES = [("fork", "AUTO", True), ("same_code", "APPROVED_REQUIRED", True), ("name", "REVIEW_ONLY", False)]
+EDGES = [("1", "fork", "b", "a"), ("2", "same_code", "a", "c"), ("3", "same_code", "c", "d"), ("4", "name", "d", "e"), ("5", "same_code", "e", "f")]
+
+
+def _resolved(spark, given, edges=EDGES):
+    d = spark.createDataFrame(given, "candidate_id string, disposition string, protocol_sha256 string")
+    return resolved_edges(spark.createDataFrame(edges, "candidate_id string, edge_type string, a string, b string"), d, spark.createDataFrame(RULES, "edge_type string, requirement string, connects boolean"), "p1")
+
+
+def test_edges_are_resolved_by_rule(spark):
+    got = {r["candidate_id"]: (r["a"], r["b"], r["review_status"], r["connecting"]) for r in _resolved(spark, [("2", "APPROVED", "p1"), ("3", "REJECTED", "p1")]).collect()}
+    assert got == {"1": ("a", "b", "APPROVED", True), "2": ("a", "c", "APPROVED", True), "3": ("c", "d", "REJECTED", False), "4": ("d", "e", "REVIEW_ONLY", False), "5": ("e", "f", "UNRESOLVED", False)}
+    assert _resolved(spark, [], []).count() == 0
+
+
+@pytest.mark.parametrize("given", [[("9", "APPROVED", "p1")], [("1", "APPROVED", "p1")], [("4", "APPROVED", "p1")], [("2", "APPROVED", "old")], [("2", "APPROVED", "p1"), ("2", "REJECTED", "p1")]])
+def test_wrong_dispositions_fail(spark, given):
+    with pytest.raises(Exception, match="disposition"):
+        _resolved(spark, given).collect()
+
+
+def test_encoder_gets_full_batches(spark):
+    def make():
+        def encode(texts):
+            assert len(texts) == 4
+            return np.array([[len(t), t.count("a")] for t in texts], dtype=np.float32)
+
+        return encode
+
+    rows = spark.createDataFrame([(i, "a" * i if i != 3 else None) for i in range(11)], "id long, text string")
+    got = {r["id"]: r["embedding"] for r in embed(rows, "id", "text", make, 4).collect()}
+    assert got == {i: [float(i), float(i)] for i in range(11) if i != 3}
+    states = np.arange(12.0).reshape(1, 3, 4)
+    assert np.allclose(mean_pool(states, np.array([[1, 1, 0]])), states[:, :2].mean(1)) and not mean_pool(states, np.zeros((1, 3))).any()
+
+
+def test_authorised_runs_happen_once(tmp_path):
+    plan = {"rows": 3}
+    asked = A.request(plan, "why")
+    yes, no = A.authorise(asked, "someone", "AUTHORISED"), A.authorise(asked, "someone", "REFUSED")
+    for bad in [(plan, asked, no), ({"rows": 4}, asked, yes), (plan, asked | {"reason": "else"}, yes), (plan, A.request(plan, "other"), yes)]:
+        with pytest.raises(A.NotAuthorised):
+            A.execute_once(tmp_path, *bad, lambda p: p)
+    assert not list(tmp_path.iterdir())
+    receipt = A.execute_once(tmp_path, plan, asked, yes, lambda p: {"n": p["rows"]})
+    with pytest.raises(FileExistsError):
+        A.execute_once(tmp_path, plan, asked, yes, lambda p: {"n": 9})
+    with pytest.raises(A.NotAuthorised):
+        A.publish(tmp_path, receipt, {"n": 4}, "someone")
+    A.publish(tmp_path, receipt, {"n": 3}, "someone")
+    assert json.loads((tmp_path / "output.json").read_text()) == {"n": 3}
+    failed = tmp_path / "failed"
+    failed.mkdir()
+    with pytest.raises(ZeroDivisionError):
+        A.execute_once(failed, plan, asked, yes, lambda p: 1 / 0)
+    assert {p.name for p in failed.iterdir()} == {"claim.json", "failure.json"}
+
+
+def test_command_line(spark, sf_dir, tmp_path, capsys):
+    main(["list"])
+    assert "cosine_topk" in capsys.readouterr().out.split()
+    main(["sql", "hubs"])
+    assert "SELECT" in capsys.readouterr().out
+    main(["run", "role_counts", sf_dir, str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
 def test_outcome_precedence():
     assert [outcome(False, 1, 1), outcome(True, 1, 1), outcome(True, 0, 1), outcome(True, 0, 0)] == ["METADATA_INCOMPLETE", "REVIEW_REQUIRED", "ROLE_CROSSING_FOUND", "NO_ROLE_CROSSING"]
 
