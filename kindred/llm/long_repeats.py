@@ -8,7 +8,8 @@ having to agree on a dictionary. For each symbol the words that its existence de
 reach). Two equal windows hold the same symbols, counting those whose reach lies inside the window; so a
 window can only repeat if every such symbol occurs at least twice in the corpus. Spark counts the symbols
 (some five words each, a small part of the corpus), and only windows that pass are compared, by
-128-bit hashes of their words, again by counting. The filter loses no repeated window.
+128-bit hashes of their words, again by counting. Windows that hold no such symbol always pass, so the
+filter loses no repeated window.
 
 Scale: documents with equal words are folded into one first; counts are aggregated before they are
 shuffled; hot symbols and windows meet their counts in joins that adaptive execution can split; tables
@@ -84,6 +85,16 @@ def inside(symbols: Symbols, d: int, words: Words, window: int) -> np.ndarray:
     return at[(symbols.lo[at] >= words.first[d]) & (symbols.hi[at] <= words.first[d + 1]) & (symbols.hi[at] - symbols.lo[at] <= window)]
 
 
+def without(symbols: Symbols, at: np.ndarray, d: int, words: Words, window: int) -> np.ndarray:
+    """For each window of text d, whether it holds none of the symbols ``at`` (positions that ``inside`` gave) with their reach."""
+    n = max(0, words.first[d + 1] - words.first[d] - window + 1)
+    lo, hi = symbols.lo[at] - words.first[d], symbols.hi[at] - words.first[d]
+    if not n or not len(at):
+        return np.ones(n, dtype=bool)
+    held = np.bincount(np.maximum(hi - window, 0), minlength=n + 1) - np.bincount(np.minimum(lo + 1, n), minlength=n + 1)
+    return np.cumsum(held)[:n] == 0
+
+
 def _sha(b: bytes) -> str:
     return hashlib.sha256(b).hexdigest()
 
@@ -139,24 +150,25 @@ def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> F
             for part, words in _batches(pdf):
                 symbols = Symbols(words, rounds)
                 whole = [_text_of(words, d) for d in range(len(part))]
+                own = [inside(symbols, d, words, window) for d in range(len(part))]
                 yield pd.DataFrame(
                     {
                         "rid": np.arange(rid, rid + len(part)), "k": part["k"].to_numpy(), "d": part["d"].to_numpy(), "n_words": np.diff(words.first), "sha": [_sha(b) for b in whole],
-                        "names": [symbols.name[inside(symbols, d, words, window)].view(np.int64) for d in range(len(part))],
+                        "names": [symbols.name[at].view(np.int64) for at in own], "bare": [bool(without(symbols, at, d, words, window).any()) for d, at in enumerate(own)],
                     }
                 )
                 rid += len(part)
 
-    named = staged(src.mapInPandas(name, f"rid long, k {kind}, d long, n_words long, sha string, names array<long>"), "names")
+    named = staged(src.mapInPandas(name, f"rid long, k {kind}, d long, n_words long, sha string, names array<long>, bare boolean"), "names")
     # equal word sequences: one row speaks for all
     same = named.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"))
     same = staged(same, "copies")
-    names = named.where(F.col("n_words") >= window).select("rid", "names").join(same.select("rid"), "rid", "left_semi")
-    mute = names.where(F.size("names") == 0).select("rid", F.array().cast("array<int>").alias("at"))
+    names = named.where(F.col("n_words") >= window).select("rid", "names", "bare").join(same.select("rid"), "rid", "left_semi")
     each = names.select("rid", F.posexplode("names").alias("i", "name"))
     often = each.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    # texts with a symbol that repeats, or without any symbol that could tell
-    at = each.join(often, "name").groupBy("rid").agg(F.collect_list("i").alias("at")).unionByName(mute)
+    # texts with a symbol that repeats, or with a window that holds no symbol that could tell (null, which is not collected)
+    bare = names.where("bare").select("rid", F.lit(None).cast("int").alias("i"))
+    at = each.join(often, "name").select("rid", "i").unionByName(bare).groupBy("rid").agg(F.collect_list("i").alias("at"))
     told = same.select("rid", (F.col("copies") == 1).alias("alone"))
     wanted = staged(named.select("rid", F.col("k").alias("_k"), F.col("d").alias("_d"), "sha").join(told, "rid").join(at, "rid"), "repeats")
 
@@ -172,11 +184,7 @@ def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> F
                     own = inside(symbols, d, words, window)
                     once = np.ones(len(own), dtype=bool)
                     once[np.asarray(at, dtype=np.int64)] = False
-                    lo, hi = symbols.lo[own[once]] - words.first[d], symbols.hi[own[once]] - words.first[d]
-                    out = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(out, np.maximum(hi - window, 0), 1)
-                    np.add.at(out, np.minimum(lo + 1, n), -1)
-                    free = np.concatenate([[False], np.cumsum(out)[:n] == 0, [False]])
+                    free = np.concatenate([[False], without(symbols, own[once], d, words, window), [False]])
                     edge = np.flatnonzero(free[1:] != free[:-1])
                     if len(edge):
                         rows.append((rid, t, alone, edge.astype(np.int32)))
@@ -204,7 +212,7 @@ def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> F
     windows = held.select("rid", "t", "runs").mapInPandas(hashes, "rid long, at int, h1 long, h2 long")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     hits = windows.join(twice, ["h1", "h2"]).groupBy("rid").agg(F.collect_list("at").alias("at"))
-    return Found(named.drop("names"), same.where("copies > 1").select("sha", F.lit(True).alias("whole")), held, hits)
+    return Found(named.drop("names", "bare"), same.where("copies > 1").select("sha", F.lit(True).alias("whole")), held, hits)
 
 
 def _kept(words: Words, d: int, at: np.ndarray, window: int) -> np.ndarray:

@@ -425,6 +425,21 @@ def test_long_repeats_of_periodic_texts(spark):
     assert got == brute_repeats(rows)
 
 
+def test_long_repeats_amid_words_that_occur_once(spark):
+    """Windows without an interior symbol, in texts that have such symbols, all of them unique."""
+    lone = iter(f"u{i}" for i in range(100000))
+    some = lambda n: [next(lone) for _ in range(n)]
+    rows = [some(50) + ["z"] * 60 + some(50), some(60) + ["y"] * 36, ["x"] * 35 + some(40), some(80), some(40) + ["v"] * 20 + some(3) + ["v"] * 40]
+    rows += [some(50) + ["q"] * 37 + some(50), some(50) + ["q"] * 36 + some(50)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_repeats(rows)
+    assert [x[2] for x in want] == [60, 36, 0, 0, 40, 37, 36]
+    assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in long_repeats.repeated_words(df).collect()) == want
+    cut = {r.doc_id: sha(r.text) for r in long_repeats.without_repeats(df).collect()}
+    assert cut == {x[0]: x[3] for x in want}
+
+
 def test_long_repeats_null_and_repeated_keys(spark, none):
     p = " ".join(f"w{i}" for i in range(40))
     rows = [(None, p + " a"), (None, "b " + p), (1, p), (1, "other"), (1, "other"), (2, None)]
