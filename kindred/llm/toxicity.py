@@ -6,8 +6,9 @@ of chance are left out; a logistic regression on the scaled features gives the s
 
 It is fitted on at most ``max_rows`` labelled rows (toxic ones up to a third of that first), taken by the
 smallest hashes of their keys: a bounded sample. Counting and feature sets stay on the executors; the driver
-gets the ``max_features`` clearest features and which of them each row of the sample has. Scoring is one pass
-over all texts against a table of ``2**BITS`` weights (4 MB), without a shuffle.
+gets all features that are clear (of ``2**BITS`` that there can be) and, in four bytes each, which of them each
+row of the sample has, and goes through these piece by piece. Scoring is one pass over all texts against a table
+of ``2**BITS`` weights (4 MB), without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from kindred.llm.tables import table
 from kindred.storage import staged
 
 BITS, ORDERS = 20, (3, 4, 5)
-#: Bounds of the labelled sample and of the classifier's features (those whose ratio is clearest).
-MAX_ROWS, MAX_FEATURES = 12_000, 6_000
+#: Bound of the labelled sample.
+MAX_ROWS = 12_000
 REJECT = 0.7
 
 
@@ -65,17 +66,31 @@ def _groups(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def logistic(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, n_cols: int, ridge: float = 1.0, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression on triplets, by gradient steps of Barzilai-Borwein length that never raise the loss."""
-    n = len(y)
+def logistic(cols: list[np.ndarray], scale: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 150, most: int = 1 << 20) -> tuple[np.ndarray, float]:
+    """L2-penalised logistic regression, by gradient steps of Barzilai-Borwein length that never raise the loss.
+
+    Row r has the value ``scale[c]`` in each column c of ``cols[r]``. About ``most`` values are laid out at once.
+    """
+    size = np.array([len(c) for c in cols], dtype=np.int64)
+    piece = np.cumsum(size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(cols)]
+    pieces = list(zip(cuts[:-1], cuts[1:], strict=True))
+    col = np.concatenate(cols)
+    first = np.concatenate([[0], np.cumsum(size)])
+    n_cols = len(scale)
     w = np.zeros(n_cols + 1)
-    w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
+    w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
 
     def at(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, weights=x * w[col], minlength=n) + w[-1]
-        loss = float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * (w[:-1] @ w[:-1]))
-        e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        return loss, np.append(np.bincount(col, weights=x * e[row], minlength=n_cols) + ridge * w[:-1], e.sum())
+        loss, g, scaled = ridge / 2 * float(w[:-1] @ w[:-1]), np.append(ridge * w[:-1], 0.0), scale * w[:-1]
+        for a, b in pieces:
+            c, row = col[first[a] : first[b]], np.repeat(np.arange(b - a), size[a:b])
+            z = np.bincount(row, weights=scaled[c], minlength=b - a) + w[-1]
+            loss += float((np.logaddexp(0, z) - y[a:b] * z).sum())
+            e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[a:b]
+            g[:-1] += scale * np.bincount(c, weights=e[row], minlength=n_cols)
+            g[-1] += e.sum()
+        return loss, g
 
     loss, g = at(w)
     step = 1 / max(1.0, float(np.abs(g).sum()))
@@ -94,7 +109,7 @@ def logistic(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, n_c
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, clear: float = 3.0, ridge: float = 1.0, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, clear: float = 3.0, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights (one for each hashed feature, ratio and coefficient in one) and the intercept.
 
     Rows with a null key, a null label or another label than 0 and 1 teach nothing; a key that has both
@@ -133,8 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
     total = counts.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
     ratio = F.log((F.col("p") / F.lit(total["p"] or 1.0)) / (F.col("q") / F.lit(total["q"] or 1.0)))
     z = F.abs(ratio) / F.sqrt(1 / F.col("p") + 1 / F.col("q"))
-    best = counts.select("i", ratio.alias("ratio"), z.alias("z")).where(F.col("z") >= clear).orderBy(F.desc("z"), "i").limit(max_features).collect()
-    i, ratio = np.array([r["i"] for r in best], dtype=np.int64), np.array([r["ratio"] for r in best])
+    best = counts.select("i", ratio.alias("ratio"), z.alias("z")).where(F.col("z") >= clear).select("i", "ratio").toArrow().sort_by("i")
+    i, ratio = best["i"].to_numpy().astype(np.int64), best["ratio"].to_numpy()
     weights = np.zeros(1 << BITS, dtype=np.float32)
     number = np.full(1 << BITS, -1, dtype=np.int32)
     number[i] = np.arange(len(i))
@@ -150,8 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
         share = (y.sum() + 0.5) / (len(y) + 1)
         return weights, float(np.log(share / (1 - share)))
     cols = [np.frombuffer(b, dtype=np.int32) for b in chosen["f"]]
-    row, col = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols]), np.concatenate(cols)
-    coef, bias = logistic(row, col, ratio[col].astype(np.float32), y, len(i), ridge)
+    coef, bias = logistic(cols, ratio, y, ridge)
     weights[i] = coef * ratio
     return weights, bias
 

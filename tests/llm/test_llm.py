@@ -264,6 +264,33 @@ def test_toxicity_learns_and_holds_out(spark, sf_dir):
     assert auc > 0.85 and held[held["toxic"] == 0]["predicted"].mean() < 0.05
 
 
+def test_toxicity_keeps_every_clear_feature(spark):
+    r = random.Random(8)
+    toxic = "".join(chr(0x4E00 + r.randrange(20000)) for _ in range(4000))
+    clean = "".join(chr(0x4E00 + r.randrange(20000)) for _ in range(4000))
+    df = spark.createDataFrame([(i, toxic if i % 2 else clean) for i in range(120)], "doc_id long, text string")
+    weights, _ = toxicity.fit(df, df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    has = [set(toxicity.features([t])[1].tolist()) for t in (toxic, clean)]
+    clear = np.array(sorted(has[0] ^ has[1]))
+    assert len(clear) > 20000 and (weights[clear] != 0).all() and np.count_nonzero(weights) == len(clear)
+    # of one half that the classifier never saw alone
+    out = toxicity.score_toxicity(df.select("doc_id", F.expr("substring(text, 2001, 60)").alias("text")), (weights, 0.0)).collect()
+    assert all((x.toxicity > 0.5) == (x.doc_id % 2 == 1) for x in out)
+
+
+def test_toxicity_is_fitted_alike_in_pieces():
+    rng = np.random.default_rng(5)
+    cols = [np.flatnonzero(rng.random(30) < rng.choice([0, 0.2])).astype(np.int32) for _ in range(200)]
+    scale, y = rng.normal(size=30), (rng.random(200) < 0.3).astype(float)
+    whole, parts = toxicity.logistic(cols, scale, y), toxicity.logistic(cols, scale, y, most=7)
+    assert np.allclose(whole[0], parts[0], atol=1e-6) and whole[1] == pytest.approx(parts[1], abs=1e-6)
+    x = np.zeros((200, 30))
+    for i, c in enumerate(cols):
+        x[i, c] = scale[c]
+    e = 1 / (1 + np.exp(-(x @ whole[0] + whole[1]))) - y
+    assert np.abs(x.T @ e + whole[0]).max() < 0.2 and abs(e.sum()) < 0.2
+
+
 def test_toxicity_edges(spark, docs, none):
     labels = spark.createDataFrame([(None, 1), (3, None), (7, 5), (9, 1), (9, 0), (10, 0), (10, 0)], "doc_id long, toxic int")
     for l in (labels, labels.where("toxic > 9")):
