@@ -29,7 +29,7 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 #: Bytes of a word, once A-Z are lower case: digits, a-z and all of any longer UTF-8 sequence.
 WORD = np.zeros(256, dtype=bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_W, _GAP = rb"[0-9a-z\x80-\xff]", rb"[^0-9a-z\x80-\xff]{1,8}"
+_W, _GAP = rb"[0-9a-z\x80-\xff]", rb"[^0-9a-z\x80-\xff]+"
 
 
 class Rule(NamedTuple):
@@ -51,7 +51,7 @@ def _compiled(source: bytes) -> re.Pattern:
     return re.compile(source)
 
 
-#: family: (label stem, names, versions that it is published in). A name's words may stand apart by punctuation.
+#: family: (label stem, names, versions that it is published in). A name's words may stand apart by anything that is no word.
 FAMILIES = [
     ("gpl", ["gnu general public licen[sc]e", "gnu gpl", "gpl"], ["1", "2", "3"]),
     ("lgpl", ["gnu lesser general public licen[sc]e", "gnu library general public licen[sc]e", "gnu lgpl", "lgpl"], ["2", "2 1", "3"]),
@@ -134,10 +134,9 @@ def rules() -> tuple[Rule, ...]:
             add("grant", label, 50, 0.95, grant + text, keys)
             add("name", label, 20, 0.3 if label == "proprietary" else 0.7, text, keys)
         add("tag", label, 70, 1.0, _expression("spdx licen[sc]e identifier " + label.replace("-", " ")), (b"spdx",))
-    # the base phrases as their contract has them: words stand consecutively, whatever lies between
     for phrase, label in BASE.items():
         words = phrase.encode().split(b" ")
-        add("base", label, 0, 0.5, rb"[^0-9a-z\x80-\xff]+".join(words), tuple(sorted(words, key=len)[-2:]))
+        add("base", label, 0, 0.5, _GAP.join(words), tuple(sorted(words, key=len)[-2:]))
     return tuple(sorted(out, key=lambda r: (-r.priority, r.name)))
 
 

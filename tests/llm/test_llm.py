@@ -252,6 +252,16 @@ def test_licences(spark):
     assert len(licences.rules()) > 300
 
 
+def test_licences_over_indented_and_commented_lines(spark):
+    gaps = ["\n" + " " * 10, "\n *" + " " * 12, "\n" + "#" * 30 + "\n# ", " " * 3000]
+    rows = [f"under the{g}GNU Lesser General{g}Public License{g}version{g}2.1" for g in gaps] + [f"Mozilla{g}Public License" for g in gaps]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan_licences(df).collect()}
+    assert [got[i].labels for i in range(8)] == ["lgpl-2.1"] * 4 + ["mpl"] * 4
+    wide, narrow = got[0].found[0], licences.detections(b"under the gnu lesser general public license version 2.1")
+    assert (wide.first, wide.last) == (2, 9) and wide.rule == narrow[0][2].name
+
+
 # 6
 
 
