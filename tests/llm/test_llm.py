@@ -136,6 +136,18 @@ def test_main_text_of_odd_pages(page):
     assert isinstance(main_text.main_text(page), str)
 
 
+@pytest.mark.parametrize("attrs", ['title="The hidden valley"', 'data-hidden="false"', "data-state='hidden'", "data-state=hidden", 'data-class="sidebar"', "title='id=nav'", 'x-id=ad data-role="menu"', "data-style='display:none'", '"hidden"'])
+def test_main_text_tells_attributes_from_values(attrs):
+    p = "<p>Some words of the article that stand in one wrapper.</p>"
+    assert main_text.main_text(f"<body><div {attrs}>{p}{p}</div></body>") == "\n".join([p[3:-4]] * 2)
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "title='x' hidden", "HIDDEN=''", "a=b/ hidden", "class = 'sidebar'", "id=nav", 'style="display: none"', "aria-hidden=true", "title='a>b' role=\"menu\"", "title=x\nclass=ad"])
+def test_main_text_leaves_marked_elements_out(attrs):
+    p = "<p>Some words of the article that stand in one wrapper.</p>"
+    assert main_text.main_text(f"<body>{p}{p}<div {attrs}><p>gone</p></div>{p}</body>") == "\n".join([p[3:-4]] * 3)
+
+
 def test_main_text_weights_are_learnt():
     w = main_text.weights()
     assert w["w"] > 0 > w["a"] and w["p"] > 0 > w["div"]
