@@ -1,15 +1,16 @@
-"""Operator 4: n-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""Operator 4: n-gram Jaccard join by MinHash bands of a fixed length, with exact verification.
 
-Each text becomes the set of its hashed five-word runs and ``trees`` signatures of ``depth`` MinHash
-values, sorted prefix tries of which the forest consists. Two texts of similarity s share a prefix of
-length x in one of the trees with probability ``1 - (1 - s**x)**trees``; the matched prefix is shortened
-from ``depth`` until that reaches the target recall at the threshold. Texts that share such a prefix are
-candidates. Candidates that hang together form a group, and inside a group every two texts are compared
-exactly, tile by tile, by the size of the intersection of their sets, so a link is decided exactly and a
-link that the forest missed is still found when both texts are in the group.
+Each text becomes the set of its hashed five-word runs and ``trees`` signatures of x MinHash values. Two
+texts of similarity s agree in one of them with probability ``1 - (1 - s**x)**trees``; x is the largest
+length, ``depth`` at most, at which that reaches the target recall at the threshold (5). It depends on
+constants alone, so it is settled once, the values beyond it are never made, and no trie is sorted or
+walked: these bands stand in for an LSH forest. Texts that share a band are candidates. Candidates that
+hang together form a group, and inside a group every two texts are compared exactly, tile by tile, by the
+size of the intersection of their sets, so a link is decided exactly and a link that the bands missed is
+still found when both texts are in the group, but only then.
 
 Scale: texts with equal sets are folded into one class first (a hot group of copies is one row); the
-buckets of the forest are only rows (bucket, class), from which stars are made after aggregation; groups
+buckets of the bands are only rows (bucket, class), from which stars are made after aggregation; groups
 become square tiles of bounded blocks; a tile emits counts and local roots, never pairs. Sets are not
 moved but made again from the text in the tile.
 """
