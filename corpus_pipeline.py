@@ -52,7 +52,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", not_toxic), ("near_duplicates", near_duplicates), ("long_repeats", long_repeats), ("mixing", mixed), ("token_ids", token_ids)]
 
-#: A fitted classifier is not SQL; the pipeline is tested against its stages by brute force.
+#: A fitted classifier is not SQL; run() is tested on a small corpus against plain Python (planted toxic texts, all else computed).
 ORACLE_SQL = None
 
 

@@ -528,3 +528,83 @@ def test_pipeline_stages(spark, docs, sf_dir):
             for r in at.collect():
                 assert len(words(r.text)) == cut[r.doc_id].n_words - cut[r.doc_id].n_removed
     assert at.count() > 0
+
+
+def test_pipeline_run_like_plain_python(spark, library, tmp_path):
+    import math
+
+    import corpus_pipeline as P
+
+    r = random.Random(21)
+    voc, bad = [f"word{i}" for i in range(300)], ["grolmix", "vexatrun", "zzyrk", "quombat"]
+    line = lambda n: " ".join(r.choice(voc) for _ in range(n))
+    passage, rows, toxic = line(45), [None, "", " \n "], set()
+    for i in range(150):
+        rows.append(line(r.randint(20, 150)))
+        if i % 4 == 0:
+            toxic.add(len(rows))
+            rows.append(" ".join(r.choice(bad) if r.random() < 0.4 else r.choice(voc) for _ in range(60)))
+        if i % 5 == 0:
+            ws = rows[-1].split(" ") if len(rows) - 1 not in toxic else line(90).split(" ")
+            rows.append(" ".join(ws))
+            ws[len(ws) // 2] = "other"
+            rows.append(" ".join(ws))
+        if i % 6 == 0:
+            rows.append(line(r.randint(0, 20)) + "\n" + passage + "  " + line(r.randint(0, 20)))
+    lone = [" ".join(f"only{k}" for k in range(s, s + 50)) for s in (0, 50)]
+    rows += [lone[0] + " " + "z " * 60 + lone[1], passage]
+    source = {i: ("s0", "s0", "s1", "s2", None)[i % 5] for i in range(len(rows))}
+    spark.createDataFrame([(i, t, "en", source[i], len(t or "")) for i, t in enumerate(rows)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(len(rows))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    # rejected ones, and one of each group
+    text = {i: t for i, t in enumerate(rows) if i not in toxic}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := words(t)) else set() for i, t in text.items()}
+    comp = {i: i for i in text}
+    links = [(a, b) for a in text for b in text if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while any(comp[a] != comp[b] for a, b in links):
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    text = {i: t for i, t in text.items() if comp[i] == i}
+    # cut texts
+    ws = {i: words(t) for i, t in text.items()}
+    seen = collections.Counter(tuple(w[j : j + 35]) for w in ws.values() for j in range(len(w) - 34))
+    n_cut = 0
+    for i, w in ws.items():
+        dead = {k for j in range(len(w) - 34) if seen[tuple(w[j : j + 35])] > 1 for k in range(j, j + 35)}
+        n_cut += bool(dead)
+        text[i] = " ".join(x for k, x in enumerate(w) if k not in dead) if dead else text[i]
+    # copies
+    size = {i: len(words(t)) for i, t in text.items() if words(t)}
+    names = sorted({source[i] for i in text if source[i]}) + [None]
+    n = {s: sum(size[i] for i in size if source[i] == s) for s in names}
+    w = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    left, target, open_ = 1.5 * sum(n.values()), {}, list(names)
+    while full := [s for s in open_ if left / sum(w[x] for x in open_) * w[s] > 2 * n[s]]:
+        for s in full:
+            target[s] = 2.0 * n[s]
+            open_.remove(s)
+        left = 1.5 * sum(n.values()) - sum(target.values())
+    target |= {s: left / sum(w[x] for x in open_) * w[s] for s in open_}
+    all_ = sum(target.values())
+    blocks, nth, plays = {s: max(1, math.ceil(n[s] / 64)) for s in names}, collections.Counter(), collections.Counter()
+    for slot in range(math.ceil(round(all_) / 64)):
+        u, up = (slot + 0.5) * mixing.GOLDEN % 1.0, 0.0
+        for s in names:
+            up += target[s] / all_
+            if u < up:
+                break
+        plays[s, nth[s] % blocks[s]] += nth[s] < 2 * blocks[s]
+        nth[s] += 1
+    want, copies_of, place = [], {}, collections.Counter()
+    for i in sorted(size, key=lambda i: sha(str(i))):
+        s, at = source[i], place[source[i]]
+        place[s] += size[i]
+        taken = sum(plays[s, k // 64] for k in range(at, at + size[i]))
+        copies_of[i] = (2 * taken + size[i]) // (2 * size[i])
+        ids = library.encode(text[i], add_bos=True, add_eos=True)
+        want += [(i, len(ids), np.array(ids, dtype="<u4").tobytes(), sha(library.decode(ids)))] * copies_of[i]
+    assert n_cut > 10 and len(links) > 30 and toxic and set(copies_of.values()) >= {0, 1, 2}
+    got = sorted((x.doc_id, x.n_tokens, bytes(x.ids), x.decoded_sha256) for x in P.run(spark, str(tmp_path)).collect())
+    assert collections.Counter(x[0] for x in got) == {i: c for i, c in copies_of.items() if c}
+    assert got == sorted(want)
