@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating star contractions.
 
 Each round is two equi-joins over edges only; no adjacency list is ever gathered in one
-task and nothing but two numbers a round reaches the driver.
+task, a hub meets its edges by broadcast, and nothing but some counts a round reaches the driver.
+Of the rounds' tables only the last stays in the shared folder.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.storage import staged
+from kindred.operators.hot import meet
+from kindred.storage import forget, staged
 
 
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -30,12 +32,13 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     for _ in range(max_rounds):
         # large star: each node hands its larger neighbours to the smallest node it sees
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = meet(both.where("b > a"), low, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: each node links its smaller neighbours, and itself, to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        cur = staged(least.select("a", F.col("m").alias("b")).unionByName(small).distinct(), "edges")
+        old, cur = cur, staged(least.select("a", F.col("m").alias("b")).unionByName(small).distinct(), "edges")
+        forget(old)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first())
         if now == before or now[0] == 0:
             break

@@ -10,15 +10,16 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
-#: Rows that go to a Python worker at once: texts are long, and both sides hold whole batches.
-BATCH_ROWS = "1000"
+#: Bytes that go to a Python worker at once: texts are long, and both sides hold whole batches.
+BATCH_BYTES = str(8 << 20)
+BATCH_ROWS = "4096"
 
 
 def ship(spark: SparkSession) -> None:
-    """Also lowers Spark's default of rows per Arrow batch; a number that somebody set stays."""
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows) == "10000":
-        spark.conf.set(rows, BATCH_ROWS)
+    """Also bounds Arrow batches by bytes and rows, where nobody has set these; what somebody set stays."""
+    for name, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where ``spark.checkpoint.dir`` is unset (tests, a laptop).
+#: Used only where ``spark.checkpoint.dir`` is unset and driver and executors are one process (tests, a laptop).
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; an error where a cluster names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (named or LOCAL_FALLBACK).rstrip("/")
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return LOCAL_FALLBACK
+    raise RuntimeError("spark.checkpoint.dir is unset: executors need a shared folder for intermediate tables")
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/kindred-{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/kindred-{kind}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def staged(df: DataFrame, kind: str = "stage") -> DataFrame:
@@ -28,10 +39,36 @@ def staged(df: DataFrame, kind: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, kind)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kindred_folder = path
+    return out
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``staged`` wrote for ``df``, once nothing reads it any more."""
+    path = getattr(df, "_kindred_folder", None)
+    if path:
+        drop_folder(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete all folders made inside, but for those of staged tables that are put into the list."""
+    keep: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        held = {df._kindred_folder for df in keep}
+        for path in _open.pop():
+            if path in held:
+                if _open:
+                    _open[-1].append(path)
+            else:
+                drop_folder(spark, path)
