@@ -6,14 +6,17 @@ add is bounded by the product of suffix norms (Cauchy-Schwarz), and rows, column
 pairs leave as soon as their cosine cannot reach the threshold. Pairs that survive are decided by the
 double-precision cosine of the vectors as they came.
 
-Scale: equal vectors are folded into one with a weight before anything else. Labels are cut into
-slabs along the first axis; as linked unit vectors lie within ``sqrt(2 - 2t)`` of each other, only a
-slab and its neighbour meet. Slabs are cut into blocks of ``block`` rows by hash, so a hot label is
-spread over many tiles, and each tile returns counts and local roots, not pairs.
+Scale: vectors travel as packed bytes; equal ones are folded into one with a weight before anything else.
+A label's vectors are dealt into cells along the two leading axes; as linked unit vectors lie within
+``sqrt(2 - 2t)`` of each other on every axis, only a cell and the cells beside it meet. Cells are cut into
+blocks of up to ``block`` rows by hash, so a hot label is spread over many tiles, a vector is sent once for
+each block that it meets, and a tile (worked through some rows at a time) returns counts and local roots,
+not pairs. Nodes are named by the smallest key of their copies, so the contraction gives the smallest key.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -23,35 +26,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.tables import table
-from kindred.llm.tiles import local_roots
+from kindred.llm.tiles import key_of, local_roots, node_of, settled
 from kindred.operators.components import connected_components
+from kindred.operators.hot import meet
 from kindred.storage import staged
 
 THRESHOLD = 0.93
-BLOCK = 1024
+#: Rows of a block at most, and bytes.
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
+#: Rows of a block that a tile works on at once.
+ROWS = 512
 #: Axes that are accumulated between two tests of the bound.
 STEP = 8
+#: Cells that are broadcast at most.
+MOST = 100_000
 
 
-def principal_axes(vectors: DataFrame, column: str, dim: int) -> np.ndarray:
-    """Principal axes (columns, strongest first) of all unit vectors of length ``dim``.
+def principal_axes(packed: DataFrame, dim: int) -> np.ndarray:
+    """Principal axes (columns, strongest first) of all unit vectors of length ``dim`` in the binary column ``v``.
 
     Each task sums its outer products; Spark adds up dim rows of dim numbers, which is all that the driver gets.
+    An empty table gives some orthonormal axes.
     """
 
     def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((dim, dim))
         for pdf in batches:
-            keep = [v for v in pdf[column] if v is not None and len(v) == dim]
-            if keep:
-                x = np.array(keep, dtype=np.float64)
-                n = np.sqrt((x * x).sum(axis=1, keepdims=True))
-                x = (x / np.where(n > 0, n, 1))[np.isfinite(n[:, 0]) & (n[:, 0] > 0)]
+            if len(pdf):
+                x = np.frombuffer(b"".join(pdf["v"]), dtype="<f8").reshape(-1, dim)
+                x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
                 total += x.T @ x
         yield pd.DataFrame({"i": np.arange(dim)} | {f"c{j}": total[:, j] for j in range(dim)})
 
     schema = "i long, " + ", ".join(f"c{j} double" for j in range(dim))
-    sums = vectors.select(column).mapInPandas(outer, schema).groupBy("i").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(dim)])
+    sums = packed.select("v").mapInPandas(outer, schema).groupBy("i").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(dim)])
     gram = np.zeros((dim, dim))
     for row in sums.collect():
         gram[row["i"]] = row[1:]
@@ -60,7 +68,7 @@ def principal_axes(vectors: DataFrame, column: str, dim: int) -> np.ndarray:
 
 
 def linked_in_tile(a: np.ndarray, b: np.ndarray, axes: np.ndarray | None, threshold: float, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) with cosine(a[i], b[j]) >= threshold, in double precision."""
+    """Positions (i, j) with cosine(a[i], b[j]) >= threshold, in double precision. Rows must be finite and not zero; no rows give no positions."""
     na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
     ua, ub = a / na[:, None], b / nb[:, None]
     if axes is not None and axes.shape[0] == a.shape[1]:
@@ -104,82 +112,119 @@ def linked_in_tile(a: np.ndarray, b: np.ndarray, axes: np.ndarray | None, thresh
     return i[sure], j[sure]
 
 
+def tile_links(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, same: bool, axes: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links by weight, local root) of the rows of a and then, unless both are the ``same``, of b; some rows of a at a time."""
+    n = len(a) if same else len(a) + len(b)
+    count, below = np.zeros(n, dtype=np.int64), 0 if same else len(a)
+    ends: list[tuple[np.ndarray, np.ndarray]] = []
+    for s in range(0, len(a), ROWS):
+        i, j = linked_in_tile(a[s : s + ROWS], b, axes, threshold)
+        if same:
+            i, j = i[i + s != j], j[i + s != j]
+        if not len(i):
+            continue
+        linked = np.zeros((min(ROWS, len(a) - s), len(b)), dtype=bool)
+        linked[i, j] = True
+        count[s : s + len(linked)] += linked @ wb
+        if not same:
+            count[below:] += linked.T @ wa[s : s + len(linked)]
+        rows, cols = local_roots(linked, False)
+        place = np.concatenate([np.arange(s, s + len(linked)), below + np.arange(len(b))])
+        root = np.concatenate([rows, cols])
+        ends.append((place[root != np.arange(len(root))], place[root[root != np.arange(len(root))]]))
+    if not ends:
+        return count, np.arange(n)
+    return count, settled(n, np.concatenate([x for x, _ in ends]), np.concatenate([y for _, y in ends]))
+
+
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        v, d, digest = [], [], []
+        for label, x in zip(pdf["label"], pdf["v"], strict=True):
+            x = None if x is None else np.array([np.nan if y is None else y for y in x] if x.dtype == object else x, dtype="<f8") + 0.0  # -0.0 and 0.0 are one value
+            good = label is not None and x is not None and len(x) and np.isfinite(x).all()
+            with np.errstate(over="ignore"):
+                good = good and 0 < (x * x).sum() < np.inf
+            raw = x.tobytes() if good else None
+            v.append(raw)
+            d.append(len(x) if good else 0)
+            digest.append(hashlib.blake2b(raw + label.encode(), digest_size=16).digest() if good else None)
+        yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "d": d, "digest": digest, "v": v})
+
+
 def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """One row per vector: its key, ``n_links``, ``component_id`` and ``kept``.
 
     Vectors link if their labels are equal and their cosine is at least ``threshold`` (above 0).
-    A null label, a null, empty or zero vector, and one with null or non-finite components link with
-    nothing; neither do vectors of unlike lengths. Equal vectors count singly, and rows with the same
-    key are separate vectors (each gets a row; they share a component if they link). A null key gets
+    A null label, a null, empty or zero vector, and one with null or non-finite components (or a norm beyond
+    doubles) link with nothing; neither do vectors of unlike lengths. Equal vectors count singly, and rows with
+    the same key are separate vectors (each gets a row; they share a component if they link). A null key gets
     a row with its links, but no component. Further columns are ignored. An empty table gives no rows.
     """
-    src = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("v"))
-    top = src.where("size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    src = vectors.select(F.col(key).cast("long").cast("string").alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("v"))
+    rows = src.mapInPandas(_pack, "id string, label string, d int, digest binary, v binary")
+    rows = staged(rows.withColumn("id", F.col("id").cast("long")), "vectors")
+    good = rows.where("digest is not null")
+    top = good.groupBy("d").count().orderBy(F.desc("count"), "d").first()
     dim = int(top["d"]) if top else 0
-    axes = principal_axes(src, "v", dim) if dim else None
-    first = axes[:, 0].tolist() if dim else []
+    axes = principal_axes(good.where(F.col("d") == dim), dim) if dim else None
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-6) + 1e-6
 
-    good = F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    src = src.withColumn("ok", good & (norm > 0))
-    lead = F.when(F.size("v") == dim, F.aggregate(F.zip_with("v", F.array(*map(F.lit, first)) if first else F.array().cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / norm).otherwise(0.0)
-    # -0.0 and 0.0 are one value; the digest names equal vectors of one label
-    digest = F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda x: (x + F.lit(0.0)).cast("string"))), 256))
-    rows = staged(src.select("id", "label", "ok", "v", digest.alias("digest"), F.when(F.col("ok"), F.floor(lead / width)).alias("slab")), "vectors")
-
-    reps = rows.where("ok").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.min(F.struct("label", "slab", "v")).alias("s"))
-    reps = reps.select("digest", "rep", "w", F.col("s.label").alias("label"), F.col("s.slab").alias("slab"), F.size("s.v").alias("d"), F.col("s.v").alias("v"))
+    @F.pandas_udf("array<int>")
+    def cell(v: pd.Series) -> pd.Series:
+        out = []
+        for b in v:
+            x = np.frombuffer(b, dtype="<f8")
+            at = (x / np.sqrt(x @ x)) @ axes[:, :2] if axes is not None and len(x) == dim else np.zeros(2)
+            out.append([int(y // width) for y in (*at, 0.0)[:2]])
+        return pd.Series(out)
+
+    reps = good.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("d").alias("d"), F.first("v").alias("v"))
+    reps = reps.withColumn("xy", cell("v")).select("digest", "rep", "w", "label", "d", "v", node_of(F.col("rep"), F.col("digest")).alias("c"), F.get("xy", F.lit(0)).alias("x"), F.get("xy", F.lit(1)).alias("y"))
     reps = staged(reps, "vectors")
-    slab = ["label", "d", "slab"]
-    sizes = reps.groupBy(*slab).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
-    beside = sizes.select("label", "d", (F.col("slab") - 1).alias("slab"), F.col("n").alias("n_up")).alias("u")
-    below = sizes.select("label", "d", (F.col("slab") + 1).alias("slab"), F.col("n").alias("n_down")).alias("l")
-    sizes = sizes.join(beside, slab, "left").join(below, slab, "left").na.fill(0, ["n_up", "n_down"])
+    at = ["label", "d", "x", "y"]
+    least = F.greatest(F.lit(64), F.least(F.lit(block), F.floor(F.lit(BLOCK_BYTES / 8) / F.col("d")))) if block >= 64 else F.lit(block)
+    cells = staged(reps.groupBy(*at).agg(F.ceil(F.count("*") / least).cast("int").alias("n")), "cells")
+    # a cell and those beside it, with their numbers of blocks: nine at most
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
+    seen = cells.select("label", "d", F.col("x").alias("x0"), F.col("y").alias("y0"), steps).select("label", "d", "x0", "y0", (F.col("x0") + F.col("s.dx")).alias("x"), (F.col("y0") + F.col("s.dy")).alias("y"), "s.dx", "s.dy")
+    beside = seen.join(cells, at).groupBy("label", "d", F.col("x0").alias("x"), F.col("y0").alias("y"))
+    beside = staged(beside.agg(F.collect_list(F.struct("dx", "dy", "n")).alias("beside"), F.max(F.when((F.col("dx") == 0) & (F.col("dy") == 0), F.col("n"))).alias("n")), "cells")
+    # few cells meet their vectors by broadcast, so a hot label is not gathered; many are no hot ones, or adaptive execution splits them
+    beside = F.broadcast(beside) if beside.limit(MOST + 1).count() <= MOST else beside
     own = F.pmod(F.xxhash64("digest"), F.col("n")).cast("int")
-    tiles = reps.join(sizes, slab).withColumn("own", own)
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    tile = F.explode(
-        F.concat(
-            F.transform(upto(F.col("n")), lambda o: F.struct(F.col("slab").alias("sa"), F.least("own", o).alias("ba"), F.col("slab").alias("sb"), F.greatest("own", o).alias("bb"), (F.col("own") > o).cast("int").alias("side"))),
-            F.transform(upto(F.col("n_up")), lambda o: F.struct(F.col("slab").alias("sa"), F.col("own").alias("ba"), (F.col("slab") + 1).alias("sb"), o.alias("bb"), F.lit(0).alias("side"))),
-            F.transform(upto(F.col("n_down")), lambda o: F.struct((F.col("slab") - 1).alias("sa"), o.alias("ba"), F.col("slab").alias("sb"), F.col("own").alias("bb"), F.lit(1).alias("side"))),
-        )
-    ).alias("t")
-    tiles = tiles.select("digest", "w", "v", "label", "d", tile).select("digest", "w", "v", "label", "d", "t.*")
+    placed = reps.join(beside, at).withColumn("own", own).select("c", "w", "v", *at, "own", F.explode("beside").alias("o"))
+    placed = placed.select("c", "w", "v", *at, "own", "o.*").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    here, after = (F.col("dx") == 0) & (F.col("dy") == 0), (F.col("dx") > 0) | ((F.col("dx") == 0) & (F.col("dy") > 0))
+    # the first block of a tile is in the cell (x, y), the second in (x + dx, y + dy), which comes after it
+    first = (here & (F.col("own") <= F.col("other"))) | after
+    pick = lambda yes, no: F.when(first, yes).otherwise(no)
+    tiles = placed.select(
+        "c", "w", "v", "label", "d", pick(F.col("x"), F.col("x") + F.col("dx")).alias("x"), pick(F.col("y"), F.col("y") + F.col("dy")).alias("y"), F.abs("dx").alias("dx"),
+        F.when(F.col("dx") < 0, -F.col("dy")).when(F.col("dx") == 0, F.abs("dy")).otherwise(F.col("dy")).alias("dy"), pick(F.col("own"), F.col("other")).alias("ba"), pick(F.col("other"), F.col("own")).alias("bb"), pick(0, 1).alias("side"),
+    )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = bool((pdf["sa"].iloc[0] == pdf["sb"].iloc[0]) and (pdf["ba"].iloc[0] == pdf["bb"].iloc[0]))
+        f = pdf.iloc[0]
+        same = bool(f["dx"] == 0 and f["dy"] == 0 and f["ba"] == f["bb"])
         a = pdf if same else pdf[pdf["side"] == 0]
         b = a if same else pdf[pdf["side"] == 1]
         if not len(a) or not len(b):
-            return pd.DataFrame({"digest": [], "root": [], "n": []})
-        i, j = linked_in_tile(np.array(a["v"].tolist(), dtype=np.float64), np.array(b["v"].tolist(), dtype=np.float64), axes, threshold)
-        if same:
-            i, j = i[i != j], j[i != j]
-        linked = np.zeros((len(a), len(b)), dtype=bool)
-        linked[i, j] = True
-        rows_, cols = local_roots(linked, same)
-        names = a["digest"].to_numpy() if same else np.concatenate([a["digest"].to_numpy(), b["digest"].to_numpy()])
-        n = np.bincount(i, weights=b["w"].to_numpy()[j], minlength=len(a)) if len(i) else np.zeros(len(a))
-        root = rows_
-        if not same:
-            n = np.concatenate([n, np.bincount(j, weights=a["w"].to_numpy()[i], minlength=len(b)) if len(i) else np.zeros(len(b))])
-            root = np.concatenate([rows_, cols])
+            return pd.DataFrame({"c": [], "root": [], "n": []}, dtype=object)
+        va, vb = (np.frombuffer(b"".join(p["v"]), dtype="<f8").reshape(len(p), -1) for p in (a, b))
+        n, root = tile_links(va, vb, a["w"].to_numpy(), b["w"].to_numpy(), same, axes, threshold)
+        names = a["c"].to_numpy() if same else np.concatenate([a["c"].to_numpy(), b["c"].to_numpy()])
         hit = n > 0
-        return pd.DataFrame({"digest": names[hit], "root": names[root[hit]], "n": n[hit].astype(np.int64)})
-
-    found = staged(tiles.groupBy("label", "d", "sa", "ba", "sb", "bb").applyInPandas(compare, "digest string, root string, n long"), "links")
-    links = found.groupBy("digest").agg(F.sum("n").alias("n"))
-    comp = connected_components(found, "digest", "root")
-    # the component's smallest key, over all copies of its vectors
-    named = reps.select("digest", "rep", "w").join(links, "digest", "left").join(comp.withColumnRenamed("node", "digest"), "digest", "left")
-    named = named.withColumn("component", F.coalesce("component", "digest"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("digest", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+        return pd.DataFrame({"c": names[hit], "root": names[root[hit]], "n": n[hit]})
+
+    found = staged(tiles.groupBy("label", "d", "x", "y", "dx", "dy", "ba", "bb").applyInPandas(compare, "c string, root string, n long"), "links")
+    links = found.groupBy("c").agg(F.sum("n").alias("n"))
+    comp = connected_components(found, "c", "root").select(F.col("node").alias("c"), key_of(F.col("component")).alias("component_id"))
+    named = reps.select("digest", "rep", "w", "c").join(links, "c", "left").join(comp, "c", "left")
+    named = named.select("digest", "w", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     # only rows that can link go through the join: those without a digest would meet in one task
-    linked = rows.where("ok").select("id", "digest").join(named, "digest").select("id", "n_links", "component_id")
-    alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    linked = meet(good.select("id", "digest"), named, "digest", "w").select("id", "n_links", "component_id")
+    alone = rows.where("digest is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(
         F.col("id").alias(key), "n_links", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
     )
@@ -187,3 +232,18 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
 
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: DuckDB: all pairs of one label, vectors once each, components by recursion.
+OP1_SQL = r"""
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+g AS (SELECT *, sqrt(list_dot_product(v, v)) AS m FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+u AS (SELECT label, v, min(vec_id) AS c, count(*) AS n, first(m) AS m FROM g WHERE m > 0 GROUP BY label, v),
+lk AS (SELECT a.c AS a, b.c AS b, b.n FROM u a JOIN u b ON a.label = b.label AND a.c <> b.c AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.m * b.m) >= 0.93),
+reach AS (SELECT a AS c, a AS r FROM lk UNION SELECT reach.c, lk.b FROM reach JOIN lk ON reach.r = lk.a),
+comp AS (SELECT c, min(r) AS r FROM reach GROUP BY c),
+s AS (SELECT a, sum(n) AS n FROM lk GROUP BY a),
+o AS (SELECT g.vec_id, (u.n - 1 + coalesce(s.n, 0))::BIGINT AS n_links, coalesce(comp.r, u.c) AS component_id FROM g JOIN u ON g.label = u.label AND g.v = u.v LEFT JOIN s ON s.a = u.c LEFT JOIN comp ON comp.c = u.c),
+t AS (SELECT * FROM o UNION ALL SELECT vec_id, 0, vec_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM o))
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM t
+"""
