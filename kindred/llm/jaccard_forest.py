@@ -1,18 +1,24 @@
-"""Operator 4: n-gram Jaccard join by MinHash bands of a fixed length, with exact verification.
-
-Each text becomes the set of its hashed five-word runs and ``trees`` signatures of x MinHash values. Two
-texts of similarity s agree in one of them with probability ``1 - (1 - s**x)**trees``; x is the largest
-length, ``depth`` at most, at which that reaches the target recall at the threshold (5). It depends on
-constants alone, so it is settled once, the values beyond it are never made, and no trie is sorted or
-walked: these bands stand in for an LSH forest. Texts that share a band are candidates. Candidates that
-hang together form a group, and inside a group every two texts are compared exactly, tile by tile, by the
-size of the intersection of their sets, so a link is decided exactly and a link that the bands missed is
-still found when both texts are in the group, but only then.
-
-Scale: texts with equal sets are folded into one class first (a hot group of copies is one row); the
-buckets of the bands are only rows (bucket, class), from which stars are made after aggregation; groups
-become square tiles of bounded blocks; a tile emits counts and local roots, never pairs. Sets are not
-moved but made again from the text in the tile.
+"""Operator 4: n-gram Jaccard join by a MinHash LSH forest, with exact verification.
+
+Each text becomes the set of its hashed five-word runs and, for each of ``trees`` trees, a path of ``depth``
+16-bit MinHash values. All paths are sorted by (tree, path) over range partitions: neighbours in that order
+are neighbours in the tree's prefix trie, and the length of the prefix that a row shares with the row before
+or after it is the deepest node at which it has company. Rows without company down to ``shortest`` go.
+
+1. At full depth every node's members are compared with the node's smallest member; members that link hold
+   together in clusters, and inside a cluster all pairs are compared (these are links, not candidates).
+2. Then the accepted prefix is shortened, level by level. At a level the members of a node that belong to
+   different clusters are compared, each pair at its longest common prefix and in the first tree that has it,
+   so no pair is compared twice and unverified candidates never chain.
+3. After each level the recall is estimated from the links that it and the levels before it verified: a link
+   of similarity s is met at prefix length x with probability ``1 - (1 - s**x)**trees``, so each found link
+   stands for that many (Horvitz-Thompson), with one more in every hundredth of similarity from the threshold
+   up, so that nothing found is not taken for nothing there. Shortening ends when the estimate reaches ``recall``.
+
+Scale: texts with equal sets are folded into one class first (a hot group of copies is one row). Nodes and
+clusters of any size become square tiles, bounded in rows and in hashes; a tile emits counts and local roots,
+never pairs. Sets, not texts, are moved, and only those of classes that have company. Hot nodes meet their
+rows by broadcast of a checked size.
 """
 
 from __future__ import annotations
@@ -22,41 +28,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.tables import table
-from kindred.llm.tiles import local_roots, tile_keys, with_tiles
+from kindred.llm.tiles import key_of, local_roots, node_of, tile_keys, with_tiles
 from kindred.llm.words import U, Words, chunks, encoded, mix, shingles
 from kindred.operators.components import connected_components
-from kindred.storage import staged
+from kindred.operators.hot import meet
+from kindred.storage import forget, staged
+
+THRESHOLD, WIDTH, TREES, DEPTH, SHORTEST, RECALL, BLOCK = 0.8, 5, 32, 8, 4, 0.99999, 192
+#: Hashes in one block of a tile, about.
+BLOCK_ITEMS = 1 << 18
+#: Hundredths of similarity, for the estimate of the recall.
+BANDS = 20
+
 
-THRESHOLD, WIDTH, TREES, DEPTH, RECALL, BLOCK = 0.8, 5, 32, 10, 0.99999, 192
+def met(s: float, x: int, trees: int) -> float:
+    """Probability that two texts of similarity s share a prefix of x values in one of the trees."""
+    return 1 - (1 - s**x) ** trees
 
 
-def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """Longest prefix that still gives the recall at the threshold."""
-    for x in range(depth, 0, -1):
-        if 1 - (1 - threshold**x) ** trees >= recall:
-            return x
-    return 1
+def estimated_recall(found: list[int], x: int, trees: int, threshold: float) -> float:
+    """Share of the links that prefixes of x values or more meet, from the links found by band of similarity, and one more in each band."""
+    low = [threshold + (1 - threshold) * i / len(found) for i in range(len(found))]
+    return sum(n + 1 for n in found) / sum((n + 1) / met(s, x, trees) for n, s in zip(found, low, strict=True))
 
 
-def prefixes(items: np.ndarray, trees: int, length: int) -> np.ndarray:
-    """One 64-bit name per tree of the first ``length`` MinHash values of a non-empty set."""
-    k = trees * length
-    odd = mix(np.arange(1, k + 1, dtype=U)) | U(1)
-    add = mix(np.arange(k + 1, 2 * k + 1, dtype=U))
-    low = np.full(k, np.iinfo(U).max, dtype=U)
-    for s in range(0, len(items), 512):  # stays in cache, whatever the length of the text
-        h = items[s : s + 512, None] * odd[None, :] + add[None, :]
-        h ^= h >> U(32)
+def paths(items: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """``trees`` rows of ``depth`` 16-bit MinHash values of a non-empty set."""
+    k = trees * depth
+    odd = (mix(np.arange(1, k + 1, dtype=U)) | U(1)).astype(np.uint32)
+    add = mix(np.arange(k + 1, 2 * k + 1, dtype=U)).astype(np.uint32)
+    x = (items ^ (items >> U(32))).astype(np.uint32)
+    low = np.full(k, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for s in range(0, len(x), 256):  # stays in cache, whatever the length of the text
+        h = x[s : s + 256, None] * odd[None, :]
+        h += add
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        h ^= h >> np.uint32(13)
         np.minimum(low, h.min(axis=0), out=low)
-    low = low.reshape(trees, length)
-    out = np.arange(trees, dtype=U)
-    for j in range(length):
-        out = mix(out) + low[:, j]
-    return mix(out).view(np.int64)
+    return (mix(low.astype(U)) >> U(48)).astype("<u2").reshape(trees, depth)
+
+
+def prefix_names(path: np.ndarray, x: int) -> np.ndarray:
+    """One 64-bit name of the first x values of each path (last axis)."""
+    out = np.full(path.shape[:-1], x, dtype=U)
+    for j in range(x):
+        out = mix(out) + path[..., j]
+    return out
+
+
+def newly_met(a: np.ndarray, b: np.ndarray, tree: int, x: int) -> np.ndarray:
+    """Whether a pair's longest common prefix, over all trees, has x values, and ``tree`` is the first to have it.
+
+    a, b: paths of the rows and of the columns, (rows, trees, depth).
+    """
+    pa, pb = prefix_names(a, x), prefix_names(b, x)
+    out = pa[:, tree, None] == pb[None, :, tree]
+    for t in range(tree):
+        out &= pa[:, t, None] != pb[None, :, t]
+    if x < a.shape[2]:
+        pa, pb = prefix_names(a, x + 1), prefix_names(b, x + 1)
+        for t in range(a.shape[1]):
+            out &= pa[:, t, None] != pb[None, :, t]
+    return out
 
 
 def shared(a: list[np.ndarray], b: list[np.ndarray], same: bool, most: int = 1024) -> np.ndarray:
@@ -80,6 +118,20 @@ def shared(a: list[np.ndarray], b: list[np.ndarray], same: bool, most: int = 102
     return out
 
 
+def similarities(a: list[np.ndarray], b: list[np.ndarray], wanted: np.ndarray | None, same: bool) -> np.ndarray:
+    """Jaccard similarities of the wanted pairs (all, if None); 0 where a pair isn't wanted."""
+    size_a, size_b = np.array([len(s) for s in a])[:, None], np.array([len(s) for s in b])[None, :]
+    if wanted is not None and wanted.sum() <= len(a) + len(b):  # few pairs: one after another
+        out = np.zeros(wanted.shape)
+        for i, j in zip(*np.nonzero(wanted), strict=True):
+            both = len(np.intersect1d(a[i], b[j], assume_unique=True))
+            out[i, j] = both / (len(a[i]) + len(b[j]) - both)
+        return out
+    both = shared(a, b, same)
+    out = both / (size_a + size_b - both)
+    return out if wanted is None else np.where(wanted, out, 0.0)
+
+
 def _sets(texts, width: int) -> list[np.ndarray]:
     items, out = encoded(texts), []
     for i, j in chunks(items):
@@ -88,8 +140,104 @@ def _sets(texts, width: int) -> list[np.ndarray]:
     return out
 
 
-def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: key, ``class_id``, ``class_size``, ``n_links``, ``component_id`` and ``kept``.
+def _forest(classes: DataFrame, trees: int, depth: int, shortest: int, parts: int) -> DataFrame:
+    """``(i, tree, path, deep)``: rows in the order of (tree, path) that have company at prefixes of ``shortest`` values; deep is the longest such prefix."""
+    width = 2 * depth
+
+    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = None  # the last row of the batch before: tree, path, row, prefix that it shares with the row before it
+
+        def lcp(p: np.ndarray, q: np.ndarray, same: np.ndarray) -> np.ndarray:
+            return np.where(same, np.cumprod(p == q, axis=1, dtype=np.int8).sum(axis=1), 0)
+
+        def rows(i, tree, path, deep) -> pd.DataFrame:
+            keep = deep >= shortest
+            return pd.DataFrame({"i": i[keep], "tree": tree[keep], "path": [p.tobytes() for p in path[keep]], "deep": deep[keep].astype(np.int32)})
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            i, tree = pdf["i"].to_numpy(), pdf["tree"].to_numpy()
+            path = np.frombuffer(b"".join(pdf["path"]), dtype="<u2").reshape(len(pdf), depth)
+            if before is not None:
+                i, tree, path = np.append(before[0], i), np.append(before[1], tree), np.concatenate([before[2], path])
+            share = lcp(path[1:], path[:-1], tree[1:] == tree[:-1])
+            # the first row of a partition may have company in the one before
+            up = np.append([depth if before is None else before[3]], share)
+            deep = np.maximum(up[:-1], share)
+            yield rows(i[:-1], tree[:-1], path[:-1], deep)
+            before = (i[-1:], tree[-1:], path[-1:], up[-1])
+        if before is not None:  # and the last one in the next
+            yield rows(*before[:3], np.array([depth]))
+
+    tree = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.substring("path", t * width + 1, F.lit(width)).alias("path")))).alias("t")
+    rows = classes.select("i", tree).select("i", "t.tree", "t.path").repartitionByRange(parts, "tree", "path", "i").sortWithinPartitions("tree", "path")
+    return staged(rows.mapInPandas(neighbours, "i long, tree int, path binary, deep int"), "forest")
+
+
+def _read(pdf: pd.DataFrame, trees: int, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
+    return [np.frombuffer(b, dtype=U) for b in pdf["items"]], np.frombuffer(b"".join(pdf["path"]), dtype="<u2").reshape(len(pdf), trees, depth)
+
+
+def _linked_heads(edges: DataFrame, sets: DataFrame, threshold: float, salt: int = 512) -> DataFrame:
+    """``(i, h)`` of the edges whose sets link. A hot head comes once for each ``salt`` of its edges."""
+    degree = staged(edges.groupBy("h").agg(F.ceil(F.count("*") / salt).cast("int").alias("salts")), "heads")
+    own = meet(edges, degree.withColumn("n", F.col("salts") * salt), "h", "n", bound=4 * salt)
+    own = own.select("i", "h", F.pmod(F.xxhash64("i"), "salts").cast("int").alias("s")).join(sets.select("i", "items"), "i")
+    heads = degree.select(F.col("h").alias("i"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s")).join(sets.select("i", "items"), "i")
+    both = own.unionByName(heads.select("i", F.col("i").alias("h"), "s", "items"))
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        items = [np.frombuffer(b, dtype=U) for b in pdf["items"]]
+        head = items[int(np.flatnonzero((pdf["i"] == pdf["h"]).to_numpy())[0])]
+        both = np.array([len(np.intersect1d(x, head, assume_unique=True)) for x in items])
+        linked = both / (np.array([len(x) for x in items]) + len(head) - both) >= threshold
+        return pdf.loc[linked & (pdf["i"] != pdf["h"]).to_numpy(), ["i", "h"]]
+
+    return staged(both.groupBy("h", "s").applyInPandas(verify, "i long, h long"), "stars")
+
+
+def _compare(tiles: DataFrame, keys: list, trees: int, depth: int, threshold: float, level: int | None) -> DataFrame:
+    """``(c, root, n, bands)`` of all tiles; at a level only pairs of different clusters that are newly met there. bands: the tile's links by similarity, on one of its rows."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = bool(pdf["tile_a"].iloc[0] == pdf["tile_b"].iloc[0])
+        a = pdf if same else pdf[pdf["tile_side"] == 0]
+        b = a if same else pdf[pdf["tile_side"] == 1]
+        empty = pd.DataFrame({"c": [], "root": [], "n": [], "bands": []}, dtype=object)
+        if not len(a) or not len(b):
+            return empty
+        sa, pa = _read(a, trees, depth)
+        sb, pb = (sa, pa) if same else _read(b, trees, depth)
+        wanted = None
+        if level is not None:
+            wanted = newly_met(pa, pb, int(a["tree"].iloc[0]), level) & (a["g"].to_numpy()[:, None] != b["g"].to_numpy()[None, :])
+            if not wanted.any():
+                return empty
+        alike = similarities(sa, sb, np.triu(wanted, 1) if same and wanted is not None else wanted, same)
+        linked = alike >= threshold
+        if same:
+            linked = linked | linked.T
+            np.fill_diagonal(linked, False)
+        if not linked.any():
+            return empty
+        band = np.minimum(((alike[np.triu(linked, 1) if same else linked] - threshold) * (BANDS / (1 - threshold))).astype(int), BANDS - 1)
+        rows, cols = local_roots(linked, same)
+        n, names, root = linked @ b["w"].to_numpy(), a["c"].to_numpy(), rows
+        if not same:
+            n, names, root = np.concatenate([n, linked.T @ a["w"].to_numpy()]), np.concatenate([names, b["c"].to_numpy()]), np.concatenate([rows, cols])
+        hit = n > 0
+        out = pd.DataFrame({"c": names[hit], "root": names[root[hit]], "n": n[hit].astype(np.int64)})
+        out["bands"] = [np.bincount(band, minlength=BANDS).astype(np.int64), *[None] * (len(out) - 1)]
+        return out
+
+    return staged(tiles.groupBy(*keys).applyInPandas(compare, "c string, root string, n long, bands array<long>"), "links")
+
+
+def jaccard_classes(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES, depth: int = DEPTH, shortest: int = SHORTEST, recall: float = RECALL, block: int = BLOCK
+) -> DataFrame:
+    """One row per row of ``docs``: key, ``class_id``, ``class_size``, ``n_links``, ``component_id``, ``kept`` and ``text_hash``.
 
     Words are runs of anything but white space, as they stand; a text of fewer than ``width`` words has
     one run of all of them. Two texts link if the Jaccard similarity of their sets of runs is at least
@@ -97,10 +245,13 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     component_id the smallest key that links lead to, the row's own included; kept says that it is the
     row's own key. A null, empty or blank text has no runs and links with nothing. Repeated rows are copies;
     of rows that share a key as well, each counts. A null key gets a row with null ids. Further columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. Links are decided exactly; pairs are met with the recall that
+    the module describes, down to prefixes of ``shortest`` values.
     """
-    x = prefix_length(threshold, trees, depth, recall)
-    src = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # keys go to Python as strings: a null beside them can't turn them into doubles
+    src = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("d"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -109,70 +260,94 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", th
                 sets = _sets(pdf["t"].iloc[i:j], width)
                 yield pd.DataFrame(
                     {
-                        "k": pdf["k"].iloc[i:j].astype("Int64"), "d": pdf["d"].iloc[i:j],
+                        "k": pdf["k"].iloc[i:j], "d": pdf["d"].iloc[i:j], "size": [len(s) for s in sets],
                         "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                        "names": [prefixes(s, trees, x) if len(s) else None for s in sets],
+                        "path": [paths(s, trees, depth).tobytes() if len(s) else None for s in sets],
                     }
                 )
 
-    src = src.withColumn("d", F.xxhash64("t"))
-    signed = staged(src.mapInPandas(sign, "k long, d long, digest binary, names array<long>"), "signed")
+    signed = src.select(F.col("k").cast("string").alias("k"), "t", "d").mapInPandas(sign, "k string, d long, size long, digest binary, path binary")
+    signed = staged(signed.withColumn("k", F.col("k").cast("long")), "signed")
     some = signed.where("digest is not null")
-    classes = some.groupBy("digest").agg(F.min("k").alias("class_id"), F.count("*").alias("w"), F.min(F.struct("d", "k")).alias("rep"))
-    # c: a short name of a class, its representative row's place
-    classes = staged(classes.select("digest", "class_id", "w", "rep.d", "rep.k", F.monotonically_increasing_id().alias("c")), "classes")
-    on = (F.col("s.digest") == F.col("r.digest")) & (F.col("s.d") == F.col("r.d")) & F.col("s.k").eqNullSafe(F.col("r.k"))
-    named = some.alias("s").join(classes.alias("r"), on).select("r.c", "s.names").groupBy("c").agg(F.first("names").alias("names"))
-    buckets = staged(named.select("c", F.explode("names").alias("bucket")), "buckets")
-    heads = buckets.groupBy("bucket").agg(F.min("c").alias("head"), F.max("c").alias("last")).where("head < last").select("bucket", "head")
-    groups = connected_components(buckets.join(heads, "bucket").select("c", "head"), "c", "head").withColumnRenamed("node", "c").withColumnRenamed("component", "grp")
-
-    # the texts of classes that have a candidate at all
-    wanted = groups.join(classes, "c").select("c", "grp", "w", F.col("d").alias("_d"), F.col("k").alias("_k"))
-    texts = src.join(wanted, (F.col("d") == F.col("_d")) & F.col("k").eqNullSafe(F.col("_k"))).groupBy("c", "grp", "w").agg(F.min("t").alias("t"))
-    tiles = with_tiles(staged(texts, "texts"), "grp", "c", block)
+    classes = some.groupBy("digest").agg(F.min("k").alias("class_id"), F.count("*").alias("w"), F.first("size").alias("size"), F.min(F.struct("d", "k", "path")).alias("rep"))
+    # c: a class's name, in the order of its smallest key; i: a short one
+    classes = staged(classes.select("digest", "class_id", "w", "size", "rep.*", node_of(F.col("class_id"), F.col("digest")).alias("c"), F.monotonically_increasing_id().alias("i")), "classes")
+    forest = _forest(classes, trees, depth, shortest, parts)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = bool(pdf["tile_a"].iloc[0] == pdf["tile_b"].iloc[0])
-        a = pdf if same else pdf[pdf["tile_side"] == 0]
-        b = a if same else pdf[pdf["tile_side"] == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"c": [], "root": [], "n": []}, dtype="int64")
-        sa = _sets(a["t"], width)
-        sb = sa if same else _sets(b["t"], width)
-        both = shared(sa, sb, same)
-        linked = both / (np.array([len(s) for s in sa])[:, None] + np.array([len(s) for s in sb])[None, :] - both) >= threshold
-        if same:
-            np.fill_diagonal(linked, False)
-        rows, cols = local_roots(linked, same)
-        n, names, root = linked @ b["w"].to_numpy(), a["c"].to_numpy(), rows
-        if not same:
-            n, names, root = np.concatenate([n, linked.T @ a["w"].to_numpy()]), np.concatenate([names, b["c"].to_numpy()]), np.concatenate([rows, cols])
-        hit = n > 0
-        return pd.DataFrame({"c": names[hit], "root": names[root[hit]], "n": n[hit].astype(np.int64)})
-
-    found = staged(tiles.groupBy(*tile_keys("grp")).applyInPandas(compare, "c long, root long, n long"), "links")
-    links = found.groupBy("c").agg(F.sum("n").alias("n"))
-    comp = connected_components(found, "c", "root").withColumnRenamed("node", "c")
-    joined = classes.select("digest", "class_id", "w", "c").join(links, "c", "left").join(comp, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    least = joined.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    joined = joined.join(least, "component").select("digest", "class_id", F.col("w").alias("class_size"), (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    # the sets of classes that have company
+    company = classes.join(forest.select("i").distinct(), "i", "left_semi").select("i", "c", "w", "size", "path", F.col("d").alias("_d"), F.col("k").alias("_k"))
+
+    def lay_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for s in range(0, len(pdf), 256):
+                part = pdf.iloc[s : s + 256]
+                yield part.drop(columns="t").assign(items=[x.tobytes() for x in _sets(part["t"], width)])
+
+    texts = src.join(company, (F.col("d") == F.col("_d")) & F.col("k").eqNullSafe(F.col("_k"))).select("i", "c", "w", "size", "path", "t")
+    sets = texts.mapInPandas(lay_out, "i long, c string, w long, size long, path binary, items binary")
+    # a row that is there twice, key and all, is one representative
+    sets = staged(sets.groupBy("i").agg(*[F.first(x).alias(x) for x in ("c", "w", "size", "path", "items")]), "sets")
+
+    def members(x: int) -> DataFrame:
+        return forest.where(F.col("deep") >= x).select("i", "tree", F.xxhash64("tree", F.substring("path", 1, 2 * x)).alias("node"))
+
+    # 1. clusters of verified links of full depth
+    deep = members(depth)
+    heads = deep.groupBy("node").agg(F.min("i").alias("h"), F.count("*").alias("n")).where("n > 1")
+    edges = meet(deep, heads, "node", "n").where("i <> h").select("i", "h").distinct()
+    stars = _linked_heads(staged(edges, "edges"), sets, threshold)
+    groups = staged(connected_components(stars, "i", "h").select(F.col("node").alias("i"), F.col("component").alias("g")), "groups")
+    inside = with_tiles(sets.drop("path").withColumn("path", F.lit(b"").cast("binary")).join(groups, "i"), "g", "c", block, "size", BLOCK_ITEMS)
+    found = [_compare(inside, tile_keys("g"), 0, depth, threshold, None)]
+
+    # 2. shorter and shorter prefixes
+    bands = [0] * BANDS
+    for x in range(depth, shortest - 1, -1):
+        named = staged(members(x).join(groups, "i", "left").withColumn("g", F.coalesce("g", "i")), "members")
+        nodes = named.groupBy("node").agg(F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("node", "n")
+        across = staged(meet(named, nodes, "node", "n").drop("n"), "across")
+        tiles = with_tiles(across.join(sets, "i"), "node", "c", block, "size", BLOCK_ITEMS)
+        links = _compare(tiles, tile_keys("node"), trees, depth, threshold, x)
+        found.append(links)
+        forget(named)
+        for r in links.where("bands is not null").select(F.posexplode("bands").alias("b", "m")).groupBy("b").agg(F.sum("m").alias("m")).collect():
+            bands[r["b"]] += r["m"]
+        if estimated_recall(bands, x, trees, threshold) >= recall:
+            break
+
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    links = every.groupBy("c").agg(F.sum("n").alias("n"))
+    comp = connected_components(every, "c", "root").select(F.col("node").alias("c"), key_of(F.col("component")).alias("component_id"))
+    named = classes.select("digest", "class_id", "w", "c").join(links, "c", "left").join(comp, "c", "left")
+    named = named.select("digest", "class_id", F.col("w").alias("class_size"), (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    out = some.select("k", "digest").join(joined, "digest").drop("digest")
-    out = out.unionByName(signed.where("digest is null").select("k", F.col("k").alias("class_id"), one.alias("class_size"), none.alias("n_links"), F.col("k").alias("component_id")))
+    out = meet(some.select("k", "d", "digest"), named, "digest", "class_size").drop("digest")
+    out = out.unionByName(signed.where("digest is null").select("k", "d", F.col("k").alias("class_id"), one.alias("class_size"), none.alias("n_links"), F.col("k").alias("component_id")))
     known = lambda c: F.when(F.col("k").isNotNull(), F.col(c)).alias(c)
-    return out.select(F.col("k").alias(key), known("class_id"), "class_size", "n_links", known("component_id"), F.coalesce(F.col("k") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("k").alias(key), known("class_id"), "class_size", "n_links", known("component_id"), F.coalesce(F.col("k") == F.col("component_id"), F.lit(True)).alias("kept"), F.col("d").alias("text_hash"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` (all its columns) with one row of each group of linked texts, the one with the smallest key; rows with a null key stay."""
-    kept = jaccard_classes(docs, key, text, **options).where(F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("_k")).distinct()
-    out = docs.where(F.col(key).isNotNull()).join(kept, docs[key] == F.col("_k"), "left_semi").dropDuplicates([key])
-    return out.unionByName(docs.where(F.col(key).isNull()))
+    """``docs`` (all its columns) with one row of each group of linked texts, the one with the smallest key.
+
+    Of rows that are there twice, key and text, one stays. Rows with a null key stay, and so do null and empty
+    texts. Columns may have any names.
+    """
+    own = "_" * max(map(len, docs.columns))  # begins no name of docs
+    k, d, n = (own + x for x in ("k", "d", "n"))
+    kept = jaccard_classes(docs, key, text, **options).where(F.col("kept") & F.col(key).isNotNull())
+    kept = staged(kept.groupBy(F.col(key).alias(k), F.col("text_hash").alias(d)).agg(F.count("*").alias(n)), "kept")
+    on = (docs[key].cast("long") == F.col(k)) & (F.xxhash64(docs[text]) == F.col(d))
+    out = docs.join(kept.where(F.col(n) == 1), on, "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    if kept.where(F.col(n) > 1).limit(1).count():
+        out = out.unionByName(docs.join(kept.where(F.col(n) > 1), on, "left_semi").dropDuplicates([key, text]))
+    return out
 
 
 def op4_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 #: DuckDB: all pairs of classes that share a run, by counting; components by recursion.
