@@ -150,7 +150,52 @@ def test_main_text_leaves_marked_elements_out(attrs):
 
 def test_main_text_weights_are_learnt():
     w = main_text.weights()
-    assert w["w"] > 0 > w["a"] and w["p"] > 0 > w["div"]
+    assert w.of(frozenset()) > 0 > w.of(frozenset(["a"])) and max(w.tag.values()) <= 0 and w.skip < 0
+    for f in ("nav", "footer", "aside", "form", "dialog", "menu", "fieldset", "header", "hint"):
+        assert w.unlikely({f}) and not w.unlikely({f"{f} around"})
+    for layout in main_text.LAYOUTS:  # finds again what it was shown, but for headings and the like
+        layout = layout.replace("{l}", "<a href='/'>out out</a>").replace("{s}", "w " * 9).replace("{p}", "w " * 45)
+        want = sum(len(re.sub("<[^>]*>", " ", x).split()) for x in re.split("[«»]", layout)[1::2])
+        got = main_text.main_text(layout.replace("«", "").replace("»", "")).split()
+        assert abs(len(got) - want) <= 0.1 * want
+
+
+SENTENCE = "Some words of the article that stand in one wrapper."
+
+
+@pytest.mark.parametrize("cls", ["content-with-sidebar", "post ad-free", "has-comments", "layout no-sidebar", "entry share-enabled", "related-topic", "sidebar", "comments", "wrapper-nav", "ad"])
+def test_main_text_keeps_what_a_hostile_name_wraps(cls):
+    body = "<h1>The title</h1>" + f"<p>{SENTENCE}</p>" * 3
+    want = "\n".join(["The title"] + [SENTENCE] * 3)
+    assert main_text.main_text(f"<body><nav><a>x</a></nav><div class='{cls}'>{body}</div><footer>end</footer></body>") == want
+    assert main_text.main_text(f"<body><div id={cls}><article>{body}</article><div class=comments><p>nice</p></div></div><aside>x y</aside></body>") == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<nav><a>A</a><a>B</a><article>{}</article><footer>x",  # menu that is never closed
+        "<div class=menu><ul><li>A<li>B</ul></div><div>{}</div><div class='comment-list'><article><p>I like this very much, it is nice.</p></article></div>",
+        "<table><tr><td><a>A</a><td>{}</table><div id=respond>Leave a reply</div>",
+        "<form><input><div>{}</div></form><div role=contentinfo>c</div>",
+        "<div><div><div><section>{}</section></div></div></div><p>Sign up for our newsletter today</p>",
+        "<header>Site <a>Home</a></header><main>{}<form>name</form></main><aside>x",
+        "<!-- c --><style>p{{}}</style><noscript>x</noscript><div>{}</div><script>var x='<p>y</p>'</script><div class='cookie-bar'>We use cookies</div>",
+        "<article><header>{}</header></article><section class='related-posts'><p>More of the same</p></section>",
+    ],
+)
+def test_main_text_of_layouts_unlike_the_labelled_ones(page):
+    p = f"<p>{SENTENCE}</p>" * 2 + "<div class='ad-slot'><p>Buy one now</p></div>" + f"<p>{SENTENCE}</p>"
+    assert main_text.main_text(f"<html><body>{page.format(p)}</body></html>") == "\n".join([SENTENCE] * 3)
+
+
+def test_main_text_of_long_and_repeated_pages(spark):
+    long = "<nav>x</nav><article>" + f"<p>{SENTENCE} <a>link</a></p>" * 20000 + "</article>"
+    df = spark.createDataFrame([(1, long, "a", 0), (1, long, "a", 0), (2, None, "b", 1), (3, "", None, 2)], "page_id long, html string, text string, s int")
+    got = sorted((r.page_id, len(r.text), r.s) for r in main_text.extract_main_text(df).collect())
+    n = 20000 * (len(SENTENCE) + 6) - 1
+    assert got == [(1, n, 0), (1, n, 0), (2, 0, 1), (3, 0, 2)]
+    assert main_text.extract_main_text(df.limit(0)).collect() == []
 
 
 def test_main_text_over_pages(spark, sf_dir):
