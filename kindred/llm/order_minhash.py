@@ -1,14 +1,16 @@
 """Operator 7 [native]: document fingerprints by Order MinHash.
 
 A text's k-mers are its runs of ``WIDTH`` words; equal k-mers are numbered by occurrence, so that each
-numbered k-mer is unique. A hash deals them into bins and orders them inside their bin; each bin selects
-its two smallest, puts them back into text order, and hashes the tuple. A repeated or moved passage
-changes the tuples, so the share of equal tuples follows edit distance, not only the set of words.
+numbered k-mer is unique. One hash deals them into ``BINS`` bins and orders them inside their bin. Each bin
+selects the two smallest k-mers at or after its start in that order, round the end, so every bin has two
+wherever the text has two k-mers (a thin bin borrows from the next one); it puts them back into text order
+and hashes the tuple. A repeated or moved passage changes the tuples, so the share of equal tuples follows
+edit distance, not only the set of words. One order cut into bins stands for ``BINS`` separate orders.
 
 Everything is an expression over arrays of 64-bit integers: sort, cut into runs, number, sort again. Values
 are bound by one-element ``transform``s, so that no expression is evaluated twice; each step is linear or a
-sort, for texts of any length. A k-mer is packed with its place (24 bits; words after the 16 millionth share
-the last place).
+sort. A k-mer is packed with its place of 30 bits: a string holds fewer than 2**31 bytes, so fewer than 2**30
+words.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from kindred.llm.tables import table
 from kindred.storage import staged
 
 WIDTH = 2
-_PLACE = (1 << 24) - 1
+BINS = 32
+_BITS = 30
+_PLACE = (1 << _BITS) - 1
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -41,36 +45,41 @@ def _run_starts(a: Column, n: Column, bits: int) -> Column:
 
 
 def fingerprint(text: Column, width: int = WIDTH) -> Column:
-    """At most 32 tuples, as ``bin << 32 | hash``, ascending by bin; none for a text without words."""
+    """32 tuples, as ``bin << 32 | hash``, ascending by bin; none for a null text or one without words.
+
+    A text of one k-mer (or of fewer words than ``width``, which are one k-mer) has it alone in all tuples.
+    """
     place = lambda x: x.bitwiseAND(F.lit(_PLACE))
 
     def of_words(w: Column) -> Column:
         n = F.greatest(F.size(w) - (width - 1), F.lit(1))
-        packed = lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(width)]).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(F.least(i, F.lit(_PLACE)).cast("long"))
-        return F.when(F.size(w) > 0, _let(F.sort_array(_upto(n, packed)), lambda s: _let(_run_starts(s, F.size(s), 24), lambda r: of_runs(s, r)))).otherwise(F.array().cast("array<bigint>"))
+        packed = lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(width)]).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))
+        return F.when(F.size(w) > 0, _let(F.sort_array(_upto(n, packed)), lambda s: _let(_run_starts(s, F.size(s), _BITS), lambda r: of_runs(s, r)))).otherwise(F.array().cast("array<bigint>"))
 
     def of_runs(s: Column, r: Column) -> Column:
         def numbered(i: Column, start: Column) -> Column:
-            g = F.xxhash64(F.shiftright(F.get(s, i), 24), i - start)
-            return F.shiftleft(F.shiftrightunsigned(g, 59), 58).bitwiseOR(F.shiftleft(F.shiftrightunsigned(g, 25).bitwiseAND(F.lit((1 << 34) - 1)), 24)).bitwiseOR(place(F.get(s, i)))
+            # 5 bits of bin, 28 of order, 30 of place
+            g = F.xxhash64(F.shiftright(F.get(s, i), _BITS), i - start)
+            return F.shiftleft(F.shiftrightunsigned(g, 31), _BITS).bitwiseOR(place(F.get(s, i)))
 
         run = lambda x: F.transform(F.sequence(F.get(r, x), F.coalesce(F.get(r, x + 1), F.size(s)) - 1), lambda i: numbered(i, F.get(r, x)))
-        return _let(F.sort_array(F.flatten(_upto(F.size(r), run))), lambda z: F.transform(_run_starts(z, F.size(z), 58), lambda i: of_bin(F.get(z, i), F.get(z, i + 1))))
+        return _let(F.sort_array(F.flatten(_upto(F.size(r), run))), lambda z: _let(_run_starts(z, F.size(z), 58), lambda starts: of_bins(z, starts)))
+
+    def of_bins(z: Column, starts: Column) -> Column:
+        first = lambda b: F.coalesce(F.get(F.filter(starts, lambda i: F.shiftright(F.get(z, i), 58) >= b), F.lit(0)), F.lit(0))
+        return _upto(F.lit(BINS), lambda b: _let(first(b), lambda i: of_pair(b, F.get(z, i), F.get(z, (i + 1) % F.size(z)))))
 
-    def of_bin(a: Column, b: Column) -> Column:
-        both = b.isNotNull() & (F.shiftright(a, 58) == F.shiftright(b, 58))
-        x, y = F.shiftright(a, 24), F.shiftright(b, 24)
-        h = F.when(~both, F.xxhash64(x)).when(place(a) <= place(b), F.xxhash64(x, y)).otherwise(F.xxhash64(y, x))
-        return F.shiftleft(F.shiftright(a, 58), 32).bitwiseOR(h.bitwiseAND(F.lit((1 << 32) - 1)))
+    def of_pair(b: Column, x: Column, y: Column) -> Column:
+        u, v = F.shiftright(x, _BITS), F.shiftright(y, _BITS)
+        h = F.when(place(x) <= place(y), F.xxhash64(u, v)).otherwise(F.xxhash64(v, u))
+        return F.shiftleft(b.cast("long"), 32).bitwiseOR(h.bitwiseAND(F.lit((1 << 32) - 1)))
 
-    return _let(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != ""), of_words)
+    return _let(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""), of_words)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of bins in use whose tuples agree; 1 if neither text has words."""
-    bins = lambda x: F.transform(x, lambda v: F.shiftright(v, 32))
-    used = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(used == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / used)
+    """Share of bins whose tuples agree; 1 if neither text has words, 0 if one has none."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.lit(float(BINS)))
 
 
 def printed(a: Column) -> Column:
