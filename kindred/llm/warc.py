@@ -11,7 +11,7 @@ by its first key, the block by binary search in the directory, the line by binar
 and then read only the record's bytes. The driver holds one row per partition, a fixed number.
 
 Scale: payloads are moved once (to learn whether they are repeated); counts by digest are aggregated
-first, and a hot digest is joined in parts that adaptive execution splits. Blocks, directories and records
+first, and rows of a hot digest learn of it by broadcast. Blocks, directories and records
 are read by range.
 """
 
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.tables import table
+from kindred.operators.hot import meet
 from kindred.storage import new_folder, staged
 
 LINES = 512
@@ -95,7 +96,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     """
     src = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("h"))
     src = src.withColumn("sha", F.sha1("h"))
-    best = src.where(F.octet_length("h") >= least).groupBy("sha").agg(F.max("k").alias("best"))
+    best = src.groupBy("sha").agg(F.max(F.when(F.octet_length("h") >= least, F.col("k"))).alias("best"), F.count("*").alias("n"))
     kind = pages.schema[key].dataType.simpleString()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,10 +106,9 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
         for pdf in batches:
             rows = []
             for k, u, h, sha, best in zip(pdf["k"], pdf["u"], pdf["h"], pdf["sha"], pdf["best"], strict=True):
-                k, best = (None if x is None or x != x else int(x) if not isinstance(x, str) else x for x in (k, best))
                 own = best is None or k == best
                 b32 = base64.b32encode(bytes.fromhex(sha)).decode()
-                member = record("response" if own else "revisit", "null" if k is None else str(k), u, h, b32, None if own else str(best))
+                member = record("response" if own else "revisit", "null" if k is None else k, u, h, b32, None if own else best)
                 if out is None:
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
                 out.write(member)
@@ -119,8 +119,10 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
         if out is not None:
             out.close()
 
-    rows = src.join(best, "sha", "left").select("k", "u", "h", "sha", "best")
-    return staged(rows.mapInPandas(write, f"surt string, k {kind}, file string, at long, size long"), "captures")
+    # payloads of hot digests stay where they are; keys go to Python as strings, which a null beside them doesn't change
+    rows = meet(src, best, "sha", "n").select(F.col("k").cast("string").alias("k"), "u", "h", "sha", F.col("best").cast("string").alias("best"))
+    rows = rows.mapInPandas(write, "surt string, k string, file string, at long, size long")
+    return staged(rows.withColumn("k", F.col("k").cast(kind)), "captures")
 
 
 def _line_key(key: str, name) -> str:
@@ -128,7 +130,10 @@ def _line_key(key: str, name) -> str:
 
 
 def build_index(captures: DataFrame, folder: str, parts: int, lines: int = LINES) -> tuple[list[str], list[str]]:
-    """Write the sorted index; (first keys, names) of its partitions, in order: at most ``parts`` rows on the driver."""
+    """Write the sorted index; (first keys, names) of its partitions, in order: at most ``parts`` rows on the driver.
+
+    Captures with a null key stand under their surt alone; repeated lines all stay. No captures give two empty lists.
+    """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _open_fs(folder)
@@ -146,7 +151,7 @@ def build_index(captures: DataFrame, folder: str, parts: int, lines: int = LINES
 
         for pdf in batches:
             for key, surt_, k, file, start, size in zip(pdf["line"], pdf["surt"], pdf["k"], pdf["file"], pdf["at"], pdf["size"], strict=True):
-                held.append((key, surt_, None if k is None or k != k else str(k), file, int(start), int(size)))
+                held.append((key, surt_, k, file, int(start), int(size)))
                 if len(held) >= lines:
                     flush()
         if held:
@@ -159,7 +164,7 @@ def build_index(captures: DataFrame, folder: str, parts: int, lines: int = LINES
 
     ordered = captures.withColumn("line", F.concat_ws(" ", "surt", F.coalesce(F.col("k").cast("string"), F.lit(""))))
     ordered = ordered.repartitionByRange(parts, "line", "file", "at").sortWithinPartitions("line")
-    top = staged(ordered.select("line", "surt", "k", "file", "at", "size").mapInPandas(write, "first string, name string"), "directory")
+    top = staged(ordered.select("line", "surt", F.col("k").cast("string").alias("k"), "file", "at", "size").mapInPandas(write, "first string, name string"), "directory")
     rows = sorted((r["first"].encode(), r["name"]) for r in top.collect())
     return [r[0] for r in rows], [r[1] for r in rows]
 
@@ -218,7 +223,11 @@ class Reader:
 
 
 def read_archives(pages: DataFrame, folder: str, firsts: list[bytes], names: list[str], parts: int, key: str = "page_id", url: str = "url") -> DataFrame:
-    """Look up every row's capture by url and key: key, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``payload`` (null in revisits)."""
+    """Look up every row's capture by url and key: key, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``payload`` (null in revisits).
+
+    Null urls and keys are looked up as such; rows that share both take their captures in turn. Further columns
+    are ignored; an empty table gives no rows. A damaged response raises.
+    """
     kind = pages.schema[key].dataType.simpleString()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,14 +249,14 @@ def read_archives(pages: DataFrame, folder: str, firsts: list[bytes], names: lis
             yield pd.DataFrame(rows, columns=["k", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
     to_surt = F.pandas_udf(lambda s: s.map(surt), "string")
-    asked = pages.select(F.col(key).alias("k"), F.col(url).alias("u")).withColumn("line", F.concat_ws(" ", to_surt(F.coalesce("u", F.lit(""))), F.coalesce(F.col("k").cast("string"), F.lit(""))))
+    asked = pages.select(F.col(key).cast("string").alias("k"), F.col(url).alias("u")).withColumn("line", F.concat_ws(" ", to_surt(F.coalesce("u", F.lit(""))), F.coalesce("k", F.lit(""))))
     asked = asked.repartitionByRange(parts, "line").sortWithinPartitions("line")
-    out = asked.mapInPandas(read, "k string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary") if kind == "string" else asked.mapInPandas(read, f"k {kind}, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
-    return out.select(F.col("k").alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "payload")
+    out = asked.mapInPandas(read, "k string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
+    return out.select(F.col("k").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "payload")
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, parts: int | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Write all pages, index them, and read every one back through the index."""
+    """Write all pages, index them, and read every one back through the index; nulls, repeats and empty tables as in its three steps."""
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
