@@ -6,7 +6,8 @@ lie in one flat array of symbols. Each round looks up the rank of every neighbou
 smallest rank of each word (a segmented minimum), merges there, leftmost first, in all words at once,
 and compacts the array; words in which no pair is left leave it. Where merging one pair could open a
 better one, a word merges only its leftmost place in that round, which keeps the order that a single
-priority queue would have. Characters without a piece become byte pieces.
+priority queue would have. Characters without a piece become byte pieces. A round passes over a whole word, so
+a word of more than ``LONG`` characters (text without spaces) is merged from such a queue instead.
 
 The vocabulary (some 32,000 pieces) is read once on the driver and is sent to the executors; they need
 no tokenizer file. Each worker keeps a bounded memory of words that it has already encoded.
@@ -14,6 +15,7 @@ no tokenizer file. Each worker keeps a bounded memory of words that it has alrea
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 from kindred.llm.tables import table
 
 META = "▁"
+#: Characters of a word beyond which its pairs are kept in a queue.
+LONG = 256
+#: Longest word that a worker remembers.
+KEPT = 64
 NONE = np.int32(2**31 - 1)
 
 
@@ -89,6 +95,36 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
         return np.where((self.pair_key[at] == key) & (left >= 0) & (right >= 0), self.pair_piece[at], -1)
 
+    def merged_long(self, sym: list[int]) -> list[int]:
+        """All merges of one word from a queue: best rank first, then leftmost."""
+        if not hasattr(self, "_pairs"):
+            self._pairs = dict(zip(self.pair_key.tolist(), self.pair_piece.tolist(), strict=True))
+            self._ranks = self.rank.tolist()
+        pairs, ranks, size, n = self._pairs, self._ranks, self.size, len(sym)
+        before, after, gone = list(range(-1, n - 1)), list(range(1, n + 1)), -(1 << 40)
+        queue: list[tuple[int, int, int, int, int]] = []
+
+        def push(i: int) -> None:
+            j = after[i]
+            if j < n and sym[i] >= 0 and sym[j] >= 0 and (p := pairs.get(sym[i] * size + sym[j])) is not None:
+                heapq.heappush(queue, (ranks[p], i, p, sym[i], sym[j]))
+
+        for i in range(n - 1):
+            push(i)
+        while queue:
+            _, i, p, a, b = heapq.heappop(queue)
+            j = after[i]
+            if sym[i] != a or j >= n or sym[j] != b:
+                continue
+            sym[i], sym[j] = p, gone
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            push(i)
+            if before[i] >= 0:
+                push(before[i])
+        return [s for s in sym if s != gone]
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word (little-endian unsigned 32-bit), without begin and end."""
         if not words:
@@ -98,6 +134,13 @@ class PieceModel:
         sym = self.lut()[cp].astype(np.int64)
         sym = np.where(sym < 0, -1 - cp.astype(np.int64), sym)
         done_sym, done_word = [], []
+        if (long := [i for i, w in enumerate(words) if len(w) > LONG]):
+            first = np.searchsorted(word, [long, [i + 1 for i in long]])
+            for i, a, b in zip(long, *first.tolist(), strict=True):
+                done_sym.append(np.array(self.merged_long(sym[a:b].tolist()), dtype=np.int64))
+                done_word.append(np.full(len(done_sym[-1]), i))
+            rest = ~np.isin(word, long)
+            sym, word = sym[rest], word[rest]
 
         def looked_up(i: np.ndarray) -> None:
             """Refresh the pairs that start at positions i."""
@@ -168,14 +211,17 @@ _known: dict[str, bytes] = {}
 
 
 def encode_texts(model: PieceModel, texts: list[str], known: dict[str, bytes] | None = None, most_known: int = 150_000) -> list[bytes]:
-    """Ids of whole texts with begin and end. known: words encoded before; it is emptied when it outgrows most_known."""
+    """Ids of whole texts with begin and end. known: words of up to KEPT characters encoded before; it is emptied when it outgrows most_known."""
     known = _known if known is None else known
     if len(known) > most_known:
         known.clear()
     split = [model.word.findall(META + t.replace(" ", META)) if t else [] for t in texts]
     new = list({w for ws in split for w in ws} - known.keys())
-    known.update(zip(new, model.encode_words(new), strict=True))
+    made = dict(zip(new, model.encode_words(new), strict=True))
+    known.update((w, b) for w, b in made.items() if len(w) <= KEPT)
     begin, end = (np.array([i], dtype="<u4").tobytes() for i in (model.bos, model.eos))
+    if any(len(w) > KEPT for w in new):
+        return [b"".join([begin, *(known.get(w) or made[w] for w in ws), end]) for ws in split]
     return [b"".join([begin, *map(known.__getitem__, ws), end]) for ws in split]
 
 
