@@ -8,12 +8,12 @@ having to agree on a dictionary. For each symbol the words that its existence de
 reach). Two equal windows hold the same symbols, counting those whose reach lies inside the window; so a
 window can only repeat if every such symbol occurs at least twice in the corpus. Spark counts the symbols
 (some five words each, a small part of the corpus), and only windows that pass are compared, by
-128-bit hashes of their words, again by counting. Windows that hold no such symbol always pass, so the
+two 64-bit hashes, from two independent hashes of each word, again by counting. Windows that hold no such symbol always pass, so the
 filter loses no repeated window.
 
 Scale: documents with equal words are folded into one first; counts are aggregated before they are
-shuffled; hot symbols and windows meet their counts in joins that adaptive execution can split; tables
-that cut the lineage are written to the shared folder. No task holds more than a document at a time
+shuffled; symbols of many texts meet their counts by broadcast of a checked size, hot windows in a join that
+adaptive execution can split; tables that cut the lineage are written to the shared folder. No task holds more than a document at a time
 beyond its batch.
 """
 
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.tables import table
 from kindred.llm.words import U, Words, chunks, encoded, mix, powers
+from kindred.operators.hot import meet
 from kindred.storage import staged
 
 WINDOW = 35
@@ -110,12 +111,12 @@ def _text_of(words: Words, d: int, keep: np.ndarray | None = None) -> bytes:
 
 
 def _windows(words: Words, d: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every window of text d."""
-    h = words.hash[words.first[d] : words.first[d + 1]]
+    """Two 64-bit hashes of every window of text d, from two hashes of each word."""
+    h, g = (x[words.first[d] : words.first[d + 1]] for x in (words.hash, words.other))
     n = len(h) - window + 1
     p, q = powers(len(h) + 1)
     out = []
-    for x in (h, mix(h ^ U(0x8EBC6AF09C88C6E3))):
+    for x in (h, g):
         total = np.zeros(len(h) + 1, dtype=U)
         np.cumsum(x * p[: len(h)], out=total[1:])
         out.append(mix((total[window:] - total[:-window]) * q[:n]).view(np.int64))
@@ -140,7 +141,7 @@ class Found:
 
 def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> Found:
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("d"))
-    kind = docs.schema[key].dataType.simpleString()
+    kind = docs.schema[key].dataType
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -153,22 +154,24 @@ def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> F
                 own = [inside(symbols, d, words, window) for d in range(len(part))]
                 yield pd.DataFrame(
                     {
-                        "rid": np.arange(rid, rid + len(part)), "k": part["k"].to_numpy(), "d": part["d"].to_numpy(), "n_words": np.diff(words.first), "sha": [_sha(b) for b in whole],
+                        "rid": np.arange(rid, rid + len(part)), "k": part["k"], "d": part["d"].to_numpy(), "n_words": np.diff(words.first), "sha": [_sha(b) for b in whole],
                         "names": [symbols.name[at].view(np.int64) for at in own], "bare": [bool(without(symbols, at, d, words, window).any()) for d, at in enumerate(own)],
                     }
                 )
                 rid += len(part)
 
-    named = staged(src.mapInPandas(name, f"rid long, k {kind}, d long, n_words long, sha string, names array<long>, bare boolean"), "names")
+    # keys go to Python as strings: a null beside them can't turn them into doubles
+    named = src.withColumn("k", F.col("k").cast("string")).mapInPandas(name, "rid long, k string, d long, n_words long, sha string, names array<long>, bare boolean")
+    named = staged(named.withColumn("k", F.col("k").cast(kind)), "names")
     # equal word sequences: one row speaks for all
     same = named.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"))
     same = staged(same, "copies")
     names = named.where(F.col("n_words") >= window).select("rid", "names", "bare").join(same.select("rid"), "rid", "left_semi")
     each = names.select("rid", F.posexplode("names").alias("i", "name"))
-    often = each.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    often = each.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
     # texts with a symbol that repeats, or with a window that holds no symbol that could tell (null, which is not collected)
     bare = names.where("bare").select("rid", F.lit(None).cast("int").alias("i"))
-    at = each.join(often, "name").select("rid", "i").unionByName(bare).groupBy("rid").agg(F.collect_list("i").alias("at"))
+    at = meet(each, often, "name", "n").select("rid", "i").unionByName(bare).groupBy("rid").agg(F.collect_list("i").alias("at"))
     told = same.select("rid", (F.col("copies") == 1).alias("alone"))
     wanted = staged(named.select("rid", F.col("k").alias("_k"), F.col("d").alias("_d"), "sha").join(told, "rid").join(at, "rid"), "repeats")
 
@@ -192,8 +195,8 @@ def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> F
                     yield pd.DataFrame(rows, columns=["rid", "t", "alone", "runs"])
 
     # a row that is there twice, key and all, comes twice under one rid; it is not alone
-    meet = src.join(wanted, (F.col("d") == F.col("_d")) & F.col("k").eqNullSafe(F.col("_k"))).select("rid", "t", "sha", "alone", "at")
-    held = staged(meet.mapInPandas(regions, "rid long, t string, alone boolean, runs array<int>"), "regions")
+    texts = src.join(wanted, (F.col("d") == F.col("_d")) & F.col("k").eqNullSafe(F.col("_k"))).select("rid", "t", "sha", "alone", "at")
+    held = staged(texts.mapInPandas(regions, "rid long, t string, alone boolean, runs array<int>"), "regions")
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

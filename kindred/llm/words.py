@@ -7,6 +7,7 @@ inside a longer UTF-8 sequence, so bytes and code points give the same words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 
@@ -20,14 +21,17 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r**i and r**-i modulo 2**64 for i < n at least."""
-    if len(_powers.get("p", ())) < n:
-        size = max(n, 1 << 20)
-        for key, r in (("p", _R), ("q", _RI)):
-            x = np.full(size, r, dtype=U)
-            x[0] = 1
-            _powers[key] = np.multiply.accumulate(x)
-    return _powers["p"], _powers["q"]
+    """r**i and r**-i modulo 2**64 for i < n at least. Tables beyond 2**21 (32 MB) are not kept."""
+    if len(_powers.get("p", ())) >= n:
+        return _powers["p"], _powers["q"]
+    out = {}
+    for key, r in (("p", _R), ("q", _RI)):
+        x = np.full(max(n, 1 << 20), r, dtype=U)
+        x[0] = 1
+        out[key] = np.multiply.accumulate(x)
+    if n <= 1 << 21:
+        _powers.update(out)
+    return out["p"], out["q"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,10 +69,18 @@ class Words:
         self.buf, self.start, self.end = buf, edge[0::2], edge[1::2]
         self.offset = np.concatenate([[0], np.cumsum([len(b) + 1 for b in items])]).astype(np.int64)
         self.first = np.searchsorted(self.start, self.offset)
-        p, q = powers(len(buf) + 1)
-        total = np.zeros(len(buf) + 1, dtype=U)
-        np.cumsum((buf.astype(U) + U(1)) * p[: len(buf)], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * q[self.start] + (self.end - self.start).astype(U) * U(_RI))
+        self.hash = self._hashes(buf.astype(U) + U(1))
+
+    def _hashes(self, values: np.ndarray) -> np.ndarray:
+        p, q = powers(len(values) + 1)
+        total = np.zeros(len(values) + 1, dtype=U)
+        np.cumsum(values * p[: len(values)], out=total[1:])
+        return mix((total[self.end] - total[self.start]) * q[self.start] + (self.end - self.start).astype(U) * U(_RI))
+
+    @cached_property
+    def other(self) -> np.ndarray:
+        """Second hashes of the words, from other values of the bytes: words that share ``hash`` by chance don't share these."""
+        return self._hashes(mix(np.arange(256, 512, dtype=U))[self.buf])
 
 
 def shingles(words: Words, d: int, width: int = 5) -> np.ndarray:
