@@ -83,17 +83,12 @@ def schedule(targets: DataFrame, total: int, block: int = BLOCK, bucket: int = B
     return _running(placed, ["rank"], "b", [F.col("slot")], F.lit(1).cast("long"), "nth").select("slot", "rank", "nth")
 
 
-def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeat: float = REPEAT, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
-    """One row per row of ``docs``: key, ``size``, ``source_size``, ``target`` (its source's) ``taken`` (words that the mix takes of it, repeats counted) and ``text_hash``.
-
-    A null text has size 0 and is never taken; null is a source of its own, the last. Rows with equal or null
-    keys are separate documents (their hash order is settled by size and text hash; wholly equal rows may
-    swap places, which changes nothing). Further columns are ignored; an empty table gives no rows.
-    """
+def _laid_and_played(docs: DataFrame, key: str, text: str, source: str, weights: tuple[int, ...], share: float, repeat: float, block: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Documents in the order of their source (row, k, th, size, source_size, target), and their parts in blocks: row, from and to (words of the document), times."""
     src = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("th"))
     # h: place in the shuffle of its source, from hashes that any engine has
     src = staged(src.withColumn("h", F.sha2(F.coalesce(F.col("k").cast("string"), F.lit("")), 256)), "sizes")
-    targets = staged(source_targets(src.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    targets = staged(source_targets(src.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeat), "targets")
     facts = targets.agg(F.sum("target").alias("all"), F.sum("source_size").alias("words")).first()
     total = int(round(facts["all"] or 0))
     slots = staged(schedule(targets, total, block, bucket), "schedule")
@@ -108,21 +103,56 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     # the last words of a target may need no whole slot more, and never more than ``repeat`` rounds
     plays = plays.where(F.col("nth") < F.floor(F.lit(float(repeat))) * blocks).select("rank", (F.col("nth") % blocks).alias("block")).groupBy("rank", "block").agg(F.count("*").alias("times"))
     piece = laid.where("size > 0").select("row", "rank", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
-    words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
-    taken = piece.join(plays, ["rank", "block"]).groupBy("row").agg(F.sum(words * F.col("times")).alias("taken"))
-    return laid.join(taken, "row", "left").select(F.col("k").alias(key), "size", "source_size", F.round("target", 6).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("th").alias("text_hash"))
+    begin, end = F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
+    piece = piece.join(plays, ["rank", "block"]).select("row", (begin - F.col("at")).cast("int").alias("from"), (end - F.col("at")).cast("int").alias("to"), F.col("times").cast("int").alias("times"))
+    return laid, piece
+
+
+def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeat: float = REPEAT, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+    """One row per row of ``docs``: key, ``size``, ``source_size``, ``target`` (its source's) and ``taken`` (words that the mix takes of it, repeats counted).
+
+    A null text has size 0 and is never taken; null is a source of its own, the last. Rows with equal or null
+    keys are separate documents (their hash order is settled by size and text hash; wholly equal rows may
+    swap places, which changes nothing). Further columns are ignored; an empty table gives no rows.
+    """
+    laid, piece = _laid_and_played(docs, key, text, source, weights, share, repeat, block, bucket)
+    taken = piece.groupBy("row").agg(F.sum((F.col("to") - F.col("from")).cast("long") * F.col("times")).alias("taken"))
+    return laid.join(taken, "row", "left").select(F.col("k").alias(key), "size", "source_size", F.round("target", 6).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` (all its columns) as often as the mix takes them: the words taken over the size, rounded to whole copies; rows without words go."""
-    mix = mix_sources(docs, key, text, source).groupBy(F.col(key).alias("_k"), F.col("text_hash").alias("_d")).agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    copies = F.floor((F.col("_taken") * 2 + F.col("_size")) / (F.col("_size") * 2)).cast("int")
-    out = docs.join(mix.where("_size > 0"), (F.xxhash64(docs[text]) == F.col("_d")) & docs[key].eqNullSafe(F.col("_k"))).withColumn("_copies", copies).where("_copies > 0")
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).select(*docs.columns)
+def mixed_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeat: float = REPEAT, block: int = BLOCK, bucket: int = BUCKET
+) -> DataFrame:
+    """The mix itself, in the columns of ``docs``: a document's words as often as the schedule plays the blocks that they lie in.
+
+    A document whose blocks are all played m times comes m times as it is. Where only some of its blocks have a
+    j-th turn, its j-th row holds the words of those alone, joined by a space, with ``n_chars`` (if there is such
+    a column) of their length. So each source has exactly the words that its slots took. Rows without words, and
+    those none of whose blocks is played, go; null keys and sources, repeated keys and empty tables as in
+    ``mix_sources``; wholly equal rows play alike. Columns may have any names.
+    """
+    laid, piece = _laid_and_played(docs, key, text, source, weights, share, repeat, block, bucket)
+    # as many parts as the document has blocks
+    turns = piece.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from", "to", "times"))).alias("parts"), F.max("times").alias("most"), F.min("times").alias("least"), F.sum(F.col("to") - F.col("from")).alias("seen"))
+    turns = laid.select("row", F.col("k").alias("mix_key"), F.col("th").alias("mix_hash"), "size").join(turns, "row")
+    turns = turns.withColumn("least", F.when(F.col("seen") == F.col("size"), F.col("least")).otherwise(0))
+    turns = turns.groupBy("mix_key", "mix_hash").agg(F.max(F.struct("most", "least", "parts")).alias("mix"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[key].alias("doc_key"), F.xxhash64(docs[text]).alias("doc_hash"))
+    met = whole.join(turns, (F.col("doc_hash") == F.col("mix_hash")) & F.col("doc_key").eqNullSafe(F.col("mix_key")))
+    met = met.select("doc", "mix.*", F.explode(F.sequence(F.lit(1), F.col("mix.most"))).alias("turn"))
+    own = F.col("doc").getField(text)
+    words = F.filter(F.split(own, r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    parts = F.filter("parts", lambda p: p["times"] >= F.col("turn"))
+    some = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(parts, lambda p: F.slice(w, p["from"] + 1, p["to"] - p["from"]))), " ")), F.lit(0))
+    met = met.withColumn("cut", F.when(F.col("turn") > F.col("least"), some))
+    new = {text: F.coalesce("cut", own)}
+    if n_chars in docs.columns:
+        new[n_chars] = F.when(F.col("cut").isNotNull(), F.length("cut").cast(docs.schema[n_chars].dataType)).otherwise(F.col("doc").getField(n_chars))
+    return met.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).drop("text_hash")
+    return mix_sources(table(spark, sf_dir, "documents"))
 
 
 #: DuckDB: the same schedule, with targets by the same rising order.
