@@ -30,10 +30,10 @@ REJECT = 0.7
 
 
 def grams(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(order, hashed n-gram that starts at each character, text of each character) of all texts in a row, lower case, spaces around."""
+    """(order, hashed n-gram that starts at each character, first character of each text) of all texts in a row, lower case, spaces around."""
     low = [f" {t.lower()} " for t in texts]
     cp = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    owner = np.repeat(np.arange(len(low)), [len(t) for t in low])
+    first = np.cumsum([0, *map(len, low)])
     h = cp * np.uint32(0x9E3779B1)
     for n in range(2, max(ORDERS) + 1):
         if len(cp) < n:
@@ -41,21 +41,22 @@ def grams(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + cp[n - 1 :]
         if n in ORDERS:
             x = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-            yield n, x >> np.uint32(32 - BITS), owner
+            yield n, x >> np.uint32(32 - BITS), first
 
 
 def features(texts: list[str], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (text, feature), each once; only features with a weight, if weights are given."""
+    """Pairs (text, feature), each once; only features with a weight, if weights are given. Texts are numbered only where a feature is left."""
     out = []
-    for n, h, owner in grams(texts):
+    for n, h, first in grams(texts):
         i = np.arange(len(h)) if weights is None else np.flatnonzero(weights[h])
-        i = i[owner[i] == owner[i + n - 1]]
-        out.append((owner[i].astype(np.int64) << BITS) | h[i])
+        owner = np.searchsorted(first, i, "right") - 1
+        i, owner = (x[i + n <= first[owner + 1]] for x in (i, owner))
+        out.append((owner << BITS) | h[i])
     both = np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.int64)
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def _groups(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str], most: int = 1 << 16) -> Iterator[tuple[int, int]]:
     at = held = 0
     for i, t in enumerate(texts):
         if held and held + len(t) > most:
