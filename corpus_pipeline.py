@@ -13,36 +13,58 @@ from kindred.llm.pieces import PieceModel, with_pieces
 from kindred.llm.tables import table
 from kindred.llm.toxicity import REJECT, fit, score_toxicity, teaches
 from kindred.ship import ship
-from kindred.storage import staged
+from kindred.storage import forget, scratch, staged
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below the rejecting score."""
+    """Documents whose toxicity is below the rejecting score, in all their columns.
+
+    A null text counts as empty and has a score like any other; a null key is scored, but never learnt from.
+    Repeated rows are judged alike and all stay or go. Columns may have any names. No documents give none; without
+    labels of both kinds the score is one share for all, and a share of REJECT or more rejects all.
+    """
     ship(spark)
     model = fit(docs, table(spark, sf_dir, "labels"), teaches())
-    return score_toxicity(docs, model, out="_toxicity").where(F.col("_toxicity") < REJECT).drop("_toxicity")
+    own = "_" * max(map(len, docs.columns)) + "toxicity"  # no name of docs
+    return score_toxicity(docs, model, out=own).where(F.col(own) < REJECT).drop(own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of Jaccard similarity 0.8 or more hold together."""
+    """One document of each group that links of Jaccard similarity 0.8 or more hold together: the one with the smallest key.
+
+    Null, empty and blank texts link with nothing and stay; rows with a null key stay. Of repeated rows one stays.
+    Long texts are whole, columns may have any names, no documents give none.
+    """
     ship(spark)
     return one_of_each(docs)
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of windows of 35 words that occur twice."""
+    """Texts without the words of windows of 35 words that occur twice, all copies alike.
+
+    Texts that lose nothing stay as they are, null and empty ones too; those that lose every word go. Null keys and
+    repeated rows (copies of each other) are documents like any others. Columns may have any names, no documents give none.
+    """
     ship(spark)
     return without_repeats(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of the sources takes them."""
+    """Documents as often as the mix of the sources takes the blocks that their words lie in.
+
+    Documents without words go; a null source is one, the last; null keys and repeated rows are documents like any
+    others. Columns may have any names, no documents give none.
+    """
     ship(spark)
     return mixed_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the SHA-256 of what they decode to."""
+    """Per row: doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the SHA-256 of what they decode to.
+
+    A null text counts as empty: begin and end alone. Null keys and repeated rows each give a row; other columns are
+    left out; no documents give none.
+    """
     ship(spark)
     import public_tokenizers
 
@@ -57,7 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table of documents. What a stage writes on its way is deleted when its result is written, and that when the next one's is."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch(spark) as keep:
+            docs = staged(stage(spark, before, sf_dir), name)
+            keep.append(docs)
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
