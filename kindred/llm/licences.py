@@ -1,9 +1,11 @@
 """Operator 5: licence scan by ordered signature rules.
 
-Rules are regular expressions over the lower-cased text, each with a priority, a label and keywords that
-the text must hold before the expression is tried at all. What lower rules find inside an interval that a
-higher rule has found is suppressed, so "GNU General Public License, version 3" is reported once, as its
-version. Phrases of the base list are always reported.
+Rules are regular expressions over the lower-cased text: signatures of licence texts and notices written by hand
+(``licence_rules``), names of licences with their versions and grants, tags, and the base phrases. Each has a
+priority, a label and keywords that the text must hold before the expression is tried at all; one automaton
+finds all keywords in one pass. What lower rules find inside an interval that a higher rule has found is
+suppressed, so "GNU General Public License, version 3" is reported once, as its version. Phrases of the base
+list are always reported. Suppression sorts intervals and searches them, so it is n log n in detections.
 
 One pass over the documents, no shuffle; hot sources or copies make no difference.
 """
@@ -15,11 +17,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.llm.licence_rules import BODY, NOTICE
 from kindred.llm.tables import table
 from kindred.llm.words import chunks, encoded
 
@@ -98,6 +102,27 @@ def _expression(phrase: str) -> bytes:
     return _GAP.join(w.encode() for w in phrase.replace(" ?", "\0").split(" ")).replace(b"\0", b"[^0-9a-z\\x80-\\xff]?")
 
 
+def _signature(phrase: str) -> bytes:
+    """Expression of a hand-written rule."""
+    # words in brackets may hold spaces; a bracket with ? may be missing, with the space that parts it
+    words = re.findall(r"(?:\([^)]*\)\??|\[[^\]]*\]|[^\s(\[])+", phrase.replace(" ?", "\0"))
+    out = b""
+    for w in words:
+        if w == "*":
+            out += b"(?:" + _W + b"+" + _GAP + b"){0,8}"
+            continue
+        x = w.encode().replace(b" ", _GAP).replace(b"\0", b"[^0-9a-z\\x80-\\xff]?")
+        out += b"(?:" + x[:-1] + _GAP + b")?" if re.fullmatch(r"\([^)]*\)\?", w) else x + _GAP
+    return out.removesuffix(_GAP)
+
+
+def _literal(phrase: str) -> tuple[bytes, ...]:
+    """The longest two literal words that every match of a hand-written rule holds."""
+    plain = re.sub(r"\([^)]*\)\??", " ", phrase.replace(" ?", "?")).split(" ")
+    found = {m[0] for w in plain if (m := re.match(r"[a-z0-9]+(?![a-z0-9]*\?)", w))}
+    return tuple(w.encode() for w in sorted(found, key=lambda w: (len(w), w))[-2:])
+
+
 def _keywords(*phrases: str) -> tuple[bytes, ...]:
     """The literal letters of a phrase's longest words: a text without them can't match."""
     found = [re.split(r"[^a-z0-9]", w.replace("licen[sc]e", "licen").replace("licen[sc]ed", "licen"))[0] for p in phrases for w in p.replace(" ?", " ").split(" ")]
@@ -106,7 +131,7 @@ def _keywords(*phrases: str) -> tuple[bytes, ...]:
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """All rules, highest priority first: grants with a version, grants, names with a version, tags, bare names, base phrases."""
+    """All rules, highest priority first: texts, notices, tags, grants with a version, grants, names with a version, bare names, base phrases."""
     out = []
 
     def add(kind: str, label: str, priority: int, score: float, phrase: bytes, keys: tuple[bytes, ...]) -> None:
@@ -134,6 +159,10 @@ def rules() -> tuple[Rule, ...]:
             add("grant", label, 50, 0.95, grant + text, keys)
             add("name", label, 20, 0.3 if label == "proprietary" else 0.7, text, keys)
         add("tag", label, 70, 1.0, _expression("spdx licen[sc]e identifier " + label.replace("-", " ")), (b"spdx",))
+    for kind, priority, lines in (("text", 90, BODY), ("notice", 80, NOTICE)):
+        for line in lines.strip().splitlines():
+            label, phrase = line.split(": ", 1)
+            add(kind, label, priority, 1.0 if priority == 90 else 0.95, _signature(phrase), _literal(phrase))
     for phrase, label in BASE.items():
         words = phrase.encode().split(b" ")
         add("base", label, 0, 0.5, _GAP.join(words), tuple(sorted(words, key=len)[-2:]))
@@ -141,28 +170,66 @@ def rules() -> tuple[Rule, ...]:
 
 
 @lru_cache(maxsize=1)
-def gated() -> tuple[tuple[tuple[bytes, ...], tuple[tuple[int, Rule], ...]], ...]:
-    """Rules with their order, by keywords."""
-    out: dict[tuple[bytes, ...], list[tuple[int, Rule]]] = {}
+def _gate():
+    """An automaton of all keywords, and the rules (by their place in the order) under one of their keywords, with the others."""
+    found, by_word = ahocorasick.Automaton(), {}
     for i, r in enumerate(rules()):
-        out.setdefault(r.keywords, []).append((i, r))
-    return tuple((k, tuple(v)) for k, v in out.items())
+        for k in r.keywords:
+            found.add_word(k.decode("latin-1"), k)
+        by_word.setdefault(r.keywords[-1], []).append((i, frozenset(r.keywords)))
+    found.make_automaton()
+    return found, by_word
+
+
+def opened(low: bytes) -> list[int]:
+    """Places of the rules whose keywords the text holds."""
+    found, by_word = _gate()
+    held = {k for _, k in found.iter(low.decode("latin-1"))}
+    return sorted(i for k in held for i, needs in by_word.get(k, ()) if needs <= held)
+
+
+def _inside(s: np.ndarray, e: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which intervals [s, e) lie in one of those of a set in which starts and ends both rise."""
+    at = np.searchsorted(starts, s, "right") - 1
+    return (at >= 0) & (np.append(ends, 0)[at] >= e)
 
 
 def detections(low: bytes) -> list[tuple[int, int, Rule]]:
-    """Spans (start, end, rule) of a lower-cased text that no span of a higher rule contains, and all base phrases; by start."""
-    open_ = [x for keys, those in gated() if all(k in low for k in keys) for x in those]
-    if not open_:
-        return []
-    kept: list[tuple[int, int, Rule]] = []
-    for _, r in sorted(open_, key=lambda x: x[0]):
-        for m in r.pattern.finditer(low):
-            s, e = m.span()
-            if r.priority == 0 or not any(a <= s and e <= b for a, b, _ in kept):
-                kept.append((s, e, r))
-    # of the same rank the longer span wins as well
-    kept = [(s, e, r) for s, e, r in kept if r.priority == 0 or not any(a <= s and e <= b and b - a > e - s and q.priority == r.priority for a, b, q in kept)]
-    return sorted(kept, key=lambda x: (x[0], -x[1], x[2].name))
+    """Spans (start, end, rule) of a lower-cased text that no span of a higher rule contains and no longer one of the same rank, and all base phrases; by start."""
+    ranks: dict[int, list[int]] = {}
+    for i in opened(low):
+        ranks.setdefault(-rules()[i].priority, []).append(i)
+    starts, ends = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    kept: list[tuple[int, int, int]] = []
+    for rank in sorted(ranks):
+        spans = [(*m.span(), i) for i in ranks[rank] for m in rules()[i].pattern.finditer(low)]
+        if not spans:
+            continue
+        s, e, i = (np.array(x, dtype=np.int64) for x in zip(*spans, strict=True))
+        if rank == 0:  # base phrases
+            kept += spans
+            continue
+        free = ~_inside(s, e, starts, ends)
+        s, e, i = s[free], e[free], i[free]
+        # of equal starts the longest first: an interval with an end as late before it lies inside that
+        order = np.lexsort((-e, s))
+        s, e, i = s[order], e[order], i[order]
+        if not len(s):
+            continue
+        fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (e[1:] != e[:-1])])
+        place = np.cumsum(fresh) - 1
+        us, ue = s[fresh], e[fresh]
+        outer = np.concatenate([[True], np.maximum.accumulate(ue)[:-1] < ue[1:]])
+        keep = outer[place]
+        kept += zip(s[keep].tolist(), e[keep].tolist(), i[keep].tolist(), strict=True)
+        # the set of all intervals so far that lie in no other
+        s, e = np.append(starts, us[outer]), np.append(ends, ue[outer])
+        order = np.lexsort((-e, s))
+        s, e = s[order], e[order]
+        outer = np.concatenate([[True], np.maximum.accumulate(e)[:-1] < e[1:]])
+        starts, ends = s[outer], e[outer]
+    order = rules()
+    return [(s, e, order[i]) for s, e, i in sorted(kept, key=lambda x: (x[0], -x[1], order[x[2]].name))]
 
 
 def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,7 +237,7 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     found lists (label, rule, first word, last word) of every detection. A null or empty text has no words
     and no labels (labels are then empty strings, score 0). Repeated rows and null keys each give a row.
-    Further columns are ignored.
+    Long texts are whole. Further columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,7 +252,9 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 rows = []
                 for d, low in enumerate(items[i:j]):
                     own = starts[first[d] : first[d + 1]] - offset[d]
-                    found = [(r.label, r.name, int(np.searchsorted(own, s)), int(np.searchsorted(own, e)) - 1, r) for s, e, r in detections(low)]
+                    spans = detections(low)
+                    begin, last = np.searchsorted(own, [x[0] for x in spans]).tolist(), (np.searchsorted(own, [x[1] for x in spans]) - 1).tolist()
+                    found = [(r.label, r.name, b, z, r) for b, z, (_, _, r) in zip(begin, last, spans, strict=True)]
                     base = [f for f in found if f[4].priority == 0]
                     miss = 1.0
                     for f in found:
@@ -196,7 +265,7 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                     )
                 out = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "found"])
                 out["first_word"], out["last_word"] = out["first_word"].astype("Int64"), out["last_word"].astype("Int64")
-                out.insert(0, "k", pdf["k"].iloc[i:j].to_numpy())
+                out.insert(0, "k", pdf["k"].iloc[i:j].to_numpy())  # strings
                 yield out
 
     kind = "k string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, found array<struct<label:string,rule:string,first:long,last:long>>"
