@@ -54,7 +54,7 @@ def docs(spark, texts):
 @pytest.fixture(scope="module")
 def clashing(docs):
     """Columns with names that operators use themselves."""
-    return docs.withColumn("k", F.lit(1)).withColumn("t", F.lit("x")).withColumn("sha", F.lit("y")).withColumn("n", F.lit(2)).withColumn("digest", F.lit("z")).withColumn("row", F.lit(0)).withColumn("size", F.lit(7)).withColumn("score", F.lit(0.5)).withColumn("ids", F.lit("q"))
+    return docs.withColumn("k", F.lit(1)).withColumn("t", F.lit("x")).withColumn("sha", F.lit("y")).withColumn("n", F.lit(2)).withColumn("digest", F.lit("z")).withColumn("row", F.lit(0)).withColumn("size", F.lit(7)).withColumn("score", F.lit(0.5)).withColumn("ids", F.lit("q")).withColumns({c: F.lit(3) for c in ("_k", "_d", "_size", "_copies", "_taken", "_toxicity", "toxicity", "doc", "turn", "cut", "mix", "w", "c", "i", "g", "rid", "th", "path")})
 
 
 @pytest.fixture(scope="module")
@@ -274,9 +274,77 @@ def jaccard_classes_of(docs):
     return jaccard_forest.jaccard_classes(docs, block=4).collect()
 
 
-def test_jaccard_prefix_meets_the_recall():
-    x = jaccard_forest.prefix_length(0.8, 32, 10, 0.99999)
-    assert 1 - (1 - 0.8**x) ** 32 >= 0.99999 > 1 - (1 - 0.8 ** (x + 1)) ** 32
+def test_jaccard_prefixes_are_shortened_until_the_recall_is_met():
+    f = jaccard_forest.estimated_recall
+    few, weak, strong = [0] * 20, [500, *[0] * 19], [*[0] * 18, 5000, 5000]
+    assert f(few, 8, 32, 0.8) < f(few, 7, 32, 0.8) < f(few, 6, 32, 0.8) < 1
+    level = lambda found: next(x for x in range(8, 3, -1) if f(found, x, 32, 0.8) >= 0.99999 or x == 4)
+    assert level(strong) > level(few) > level(weak) >= 4
+
+
+def test_jaccard_pairs_are_met_once_at_their_longest_prefix():
+    rng = np.random.default_rng(3)
+    p = rng.integers(0, 2, size=(60, 6, 8)).astype("<u2")
+    share = np.cumprod(p[:, None] == p[None], axis=3).sum(axis=3)
+    longest = share.max(axis=2)
+    times = np.zeros((60, 60), dtype=int)
+    for x in range(8, 2, -1):
+        for t in range(6):
+            got = jaccard_forest.newly_met(p, p, t, x)
+            assert (got <= ((longest == x) & (share[:, :, t] >= x))).all()
+            times += got
+    assert (times == (longest >= 3)).all()
+
+
+def test_jaccard_forest_keeps_rows_with_company(spark):
+    rng = np.random.default_rng(4)
+    paths = [rng.integers(0, 3, size=(4, 6)).astype("<u2") for _ in range(80)]
+    df = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(paths)], "i long, path binary")
+    got = {(r.i, r.tree): r.deep for r in jaccard_forest._forest(df, 4, 6, 2, 3).collect()}
+    for t in range(4):
+        for i, p in enumerate(paths):
+            deep = max(int(np.cumprod(p[t] == q[t]).sum()) for j, q in enumerate(paths) if j != i)
+            # the ends of ranges are kept in any case
+            assert got.get((i, t), 0) in (deep, 6) if deep >= 2 else got.get((i, t), 6) == 6
+    assert sum(v == 6 for v in got.values()) < 320
+
+
+def test_jaccard_recall_of_links_of_all_strengths(spark):
+    """Pairs of every similarity from 0.8 up, and a large group of near copies."""
+    r = random.Random(17)
+    rows, want = [], set()
+    for i in range(400):
+        n = r.randint(30, 120)
+        a = [f"p{i}x{k}" for k in range(n)]
+        b = a[: r.randint(int(0.78 * n), n)] + [f"q{i}x{k}" for k in range(r.randint(0, int(0.2 * n)))]
+        rows += [" ".join(a), " ".join(b)]
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+        if len(x & y) >= 0.8 * len(x | y):
+            want |= {2 * i, 2 * i + 1}
+    base = [f"g{k}" for k in range(200)]
+    for i in range(300):
+        ws = base[:]
+        ws[r.randrange(200)] = f"edit{i}"
+        rows.append(" ".join(ws))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x.doc_id: x for x in jaccard_forest.jaccard_classes(df).collect()}
+    found = {i for i in range(800) if got[i].n_links}
+    assert found <= want and len(found) >= 0.99 * len(want) and len(want) > 200
+    assert all(got[i].n_links == 299 and got[i].component_id == 800 for i in range(800, 1100))
+
+
+def test_large_keys_beside_nulls(spark):
+    big = [(1 << 60) + 1, (1 << 60) + 3, None, -(1 << 62) - 1]
+    t = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(k, t, "en", "s", 3) for k in big], SCHEMA).coalesce(1)
+    some = sorted(k for k in big if k is not None)
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_forest.jaccard_classes(df).where("doc_id is not null").collect()) == [(k, some[0]) for k in some]
+    assert sorted(r.doc_id for r in long_repeats.repeated_words(df).where("doc_id is not null").collect()) == some
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    got = {r.page_id: r.refers_to for r in warc.archive_round_trip(pages).collect()}
+    assert got == {k: None if k == some[-1] else some[-1] for k in big}
+    got = near_vectors.near_vectors(spark.createDataFrame([(k, [1.0, 2.0], 1) for k in big], "vec_id long, embedding array<double>, label int").coalesce(1))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.where("vec_id is not null").collect()) == [(k, 3, some[0]) for k in some]
 
 
 def test_one_of_each_keeps_columns_and_null_keys(spark, clashing):
@@ -319,6 +387,61 @@ def test_licences_over_indented_and_commented_lines(spark):
     assert (wide.first, wide.last) == (2, 9) and wide.rule == narrow[0][2].name
 
 
+LICENCE_TEXTS = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\n * in the Software without restriction",
+    "bsd": "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+    "bsd-3-clause": "Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-4-clause": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "apache-2.0": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS",
+    "gpl-2.0-or-later": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2.1-or-later": "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0-or-later": "modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "cc-by-sa-4.0": "<a href=https://creativecommons.org/licenses/by-sa/4.0/>",
+    "cc-by": "You must give appropriate credit, provide a link to the license, and indicate if changes were made.",
+    "cc0-1.0": "The person who associated a work with this deed has dedicated the work to the public domain",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "zlib": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+}
+
+
+@pytest.mark.parametrize("label", LICENCE_TEXTS)
+def test_licence_texts_and_notices(label):
+    low = LICENCE_TEXTS[label].lower().encode()
+    assert label in {r.label for _, _, r in licences.detections(low)}
+    # the gate opens no less than trying all rules would
+    assert {i for i, r in enumerate(licences.rules()) if r.pattern.search(low)} <= set(licences.opened(low))
+
+
+def test_licence_suppression_like_a_plain_version():
+    r = random.Random(3)
+    phrases = [*LICENCE_TEXTS.values(), "GNU General Public License", "GPL version 3", "under the GPL v3", "MIT License", "licensed under the Apache License, Version 2.0", "CC BY-NC 4.0", "SPDX-License-Identifier: MIT", "BSD license", "and", "the", "x " * 9]
+    for _ in range(40):
+        low = " ".join(r.choice(phrases) for _ in range(r.randint(1, 25))).lower().encode()
+        every = [(*m.span(), q) for q in licences.rules() for m in q.pattern.finditer(low)]
+        kept = []
+        for p in sorted({q.priority for _, _, q in every}, reverse=True):
+            own = [x for x in every if x[2].priority == p]
+            if p:
+                own = [x for x in own if not any(a <= x[0] and x[1] <= b for a, b, _ in kept)]
+                own = [x for x in own if not any(a <= x[0] and x[1] <= b and b - a > x[1] - x[0] for a, b, _ in own)]
+            kept += own
+        assert sorted((a, b, q.name) for a, b, q in kept) == sorted((a, b, q.name) for a, b, q in licences.detections(low))
+
+
+def test_licences_of_long_and_repeated_texts(spark, none):
+    import time
+
+    low = b"mit license and gnu general public license version 3 " * 20000
+    began = time.time()
+    assert len(licences.detections(low)) == 80000 and time.time() - began < 3
+    df = spark.createDataFrame([(1, low.decode()), (1, low.decode()), (None, "mit license")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_base, r.labels) for r in licences.scan_licences(df).collect())
+    assert got == [("1", 40000, "gpl,gpl-3.0,mit")] * 2 + [("None", 1, "mit")]
+    assert licences.scan_licences(none).collect() == []
+
+
 # 6
 
 
@@ -391,23 +514,32 @@ def test_order_minhash_like_a_plain_version(spark):
     w = words(text)
     fp = spark.createDataFrame([(text,)], "t string").select(order_minhash.fingerprint(F.col("t")).alias("f")).first().f
     grams = [(i, w[i], w[i + 1]) for i in range(len(w) - 1)]
-    h = spark.createDataFrame(grams, "i long, x string, y string").select("i", F.shiftright(F.xxhash64("x", "y"), 24).alias("h")).collect()
+    h = spark.createDataFrame(grams, "i long, x string, y string").select("i", F.shiftright(F.xxhash64("x", "y"), 30).alias("h")).collect()
     seen, numbered = collections.Counter(), []
     for r in sorted(h, key=lambda r: r.i):
         numbered.append((r.i, r.h, seen[r.h]))
         seen[r.h] += 1
     g = spark.createDataFrame(numbered, "i long, h long, o int").select("i", F.xxhash64("h", "o").alias("g")).collect()
-    bins = collections.defaultdict(list)
-    for r in g:
-        u = r.g % 2**64
-        bins[u >> 59].append(((u >> 25) % 2**34, r.i, (u >> 59) << 34 | (u >> 25) % 2**34))
-    tuples = {b: [x[2] for x in sorted(sorted(v)[:2], key=lambda x: x[1])] for b, v in bins.items()}
-    assert [x >> 32 for x in fp] == sorted(tuples)
-    for x in fp:
-        cols = [F.lit(v).cast("long") for v in tuples[x >> 32]]
+    order = sorted(((r.g % 2**64) >> 59, ((r.g % 2**64) >> 31) % 2**28, r.i) for r in g)
+    assert [x >> 32 for x in fp] == list(range(32))
+    for b, x in enumerate(fp):
+        at = next((n for n, o in enumerate(order) if o[0] >= b), 0)
+        two = sorted((order[at], order[(at + 1) % len(order)]), key=lambda o: o[2])
+        cols = [F.lit(o[0] << 28 | o[1]).cast("long") for o in two]
         assert spark.range(1).select(F.xxhash64(*cols).alias("z")).first().z % 2**32 == x % 2**32
 
 
+@pytest.mark.parametrize("n", [10, 20, 40, 60])
+def test_order_minhash_tells_order_in_short_texts(spark, n):
+    w = [f"w{i}" for i in range(n)]
+    blocks = [w[i : i + 5] for i in range(0, n, 5)]
+    moved = [x for b in blocks[::-1] for x in b]
+    near = w[:-1] + ["other"]
+    f = [r.f for r in spark.createDataFrame([(0, " ".join(w)), (1, " ".join(moved)), (2, " ".join(near))], "i int, t string").orderBy("i").select(order_minhash.fingerprint(F.col("t")).alias("f")).collect()]
+    like = [len(set(f[0]) & set(x)) / 32 for x in f]
+    assert like[0] == 1 and like[1] < 0.7 and like[1] < like[2]
+
+
 def test_order_minhash_likeness_falls_with_edits(spark):
     r = random.Random(4)
     base = [f"w{r.randrange(500)}" for _ in range(600)]
@@ -555,6 +687,30 @@ def test_operators_ignore_clashing_columns(spark, docs, clashing, model):
         assert sorted(map(repr, f(docs).collect())) == sorted(map(repr, f(clashing).collect()))
 
 
+def test_operators_without_rows(spark, none, model):
+    assert licences.scan_licences(none).collect() == [] and pieces.with_pieces(none, model).collect() == []
+    assert jaccard_forest.jaccard_classes(none).collect() == [] and jaccard_forest.one_of_each(none).collect() == []
+    assert long_repeats.without_repeats(none).collect() == [] and mixing.mixed_documents(none).collect() == []
+
+
+def test_pipeline_stages_with_clashing_columns(spark, docs, clashing, sf_dir):
+    import corpus_pipeline as P
+
+    for name, stage in P.STAGES[:-1]:
+        plain, more = stage(spark, docs, sf_dir), stage(spark, clashing, sf_dir)
+        assert more.columns == clashing.columns
+        assert sorted(map(repr, plain.collect())) == sorted(map(repr, more.select(docs.columns).collect()))
+
+
+def test_mixed_documents_hold_what_the_mix_takes(spark, docs):
+    mix = {r.doc_id: r for r in mixing.mix_sources(docs, block=8, bucket=7).collect()}
+    got = collections.Counter()
+    for r in mixing.mixed_documents(docs, block=8, bucket=7).collect():
+        got[r.doc_id] += len(words(r.text))
+        assert r.n_chars == len(r.text)
+    assert got == {i: r.taken for i, r in mix.items() if r.taken}
+
+
 def test_pipeline_stages(spark, docs, sf_dir):
     import corpus_pipeline as P
 
@@ -641,15 +797,19 @@ def test_pipeline_run_like_plain_python(spark, library, tmp_path):
                 break
         plays[s, nth[s] % blocks[s]] += nth[s] < 2 * blocks[s]
         nth[s] += 1
-    want, copies_of, place = [], {}, collections.Counter()
+    want, copies_of, place, n_part = [], {}, collections.Counter(), 0
     for i in sorted(size, key=lambda i: sha(str(i))):
         s, at = source[i], place[source[i]]
         place[s] += size[i]
-        taken = sum(plays[s, k // 64] for k in range(at, at + size[i]))
-        copies_of[i] = (2 * taken + size[i]) // (2 * size[i])
-        ids = library.encode(text[i], add_bos=True, add_eos=True)
-        want += [(i, len(ids), np.array(ids, dtype="<u4").tobytes(), sha(library.decode(ids)))] * copies_of[i]
-    assert n_cut > 10 and len(links) > 30 and toxic and set(copies_of.values()) >= {0, 1, 2}
+        times = [plays[s, k // 64] for k in range(at, at + size[i])]
+        copies_of[i] = max(times)
+        for turn in range(1, copies_of[i] + 1):
+            part = [x for x, m in zip(words(text[i]), times) if m >= turn]
+            n_part += len(part) < size[i]
+            t = " ".join(part) if len(part) < size[i] else text[i]
+            ids = library.encode(t, add_bos=True, add_eos=True)
+            want.append((i, len(ids), np.array(ids, dtype="<u4").tobytes(), sha(library.decode(ids))))
+    assert n_cut > 10 and len(links) > 30 and toxic and n_part and set(copies_of.values()) >= {0, 1, 2}
     got = sorted((x.doc_id, x.n_tokens, bytes(x.ids), x.decoded_sha256) for x in P.run(spark, str(tmp_path)).collect())
     assert collections.Counter(x[0] for x in got) == {i: c for i, c in copies_of.items() if c}
     assert got == sorted(want)
