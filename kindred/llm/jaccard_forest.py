@@ -5,20 +5,21 @@ Each text becomes the set of its hashed five-word runs and, for each of ``trees`
 are neighbours in the tree's prefix trie, and the length of the prefix that a row shares with the row before
 or after it is the deepest node at which it has company. Rows without company down to ``shortest`` go.
 
-1. At full depth every node's members are compared with the node's smallest member; members that link hold
-   together in clusters, and inside a cluster all pairs are compared (these are links, not candidates).
-2. Then the accepted prefix is shortened, level by level. At a level the members of a node that belong to
-   different clusters are compared, each pair at its longest common prefix and in the first tree that has it,
-   so no pair is compared twice and unverified candidates never chain.
-3. After each level the recall is estimated from the links that it and the levels before it verified: a link
-   of similarity s is met at prefix length x with probability ``1 - (1 - s**x)**trees``, so each found link
-   stands for that many (Horvitz-Thompson), with one more in every hundredth of similarity from the threshold
-   up, so that nothing found is not taken for nothing there. Shortening ends when the estimate reaches ``recall``.
+1. The accepted prefix is shortened, level by level, from full depth on. At a level the members of every node
+   that has more members than each of its children are compared with the node's smallest member, its head.
+   From the links that this and the levels before it verified the recall is estimated: a link of similarity s
+   is met at prefix length x with probability ``1 - (1 - s**x)**trees``, so each found link stands for that
+   many (Horvitz-Thompson), with one more in every hundredth of similarity from the threshold up, so that
+   nothing found is not taken for nothing there. Shortening ends when the estimate reaches ``recall``.
+2. Each text joins the smallest head that it is ``near``, which makes clusters without chains, and inside a
+   cluster all pairs are compared.
+3. At the last level the members of a node that are in different clusters are compared, each pair in the first
+   node that both have. Unverified candidates never chain, and no pair is compared twice.
 
 Scale: texts with equal sets are folded into one class first (a hot group of copies is one row). Nodes and
 clusters of any size become square tiles, bounded in rows and in hashes; a tile emits counts and local roots,
 never pairs. Sets, not texts, are moved, and only those of classes that have company. Hot nodes meet their
-rows by broadcast of a checked size.
+rows by broadcast of a checked size. Small tiles are worked through many at a time.
 """
 
 from __future__ import annotations
@@ -32,13 +33,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.tables import table
-from kindred.llm.tiles import key_of, local_roots, node_of, tile_keys, with_tiles
+from kindred.llm.tiles import key_of, local_roots, node_of, sharded, with_tiles
 from kindred.llm.words import U, Words, chunks, encoded, mix, shingles
 from kindred.operators.components import connected_components
 from kindred.operators.hot import meet
 from kindred.storage import forget, staged
 
-THRESHOLD, WIDTH, TREES, DEPTH, SHORTEST, RECALL, BLOCK = 0.8, 5, 32, 8, 4, 0.99999, 192
+THRESHOLD, WIDTH, TREES, DEPTH, SHORTEST, RECALL, BLOCK = 0.8, 5, 32, 8, 4, 0.99999, 512
+#: Share of the threshold from which a text joins a head's cluster: such pairs would nearly all meet in nodes anyway.
+NEAR = 0.75
 #: Hashes in one block of a tile, about.
 BLOCK_ITEMS = 1 << 18
 #: Hundredths of similarity, for the estimate of the recall.
@@ -73,27 +76,22 @@ def paths(items: np.ndarray, trees: int, depth: int) -> np.ndarray:
     return (mix(low.astype(U)) >> U(48)).astype("<u2").reshape(trees, depth)
 
 
-def prefix_names(path: np.ndarray, x: int) -> np.ndarray:
-    """One 64-bit name of the first x values of each path (last axis)."""
-    out = np.full(path.shape[:-1], x, dtype=U)
-    for j in range(x):
-        out = mix(out) + path[..., j]
-    return out
-
-
-def newly_met(a: np.ndarray, b: np.ndarray, tree: int, x: int) -> np.ndarray:
-    """Whether a pair's longest common prefix, over all trees, has x values, and ``tree`` is the first to have it.
-
-    a, b: paths of the rows and of the columns, (rows, trees, depth).
-    """
-    pa, pb = prefix_names(a, x), prefix_names(b, x)
-    out = pa[:, tree, None] == pb[None, :, tree]
-    for t in range(tree):
-        out &= pa[:, t, None] != pb[None, :, t]
-    if x < a.shape[2]:
-        pa, pb = prefix_names(a, x + 1), prefix_names(b, x + 1)
-        for t in range(a.shape[1]):
-            out &= pa[:, t, None] != pb[None, :, t]
+def first_in_common(a: list[np.ndarray], b: list[np.ndarray], node: int) -> np.ndarray:
+    """Whether ``node`` is the first of the nodes that a row and a column have in common. Nodes are ordered alike in all lists, and all hold ``node``."""
+    before = [[x[: int(np.flatnonzero(x == node)[0])] for x in side] for side in (a, b)]
+    names = np.intersect1d(*(np.concatenate(x) for x in before))
+    out = np.ones((len(a), len(b)), dtype=bool)
+    if len(names):
+        held = []
+        for side in before:
+            m = np.zeros((len(side), len(names)), dtype=np.float32)
+            row = np.repeat(np.arange(len(side)), [len(x) for x in side])
+            flat = np.concatenate(side)
+            at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+            hit = names[at] == flat
+            m[row[hit], at[hit]] = 1
+            held.append(m)
+        out = held[0] @ held[1].T == 0
     return out
 
 
@@ -175,67 +173,64 @@ def _forest(classes: DataFrame, trees: int, depth: int, shortest: int, parts: in
     return staged(rows.mapInPandas(neighbours, "i long, tree int, path binary, deep int"), "forest")
 
 
-def _read(pdf: pd.DataFrame, trees: int, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
-    return [np.frombuffer(b, dtype=U) for b in pdf["items"]], np.frombuffer(b"".join(pdf["path"]), dtype="<u2").reshape(len(pdf), trees, depth)
-
-
-def _linked_heads(edges: DataFrame, sets: DataFrame, threshold: float, salt: int = 512) -> DataFrame:
-    """``(i, h)`` of the edges whose sets link. A hot head comes once for each ``salt`` of its edges."""
+def _verified(edges: DataFrame, sets: DataFrame, salt: int = 512) -> DataFrame:
+    """``(i, h, s)``: the similarity of each edge's sets. A hot head comes once for each ``salt`` of its edges."""
     degree = staged(edges.groupBy("h").agg(F.ceil(F.count("*") / salt).cast("int").alias("salts")), "heads")
     own = meet(edges, degree.withColumn("n", F.col("salts") * salt), "h", "n", bound=4 * salt)
-    own = own.select("i", "h", F.pmod(F.xxhash64("i"), "salts").cast("int").alias("s")).join(sets.select("i", "items"), "i")
-    heads = degree.select(F.col("h").alias("i"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s")).join(sets.select("i", "items"), "i")
-    both = own.unionByName(heads.select("i", F.col("i").alias("h"), "s", "items"))
+    own = own.select("i", "h", F.pmod(F.xxhash64("i"), "salts").cast("int").alias("salt")).join(sets.select("i", "size", "items"), "i")
+    heads = degree.select(F.col("h").alias("i"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.select("i", "size", "items"), "i")
+    both = own.unionByName(heads.select("i", F.col("i").alias("h"), "salt", "size", "items"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, h = pdf["i"].to_numpy(), pdf["h"].to_numpy()
         items = [np.frombuffer(b, dtype=U) for b in pdf["items"]]
-        head = items[int(np.flatnonzero((pdf["i"] == pdf["h"]).to_numpy())[0])]
-        both = np.array([len(np.intersect1d(x, head, assume_unique=True)) for x in items])
-        linked = both / (np.array([len(x) for x in items]) + len(head) - both) >= threshold
-        return pdf.loc[linked & (pdf["i"] != pdf["h"]).to_numpy(), ["i", "h"]]
+        at = int(np.flatnonzero(i == h)[0])
+        rest = [k for k in range(len(i)) if k != at]
+        both = np.array([len(np.intersect1d(items[k], items[at], assume_unique=True)) for k in rest], dtype=float)
+        size = np.array([len(items[k]) for k in rest])
+        return pd.DataFrame({"i": i[rest], "h": h[rest], "s": both / (size + len(items[at]) - both)})
 
-    return staged(both.groupBy("h", "s").applyInPandas(verify, "i long, h long"), "stars")
+    return staged(sharded(both, ["h", "salt"], "size", verify, "i long, h long, s double"), "stars")
 
 
-def _compare(tiles: DataFrame, keys: list, trees: int, depth: int, threshold: float, level: int | None) -> DataFrame:
-    """``(c, root, n, bands)`` of all tiles; at a level only pairs of different clusters that are newly met there. bands: the tile's links by similarity, on one of its rows."""
+def _compare(tiles: DataFrame, keys: list[str], threshold: float, across: bool) -> DataFrame:
+    """``(c, root, n)`` of all tiles; ``across``: only pairs of different clusters, in the first node that both have."""
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame | None:
         same = bool(pdf["tile_a"].iloc[0] == pdf["tile_b"].iloc[0])
         a = pdf if same else pdf[pdf["tile_side"] == 0]
         b = a if same else pdf[pdf["tile_side"] == 1]
-        empty = pd.DataFrame({"c": [], "root": [], "n": [], "bands": []}, dtype=object)
         if not len(a) or not len(b):
-            return empty
-        sa, pa = _read(a, trees, depth)
-        sb, pb = (sa, pa) if same else _read(b, trees, depth)
+            return None
         wanted = None
-        if level is not None:
-            wanted = newly_met(pa, pb, int(a["tree"].iloc[0]), level) & (a["g"].to_numpy()[:, None] != b["g"].to_numpy()[None, :])
+        if across:
+            wanted = a["g"].to_numpy()[:, None] != b["g"].to_numpy()[None, :]
+            if not wanted.any():
+                return None
+            na = [np.asarray(x) for x in a["nodes"]]
+            wanted &= first_in_common(na, na if same else [np.asarray(x) for x in b["nodes"]], int(a["node"].iloc[0]))
             if not wanted.any():
-                return empty
-        alike = similarities(sa, sb, np.triu(wanted, 1) if same and wanted is not None else wanted, same)
-        linked = alike >= threshold
+                return None
+        sa = [np.frombuffer(x, dtype=U) for x in a["items"]]
+        sb = sa if same else [np.frombuffer(x, dtype=U) for x in b["items"]]
+        linked = similarities(sa, sb, np.triu(wanted, 1) if same and wanted is not None else wanted, same) >= threshold
         if same:
             linked = linked | linked.T
             np.fill_diagonal(linked, False)
         if not linked.any():
-            return empty
-        band = np.minimum(((alike[np.triu(linked, 1) if same else linked] - threshold) * (BANDS / (1 - threshold))).astype(int), BANDS - 1)
+            return None
         rows, cols = local_roots(linked, same)
         n, names, root = linked @ b["w"].to_numpy(), a["c"].to_numpy(), rows
         if not same:
             n, names, root = np.concatenate([n, linked.T @ a["w"].to_numpy()]), np.concatenate([names, b["c"].to_numpy()]), np.concatenate([rows, cols])
         hit = n > 0
-        out = pd.DataFrame({"c": names[hit], "root": names[root[hit]], "n": n[hit].astype(np.int64)})
-        out["bands"] = [np.bincount(band, minlength=BANDS).astype(np.int64), *[None] * (len(out) - 1)]
-        return out
+        return pd.DataFrame({"c": names[hit], "root": names[root[hit]], "n": n[hit].astype(np.int64)})
 
-    return staged(tiles.groupBy(*keys).applyInPandas(compare, "c string, root string, n long, bands array<long>"), "links")
+    return staged(sharded(tiles, keys, "size", compare, "c string, root string, n long"), "links")
 
 
 def jaccard_classes(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES, depth: int = DEPTH, shortest: int = SHORTEST, recall: float = RECALL, block: int = BLOCK
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES, depth: int = DEPTH, shortest: int = SHORTEST, recall: float = RECALL, near: float = NEAR, block: int = BLOCK
 ) -> DataFrame:
     """One row per row of ``docs``: key, ``class_id``, ``class_size``, ``n_links``, ``component_id``, ``kept`` and ``text_hash``.
 
@@ -275,7 +270,7 @@ def jaccard_classes(
     forest = _forest(classes, trees, depth, shortest, parts)
 
     # the sets of classes that have company
-    company = classes.join(forest.select("i").distinct(), "i", "left_semi").select("i", "c", "w", "size", "path", F.col("d").alias("_d"), F.col("k").alias("_k"))
+    company = classes.join(forest.select("i").distinct(), "i", "left_semi").select("i", "c", "w", "size", F.col("d").alias("_d"), F.col("k").alias("_k"))
 
     def lay_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -283,41 +278,51 @@ def jaccard_classes(
                 part = pdf.iloc[s : s + 256]
                 yield part.drop(columns="t").assign(items=[x.tobytes() for x in _sets(part["t"], width)])
 
-    texts = src.join(company, (F.col("d") == F.col("_d")) & F.col("k").eqNullSafe(F.col("_k"))).select("i", "c", "w", "size", "path", "t")
-    sets = texts.mapInPandas(lay_out, "i long, c string, w long, size long, path binary, items binary")
+    texts = src.join(company, (F.col("d") == F.col("_d")) & F.col("k").eqNullSafe(F.col("_k"))).select("i", "c", "w", "size", "t")
+    sets = texts.mapInPandas(lay_out, "i long, c string, w long, size long, items binary")
     # a row that is there twice, key and all, is one representative
-    sets = staged(sets.groupBy("i").agg(*[F.first(x).alias(x) for x in ("c", "w", "size", "path", "items")]), "sets")
+    sets = staged(sets.groupBy("i").agg(*[F.first(x).alias(x) for x in ("c", "w", "size", "items")]), "sets")
 
     def members(x: int) -> DataFrame:
-        return forest.where(F.col("deep") >= x).select("i", "tree", F.xxhash64("tree", F.substring("path", 1, 2 * x)).alias("node"))
-
-    # 1. clusters of verified links of full depth
-    deep = members(depth)
-    heads = deep.groupBy("node").agg(F.min("i").alias("h"), F.count("*").alias("n")).where("n > 1")
-    edges = meet(deep, heads, "node", "n").where("i <> h").select("i", "h").distinct()
-    stars = _linked_heads(staged(edges, "edges"), sets, threshold)
-    groups = staged(connected_components(stars, "i", "h").select(F.col("node").alias("i"), F.col("component").alias("g")), "groups")
-    inside = with_tiles(sets.drop("path").withColumn("path", F.lit(b"").cast("binary")).join(groups, "i"), "g", "c", block, "size", BLOCK_ITEMS)
-    found = [_compare(inside, tile_keys("g"), 0, depth, threshold, None)]
-
-    # 2. shorter and shorter prefixes
-    bands = [0] * BANDS
+        name = lambda n: F.xxhash64("tree", F.substring("path", 1, 2 * n))
+        return forest.where(F.col("deep") >= x).select("i", "tree", name(x).alias("node"), (name(x + 1) if x < depth else F.col("i")).alias("child"))
+
+    # 1. shorter and shorter prefixes, until the links of heads say that few are missing
+    stars, bands = None, [0] * BANDS
     for x in range(depth, shortest - 1, -1):
-        named = staged(members(x).join(groups, "i", "left").withColumn("g", F.coalesce("g", "i")), "members")
-        nodes = named.groupBy("node").agg(F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("node", "n")
-        across = staged(meet(named, nodes, "node", "n").drop("n"), "across")
-        tiles = with_tiles(across.join(sets, "i"), "node", "c", block, "size", BLOCK_ITEMS)
-        links = _compare(tiles, tile_keys("node"), trees, depth, threshold, x)
-        found.append(links)
-        forget(named)
-        for r in links.where("bands is not null").select(F.posexplode("bands").alias("b", "m")).groupBy("b").agg(F.sum("m").alias("m")).collect():
-            bands[r["b"]] += r["m"]
+        level = members(x)
+        nodes = level.groupBy("node", "child").agg(F.count("*").alias("n"), F.min("i").alias("h")).groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("h").alias("h")).where("n > most")
+        edges = meet(level.select("i", "node"), nodes.select("node", "n", "h"), "node", "n").where("i <> h").select("i", "h").distinct()
+        edges = edges if stars is None else edges.join(stars, ["i", "h"], "left_anti")
+        fresh = _verified(staged(edges, "edges"), sets)
+        stars = fresh if stars is None else stars.unionByName(fresh)
+        band = F.least(F.floor((F.col("s") - threshold) * (BANDS / (1 - threshold))), F.lit(BANDS - 1)).cast("int")
+        for r in fresh.where(F.col("s") >= threshold).groupBy(band.alias("b")).count().collect():
+            bands[r["b"]] += r["count"]
         if estimated_recall(bands, x, trees, threshold) >= recall:
             break
 
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
+    # 2. clusters around heads
+    led = stars.where(F.col("s") >= near * threshold).groupBy("i").agg(F.min("h").alias("g"))
+    led = staged(led.unionByName(led.select(F.col("g").alias("i")).distinct().join(led, "i", "left_anti").withColumn("g", F.col("i"))), "groups")
+    found = _compare(with_tiles(sets.join(led, "i"), "g", "c", block, "size", BLOCK_ITEMS), ["g", "tile_a", "tile_b"], threshold, False)
+
+    # 3. across clusters: nodes of three and more, and the pairs that nodes of two are
+    level = staged(level.drop("child").join(led, "i", "left").withColumn("g", F.coalesce("g", "i")), "members")
+    nodes = level.groupBy("node").agg(F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high"), F.min("i").alias("h"), F.max("i").alias("i")).where("low < high")
+    nodes = staged(nodes, "nodes")
+    shown = staged(meet(level, nodes.where("n > 2").select("node", "n"), "node", "n").select("i", "g", "tree", "node"), "across")
+    lists = staged(shown.groupBy("i", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("tree", "node"))), lambda t: t["node"]).alias("nodes")), "lists")
+    tiles = with_tiles(shown.select("i", "node").join(lists.join(sets, "i"), "i"), "node", "c", block, "size", BLOCK_ITEMS)
+    crossed = _compare(tiles, ["node", "tile_a", "tile_b"], threshold, True)
+    twos = nodes.where("n = 2").select("i", "h").distinct().join(stars.where(F.col("s") >= threshold), ["i", "h"])
+    twos = twos.join(lists.select("i", F.col("nodes").alias("of_i")), "i", "left").join(lists.select(F.col("i").alias("h"), F.col("nodes").alias("of_h")), "h", "left")
+    twos = twos.where(~F.coalesce(F.arrays_overlap("of_i", "of_h"), F.lit(False))).select("i", "h")
+    one = classes.select("i", "c", "w")
+    twos = twos.join(one, "i").select("h", "c", "w").join(one.select(F.col("i").alias("h"), F.col("c").alias("d"), F.col("w").alias("v")), "h")
+    twos = staged(twos.select(F.explode(F.array(F.struct("c", F.col("d").alias("root"), F.col("v").alias("n")), F.struct(F.col("d").alias("c"), F.col("d").alias("root"), F.col("w").alias("n")))).alias("x")).select("x.*"), "links")
+
+    every = found.unionByName(crossed).unionByName(twos)
     links = every.groupBy("c").agg(F.sum("n").alias("n"))
     comp = connected_components(every, "c", "root").select(F.col("node").alias("c"), key_of(F.col("component")).alias("component_id"))
     named = classes.select("digest", "class_id", "w", "c").join(links, "c", "left").join(comp, "c", "left")

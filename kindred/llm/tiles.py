@@ -7,7 +7,10 @@ block`` rows. A tile emits at most one row per row it holds (its links counted,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +42,27 @@ def with_tiles(rows: DataFrame, group: str, item: str, block: int, weight: str |
     )
 
 
-def tile_keys(group: str) -> list[Column]:
-    return [F.col(group), F.col("tile_a"), F.col("tile_b")]
+#: Rows and weight that one call works through, about, where its groups are small.
+SHARD_ROWS, SHARD_WEIGHT = 1024, 1 << 20
+
+
+def sharded(rows: DataFrame, keys: list[str], weight: str, work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
+    """``work`` on each group of ``keys``, of bounded size each, many groups in a call: most groups are small, and a call costs a millisecond.
+
+    A shard holds whole groups, by hash, and about ``SHARD_ROWS`` rows or ``SHARD_WEIGHT`` of weight.
+    """
+    total = rows.agg(F.count("*").alias("n"), F.sum(weight).alias("w")).first()
+    shards = max(1, int(max(total["n"] / SHARD_ROWS, (total["w"] or 0) / SHARD_WEIGHT)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(keys, kind="stable", ignore_index=True)
+        key = pdf[keys].to_numpy()
+        cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+        out = [x for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a and (x := work(pdf.iloc[a:b])) is not None and len(x)]
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in names}, dtype=object)
+
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    return rows.withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards))).groupBy("shard").applyInPandas(run, schema)
 
 
 _SIGN = -(1 << 63)
