@@ -282,18 +282,16 @@ def test_jaccard_prefixes_are_shortened_until_the_recall_is_met():
     assert level(strong) > level(few) > level(weak) >= 4
 
 
-def test_jaccard_pairs_are_met_once_at_their_longest_prefix():
+def test_jaccard_pairs_are_met_once():
     rng = np.random.default_rng(3)
-    p = rng.integers(0, 2, size=(60, 6, 8)).astype("<u2")
-    share = np.cumprod(p[:, None] == p[None], axis=3).sum(axis=3)
-    longest = share.max(axis=2)
+    held = [np.array([n for n in rng.permutation(40) if n % 4 != i % 3][:30]) for i in range(60)]
+    order = rng.permutation(40)
+    held = [np.array([n for n in order if n in set(h.tolist())]) for h in held]
     times = np.zeros((60, 60), dtype=int)
-    for x in range(8, 2, -1):
-        for t in range(6):
-            got = jaccard_forest.newly_met(p, p, t, x)
-            assert (got <= ((longest == x) & (share[:, :, t] >= x))).all()
-            times += got
-    assert (times == (longest >= 3)).all()
+    for node in range(40):
+        at = [i for i, h in enumerate(held) if node in h]
+        times[np.ix_(at, at)] += jaccard_forest.first_in_common([held[i] for i in at], [held[i] for i in at], node) if at else 0
+    assert (times == [[len(np.intersect1d(a, b)) > 0 for b in held] for a in held]).all()
 
 
 def test_jaccard_forest_keeps_rows_with_company(spark):
