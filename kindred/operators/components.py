@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    cur = staged(cur, "edges")
+    cur = staged(cur, "edges", few=True)
     before = None
     for _ in range(max_rounds):
         # large star: each node hands its larger neighbours to the smallest node it sees
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
         # small star: each node links its smaller neighbours, and itself, to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        old, cur = cur, staged(least.select("a", F.col("m").alias("b")).unionByName(small).distinct(), "edges")
+        old, cur = cur, staged(least.select("a", F.col("m").alias("b")).unionByName(small).distinct(), "edges", few=True)
         forget(old)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first())
         if now == before or now[0] == 0:

@@ -19,7 +19,7 @@ def meet(rows: DataFrame, facts: DataFrame, on: str, weight: str, bound: int = B
     no more hot keys than rows / bound; beyond ``most`` the join is a plain one, whose hot keys adaptive
     execution splits. ``rows`` is read twice, so it should be a stored table. A null key matches nothing.
     """
-    facts = staged(facts, "facts")
+    facts = staged(facts, "facts", few=True)
     hot = facts.where(F.col(weight) > bound)
     n = hot.limit(most + 1).count()
     if n == 0 or n > most:

@@ -31,12 +31,17 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def staged(df: DataFrame, kind: str = "stage") -> DataFrame:
+def staged(df: DataFrame, kind: str = "stage", few: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    Cuts the lineage: a lost executor costs a re-read, not a recomputation. ``few``: for tables that are small
+    beside the input (counts, edges, keys); they go to a thirty-second of the shuffle partitions, though never to
+    fewer files than there are cores, instead of one tiny file from each partition.
     """
     spark = df.sparkSession
+    if few:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, parts // 32))
     path = new_folder(spark, kind)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
