@@ -175,7 +175,7 @@ def _forest(classes: DataFrame, trees: int, depth: int, shortest: int, parts: in
 
 def _verified(edges: DataFrame, sets: DataFrame, salt: int = 512) -> DataFrame:
     """``(i, h, s)``: the similarity of each edge's sets. A hot head comes once for each ``salt`` of its edges."""
-    degree = staged(edges.groupBy("h").agg(F.ceil(F.count("*") / salt).cast("int").alias("salts")), "heads")
+    degree = staged(edges.groupBy("h").agg(F.ceil(F.count("*") / salt).cast("int").alias("salts")), "heads", few=True)
     own = meet(edges, degree.withColumn("n", F.col("salts") * salt), "h", "n", bound=4 * salt)
     own = own.select("i", "h", F.pmod(F.xxhash64("i"), "salts").cast("int").alias("salt")).join(sets.select("i", "size", "items"), "i")
     heads = degree.select(F.col("h").alias("i"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.select("i", "size", "items"), "i")
@@ -190,7 +190,7 @@ def _verified(edges: DataFrame, sets: DataFrame, salt: int = 512) -> DataFrame:
         size = np.array([len(items[k]) for k in rest])
         return pd.DataFrame({"i": i[rest], "h": h[rest], "s": both / (size + len(items[at]) - both)})
 
-    return staged(sharded(both, ["h", "salt"], "size", verify, "i long, h long, s double"), "stars")
+    return staged(sharded(both, ["h", "salt"], "size", verify, "i long, h long, s double"), "stars", few=True)
 
 
 def _compare(tiles: DataFrame, keys: list[str], threshold: float, across: bool) -> DataFrame:
@@ -226,7 +226,7 @@ def _compare(tiles: DataFrame, keys: list[str], threshold: float, across: bool)
         hit = n > 0
         return pd.DataFrame({"c": names[hit], "root": names[root[hit]], "n": n[hit].astype(np.int64)})
 
-    return staged(sharded(tiles, keys, "size", compare, "c string, root string, n long"), "links")
+    return staged(sharded(tiles, keys, "size", compare, "c string, root string, n long"), "links", few=True)
 
 
 def jaccard_classes(
@@ -294,7 +294,7 @@ def jaccard_classes(
         nodes = level.groupBy("node", "child").agg(F.count("*").alias("n"), F.min("i").alias("h")).groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("h").alias("h")).where("n > most")
         edges = meet(level.select("i", "node"), nodes.select("node", "n", "h"), "node", "n").where("i <> h").select("i", "h").distinct()
         edges = edges if stars is None else edges.join(stars, ["i", "h"], "left_anti")
-        fresh = _verified(staged(edges, "edges"), sets)
+        fresh = _verified(staged(edges, "edges", few=True), sets)
         stars = fresh if stars is None else stars.unionByName(fresh)
         band = F.least(F.floor((F.col("s") - threshold) * (BANDS / (1 - threshold))), F.lit(BANDS - 1)).cast("int")
         for r in fresh.where(F.col("s") >= threshold).groupBy(band.alias("b")).count().collect():
@@ -304,15 +304,15 @@ def jaccard_classes(
 
     # 2. clusters around heads
     led = stars.where(F.col("s") >= near * threshold).groupBy("i").agg(F.min("h").alias("g"))
-    led = staged(led.unionByName(led.select(F.col("g").alias("i")).distinct().join(led, "i", "left_anti").withColumn("g", F.col("i"))), "groups")
+    led = staged(led.unionByName(led.select(F.col("g").alias("i")).distinct().join(led, "i", "left_anti").withColumn("g", F.col("i"))), "groups", few=True)
     found = _compare(with_tiles(sets.join(led, "i"), "g", "c", block, "size", BLOCK_ITEMS), ["g", "tile_a", "tile_b"], threshold, False)
 
     # 3. across clusters: nodes of three and more, and the pairs that nodes of two are
-    level = staged(level.drop("child").join(led, "i", "left").withColumn("g", F.coalesce("g", "i")), "members")
+    level = staged(level.drop("child").join(led, "i", "left").withColumn("g", F.coalesce("g", "i")), "members", few=True)
     nodes = level.groupBy("node").agg(F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high"), F.min("i").alias("h"), F.max("i").alias("i")).where("low < high")
-    nodes = staged(nodes, "nodes")
-    shown = staged(meet(level, nodes.where("n > 2").select("node", "n"), "node", "n").select("i", "g", "tree", "node"), "across")
-    lists = staged(shown.groupBy("i", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("tree", "node"))), lambda t: t["node"]).alias("nodes")), "lists")
+    nodes = staged(nodes, "nodes", few=True)
+    shown = staged(meet(level, nodes.where("n > 2").select("node", "n"), "node", "n").select("i", "g", "tree", "node"), "across", few=True)
+    lists = staged(shown.groupBy("i", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("tree", "node"))), lambda t: t["node"]).alias("nodes")), "lists", few=True)
     tiles = with_tiles(shown.select("i", "node").join(lists.join(sets, "i"), "i"), "node", "c", block, "size", BLOCK_ITEMS)
     crossed = _compare(tiles, ["node", "tile_a", "tile_b"], threshold, True)
     twos = nodes.where("n = 2").select("i", "h").distinct().join(stars.where(F.col("s") >= threshold), ["i", "h"])
@@ -320,7 +320,7 @@ def jaccard_classes(
     twos = twos.where(~F.coalesce(F.arrays_overlap("of_i", "of_h"), F.lit(False))).select("i", "h")
     one = classes.select("i", "c", "w")
     twos = twos.join(one, "i").select("h", "c", "w").join(one.select(F.col("i").alias("h"), F.col("c").alias("d"), F.col("w").alias("v")), "h")
-    twos = staged(twos.select(F.explode(F.array(F.struct("c", F.col("d").alias("root"), F.col("v").alias("n")), F.struct(F.col("d").alias("c"), F.col("d").alias("root"), F.col("w").alias("n")))).alias("x")).select("x.*"), "links")
+    twos = staged(twos.select(F.explode(F.array(F.struct("c", F.col("d").alias("root"), F.col("v").alias("n")), F.struct(F.col("d").alias("c"), F.col("d").alias("root"), F.col("w").alias("n")))).alias("x")).select("x.*"), "links", few=True)
 
     every = found.unionByName(crossed).unionByName(twos)
     links = every.groupBy("c").agg(F.sum("n").alias("n"))
@@ -343,7 +343,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     own = "_" * max(map(len, docs.columns))  # begins no name of docs
     k, d, n = (own + x for x in ("k", "d", "n"))
     kept = jaccard_classes(docs, key, text, **options).where(F.col("kept") & F.col(key).isNotNull())
-    kept = staged(kept.groupBy(F.col(key).alias(k), F.col("text_hash").alias(d)).agg(F.count("*").alias(n)), "kept")
+    kept = staged(kept.groupBy(F.col(key).alias(k), F.col("text_hash").alias(d)).agg(F.count("*").alias(n)), "kept", few=True)
     on = (docs[key].cast("long") == F.col(k)) & (F.xxhash64(docs[text]) == F.col(d))
     out = docs.join(kept.where(F.col(n) == 1), on, "left_semi").unionByName(docs.where(F.col(key).isNull()))
     if kept.where(F.col(n) > 1).limit(1).count():

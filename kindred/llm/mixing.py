@@ -88,7 +88,7 @@ def _laid_and_played(docs: DataFrame, key: str, text: str, source: str, weights:
     src = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("th"))
     # h: place in the shuffle of its source, from hashes that any engine has
     src = staged(src.withColumn("h", F.sha2(F.coalesce(F.col("k").cast("string"), F.lit("")), 256)), "sizes")
-    targets = staged(source_targets(src.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeat), "targets")
+    targets = staged(source_targets(src.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeat), "targets", few=True)
     facts = targets.agg(F.sum("target").alias("all"), F.sum("source_size").alias("words")).first()
     total = int(round(facts["all"] or 0))
     slots = staged(schedule(targets, total, block, bucket), "schedule")

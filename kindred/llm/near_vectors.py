@@ -184,12 +184,12 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     reps = staged(reps, "vectors")
     at = ["label", "d", "x", "y"]
     least = F.greatest(F.lit(64), F.least(F.lit(block), F.floor(F.lit(BLOCK_BYTES / 8) / F.col("d")))) if block >= 64 else F.lit(block)
-    cells = staged(reps.groupBy(*at).agg(F.ceil(F.count("*") / least).cast("int").alias("n")), "cells")
+    cells = staged(reps.groupBy(*at).agg(F.ceil(F.count("*") / least).cast("int").alias("n")), "cells", few=True)
     # a cell and those beside it, with their numbers of blocks: nine at most
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
     seen = cells.select("label", "d", F.col("x").alias("x0"), F.col("y").alias("y0"), steps).select("label", "d", "x0", "y0", (F.col("x0") + F.col("s.dx")).alias("x"), (F.col("y0") + F.col("s.dy")).alias("y"), "s.dx", "s.dy")
     beside = seen.join(cells, at).groupBy("label", "d", F.col("x0").alias("x"), F.col("y0").alias("y"))
-    beside = staged(beside.agg(F.collect_list(F.struct("dx", "dy", "n")).alias("beside"), F.max(F.when((F.col("dx") == 0) & (F.col("dy") == 0), F.col("n"))).alias("n")), "cells")
+    beside = staged(beside.agg(F.collect_list(F.struct("dx", "dy", "n")).alias("beside"), F.max(F.when((F.col("dx") == 0) & (F.col("dy") == 0), F.col("n"))).alias("n")), "cells", few=True)
     # few cells meet their vectors by broadcast, so a hot label is not gathered; many are no hot ones, or adaptive execution splits them
     beside = F.broadcast(beside) if beside.limit(MOST + 1).count() <= MOST else beside
     own = F.pmod(F.xxhash64("digest"), F.col("n")).cast("int")
@@ -217,7 +217,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
         hit = n > 0
         return pd.DataFrame({"c": names[hit], "root": names[root[hit]], "n": n[hit]})
 
-    found = staged(tiles.groupBy("label", "d", "x", "y", "dx", "dy", "ba", "bb").applyInPandas(compare, "c string, root string, n long"), "links")
+    found = staged(tiles.groupBy("label", "d", "x", "y", "dx", "dy", "ba", "bb").applyInPandas(compare, "c string, root string, n long"), "links", few=True)
     links = found.groupBy("c").agg(F.sum("n").alias("n"))
     comp = connected_components(found, "c", "root").select(F.col("node").alias("c"), key_of(F.col("component")).alias("component_id"))
     named = reps.select("digest", "rep", "w", "c").join(links, "c", "left").join(comp, "c", "left")

@@ -29,7 +29,7 @@ def with_tiles(rows: DataFrame, group: str, item: str, block: int, weight: str |
     """
     heavy = F.sum(weight) / F.lit(float(most)) if weight else F.lit(0.0)
     sizes = rows.groupBy(group).agg(F.ceil(F.greatest(F.count("*") / F.lit(block), heavy)).cast("int").alias("_blocks")).where("_blocks > 1")
-    sizes = staged(sizes, "blocks")
+    sizes = staged(sizes, "blocks", few=True)
     sizes = F.broadcast(sizes) if sizes.limit(MOST + 1).count() <= MOST else sizes
     placed = rows.where(F.col(group).isNotNull()).join(sizes, group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     placed = placed.withColumn("_own", F.pmod(F.xxhash64(F.col(item)), F.col("_blocks")).cast("int"))

@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
     known = known.groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     known = known.join(docs.select(F.col(key).alias("k")).where("k is not null").distinct(), "k", "left_semi")
     by_hash = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64(F.col("k").cast("string")), "k").limit(n)
-    sample = staged(by_hash(1, max_rows // 3).unionByName(by_hash(0, max_rows - max_rows // 3)), "sample")
+    sample = staged(by_hash(1, max_rows // 3).unionByName(by_hash(0, max_rows - max_rows // 3)), "sample", few=True)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
 
     # at most max_rows keys: this broadcast can't grow with the corpus
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").select("y", "t")
-    sets = staged(texts.mapInPandas(extract, "y int, f binary"), "features")
+    sets = staged(texts.mapInPandas(extract, "y int, f binary"), "features", few=True)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros((2, 1 << BITS), dtype=np.int64)
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
         yield pd.DataFrame({"i": i, "q": n[0, i], "p": n[1, i]})
 
     counts = sets.mapInPandas(count, "i int, q long, p long").groupBy("i").agg(F.sum("q").alias("q"), F.sum("p").alias("p")).where("p + q >= 4")
-    counts = staged(counts.select("i", (F.col("p") + 1.0).alias("p"), (F.col("q") + 1.0).alias("q")), "counts")
+    counts = staged(counts.select("i", (F.col("p") + 1.0).alias("p"), (F.col("q") + 1.0).alias("q")), "counts", few=True)
     total = counts.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
     ratio = F.log((F.col("p") / F.lit(total["p"] or 1.0)) / (F.col("q") / F.lit(total["q"] or 1.0)))
     z = F.abs(ratio) / F.sqrt(1 / F.col("p") + 1 / F.col("q"))
