@@ -33,9 +33,15 @@ def gap_decision(points: dict[str, float], target: str, raw: list[str], least: f
     return gap, gap >= least
 
 
-def seed_interval(values: list[float]) -> dict[str, float]:
-    """Mean, median, range, sample deviation and normal 95 % interval over seeds."""
+def seed_interval(values: list[float], replicates: int = 2000, rng: np.random.Generator | None = None) -> dict[str, float]:
+    """Mean, median, range, sample deviation and the bootstrap 95 % interval of the mean over seeds; all draws at once from ``rng``."""
     v = np.asarray(values, dtype=float)
-    sd = float(v.std(ddof=1)) if len(v) > 1 else 0.0
-    half = 1.96 * sd / np.sqrt(len(v))
-    return {"mean": float(v.mean()), "median": float(np.median(v)), "min": float(v.min()), "max": float(v.max()), "std": sd, "low": float(v.mean() - half), "high": float(v.mean() + half)}
+    rng = rng or np.random.default_rng(17)
+    means = v[rng.integers(0, len(v), size=(replicates, len(v)))].mean(axis=1)
+    low, high = np.quantile(means, [0.025, 0.975])
+    return {"mean": float(v.mean()), "median": float(np.median(v)), "min": float(v.min()), "max": float(v.max()), "std": float(v.std(ddof=1)) if len(v) > 1 else float("nan"), "low": float(low), "high": float(high)}
+
+
+def difference_of_means(a: np.ndarray, b: np.ndarray, replicates: int = 2000, seed: int = 17, level: float = 0.95) -> tuple[float, float, float]:
+    """Mean of paired differences a - b with its bootstrap interval."""
+    return bootstrap_mean(np.asarray(a, dtype=float) - np.asarray(b, dtype=float), replicates, seed, level)

@@ -1,8 +1,8 @@
 """Exact search of a query set against all rows, and retrieval metrics over ranked pairs.
 
-``pairs`` is the only place where queries meet candidates. Both sides are cut into blocks that join by
-equality, so the work is spread over ``query_blocks`` partitions of bounded size whatever the sizes, and the
-top k of each block are taken before anything is shuffled (window group limit).
+``pairs`` is the only place where queries meet candidates. Both sides are counted and cut into blocks of bounded
+size, and each block of queries joins each block of candidates by equality, so the number of tasks grows with the
+work; the top k of each block are taken before anything is shuffled (window group limit).
 """
 
 from __future__ import annotations
@@ -12,11 +12,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def pairs(queries: DataFrame, candidates: DataFrame, q: str = "q", c: str = "c", query_blocks: int = 16) -> DataFrame:
-    """Every query with every other candidate; norms and other per-row work should already be columns."""
-    left = queries.withColumn("_block", F.pmod(F.xxhash64(F.col(q)), F.lit(query_blocks)).cast("int"))
-    right = candidates.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    return left.join(right, "_block").drop("_block").where(F.col(q) != F.col(c))
+#: Rows of a block of queries and of a block of candidates.
+QUERY_ROWS, CANDIDATE_ROWS = 64, 4096
+
+
+def pairs(queries: DataFrame, candidates: DataFrame, q: str = "q", c: str = "c", on: str | None = None, query_rows: int = QUERY_ROWS, candidate_rows: int = CANDIDATE_ROWS) -> DataFrame:
+    """Every query with every other candidate, of the same ``on`` if that is given; norms and other per-row work should already be columns."""
+    nq, nc = (max(1, -(-rows.count() // size)) for rows, size in ((queries, query_rows), (candidates, candidate_rows)))
+    # at least as many blocks of queries as there are cores
+    nq = max(nq, min(queries.sparkSession.sparkContext.defaultParallelism * 2, nq * query_rows))
+    dealt = lambda rows, key, n: F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+    left = queries.withColumn("_qb", dealt(queries, q, nq)).withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+    right = candidates.withColumn("_cb", dealt(candidates, c, nc)).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    return left.join(right, ["_qb", "_cb", *([on] if on else [])]).drop("_qb", "_cb").where(F.col(q) != F.col(c))
 
 
 def ranked(pair: DataFrame, by: list[tuple[str, Column]], q: str = "q", c: str = "c") -> DataFrame:
@@ -36,7 +44,8 @@ def average_rank(values: Column, q: str = "q") -> Column:
 
 
 def recall_at(k: int) -> Column:
-    return F.sum(((F.col("ork") <= k) & (F.col("mrk") <= k)).cast("int")) / F.lit(k)
+    """Share of the k true neighbours (of all candidates, if there are fewer) that the method retrieves."""
+    return F.sum(((F.col("ork") <= k) & (F.col("mrk") <= k)).cast("int")) / F.least(F.lit(k), F.count(F.lit(1)))
 
 
 def regret_at(k: int) -> Column:

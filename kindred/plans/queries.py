@@ -150,7 +150,7 @@ def class_precision_recall_at_k(spark, sf_dir):
     same = F.col("q_label") == F.col("c_label")
     hits = F.sum((same & (F.col("mrk") <= 10)).cast("int"))
     every = F.sum(same.cast("int"))
-    out = _ranked(spark, sf_dir).groupBy("q").agg((hits / 10).alias("precision"), F.when(every > 0, hits / every).alias("recall"))
+    out = _ranked(spark, sf_dir).groupBy("q").agg((hits / F.least(F.lit(10), F.count(F.lit(1)))).alias("precision"), F.when(every > 0, hits / every).alias("recall"))
     return out.select("q", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
@@ -210,7 +210,7 @@ def _hard_ranked(spark, sf_dir) -> DataFrame:
     q = d.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("q"), F.col("source").alias("q_source"), "decile", *[F.col(p).alias(f"q_{p}") for p in ("p1", "p2", "p3")], F.col("n_chars").alias("q_n"))
     c = d.select(F.col("doc_id").alias("c"), "decile", *[F.col(p).alias(f"c_{p}") for p in ("p1", "p2", "p3")], F.col("n_chars").alias("c_n"))
     o = F.greatest(*[F.abs(F.col(f"q_{p}") - F.col(f"c_{p}")) for p in ("p1", "p2", "p3")])
-    j = q.join(c, "decile").where("q <> c").select("q", "q_source", "decile", "c", F.round(o, 6).alias("o"), F.abs(F.col("q_n") - F.col("c_n")).alias("len"), F.round(F.abs(F.col("q_p1") - F.col("c_p1")), 6).alias("first"))
+    j = R.pairs(q, c, on="decile").select("q", "q_source", "decile", "c", F.round(o, 6).alias("o"), F.abs(F.col("q_n") - F.col("c_n")).alias("len"), F.round(F.abs(F.col("q_p1") - F.col("c_p1")), 6).alias("first"))
     return R.ranked(j, [("ork", F.col("o"))])
 
 
@@ -220,11 +220,9 @@ def hard_negative_pairs(spark, sf_dir):
 
 
 def _hard_scores(spark, sf_dir) -> DataFrame:
-    r = staged(_hard_ranked(spark, sf_dir), "ranked")
-    pairs = H.hash_cap(H.separated_pairs(r, 5, 25), "seed-17", 128)
-    side = lambda n: r.select(F.col("q").alias("_q"), F.col("c").alias("_c"), F.col("len").alias(f"{n}_len"), F.col("first").alias(f"{n}_first"), *([F.col("q_source"), F.col("decile")] if n == "closer" else []))
-    for n in ("closer", "farther"):
-        pairs = pairs.join(side(n), (F.col("q") == F.col("_q")) & (F.col(n) == F.col("_c"))).drop("_q", "_c")
+    r = _hard_ranked(spark, sf_dir)
+    pairs = H.hash_cap(H.separated_pairs(r, 5, 25, carry=("len", "first", "q_source", "decile")), "seed-17", 128)
+    pairs = pairs.withColumnsRenamed({"closer_q_source": "q_source", "closer_decile": "decile"})
     score = lambda m: H.pair_accuracy(F.col(f"closer_{m}"), F.col(f"farther_{m}"))
     return pairs.select("q", "q_source", "decile", score("len").alias("length"), score("first").alias("first"))
 

@@ -2,8 +2,11 @@
 
 import inspect
 
+from kindred.plans import audit as _audit
 from kindred.plans import queries as _queries
-from kindred.plans.sql import ORACLES
+from kindred.plans import sql as _sql
+from kindred.plans import stores as _stores
 
-QUERIES = {name: f for name, f in vars(_queries).items() if inspect.isfunction(f) and f.__module__ == _queries.__name__ and not name.startswith("_")}
+QUERIES = {name: f for m in (_queries, _audit, _stores) for name, f in vars(m).items() if inspect.isfunction(f) and f.__module__ == m.__name__ and not name.startswith("_")}
+ORACLES = _sql.ORACLES | _audit.ORACLES | _stores.ORACLES
 __all__ = ["ORACLES", "QUERIES"]

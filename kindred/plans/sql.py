@@ -56,11 +56,11 @@ ORACLES = {
     "scalar_topk": _topk("abs(qy - cy)"),
     "permuted_product_topk": f"WITH {_P}, d AS (" + " UNION ALL ".join(f"SELECT '{''.join(map(str, s))}' AS swap, q, c, {_PROD.format(a=s[0] + 1, b=s[1] + 1, c=s[2] + 1)} AS d FROM p" for s in [(0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]) + "), r AS (SELECT *, row_number() OVER (PARTITION BY swap, q ORDER BY d, c) AS rk FROM d) SELECT swap, q, c, rk, round(d, 6) AS d FROM r WHERE rk <= 5",
     "token_length_topk": "WITH r AS (SELECT a.doc_id AS q, b.doc_id AS c, abs(a.n_chars - b.n_chars) AS d, row_number() OVER (PARTITION BY a.doc_id ORDER BY abs(a.n_chars - b.n_chars), b.doc_id) AS rk FROM documents a JOIN documents b ON a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id) SELECT q, c, rk, d FROM r WHERE rk <= 10",
-    "recall_at_k": f"WITH {_R} SELECT q, round(sum((ork <= 10 AND mrk <= 10)::INT) / 10, 6) AS recall_10, round(sum((ork <= 50 AND mrk <= 50)::INT) / 50, 6) AS recall_50 FROM r GROUP BY q",
+    "recall_at_k": f"WITH {_R} SELECT q, round(sum((ork <= 10 AND mrk <= 10)::INT) / least(10, count(*)), 6) AS recall_10, round(sum((ork <= 50 AND mrk <= 50)::INT) / least(50, count(*)), 6) AS recall_50 FROM r GROUP BY q",
     "neighbour_regret_at_k": f"WITH {_R}, a AS (SELECT q, " + ", ".join(f"avg(o) FILTER (mrk <= {k}) AS x{k}, avg(o) FILTER (ork <= {k}) AS y{k}, max(o) FILTER (mrk <= {k}) AS w{k}" for k in (10, 50)) + " FROM r GROUP BY q) SELECT q, " + ", ".join(f"round(x{k} - y{k}, 6) AS regret_{k}, round(CASE WHEN y{k} >= 1e-8 THEN x{k} / y{k} END, 6) AS relative_error_{k}, round(w{k}, 6) AS constraint_error_{k}" for k in (10, 50)) + " FROM a",
     "ndcg_at_k": f"WITH {_R}, s AS (SELECT q, coalesce(quantile_cont(o, 0.5) FILTER (o > 0), 1) AS s FROM r GROUP BY q), g AS (SELECT q, sum(exp(-o / s) / log2(mrk + 1)) FILTER (mrk <= 10) AS d, sum(exp(-o / s) / log2(ork + 1)) FILTER (ork <= 10) AS i FROM r JOIN s USING (q) GROUP BY q) SELECT q, round(CASE WHEN i = 0 THEN 1 ELSE d / i END, 6) AS ndcg FROM g",
     "within_tolerance_at_k": f"WITH {_R}, t AS (SELECT stddev_pop(y) * 0.05 AS tol FROM e) SELECT q, round(avg((o <= tol)::INT), 6) AS within FROM r, t WHERE mrk <= 10 GROUP BY q",
-    "class_precision_recall_at_k": f"WITH {_R}, h AS (SELECT q, sum((ql = cl AND mrk <= 10)::INT) AS h, sum((ql = cl)::INT) AS n FROM r GROUP BY q) SELECT q, round(h / 10, 6) AS precision, round(CASE WHEN n > 0 THEN h / n END, 6) AS recall FROM h",
+    "class_precision_recall_at_k": f"WITH {_R}, h AS (SELECT q, sum((ql = cl AND mrk <= 10)::INT) AS h, sum((ql = cl)::INT) AS n, least(10, count(*)) AS k FROM r GROUP BY q) SELECT q, round(h / k, 6) AS precision, round(CASE WHEN n > 0 THEN h / n END, 6) AS recall FROM h",
     "average_precision": f"WITH {_R}, h AS (SELECT q, ql = cl AS rel, mrk, sum((ql = cl)::INT) OVER (PARTITION BY q ORDER BY mrk) AS s FROM r) SELECT q, round(avg(s / mrk) FILTER (rel), 6) AS ap FROM h GROUP BY q",
     "spearman_per_query": f"WITH {_J}, k AS (SELECT q, rank() OVER (PARTITION BY q ORDER BY o) + (count(*) OVER (PARTITION BY q, o) - 1) / 2 AS x, rank() OVER (PARTITION BY q ORDER BY m) + (count(*) OVER (PARTITION BY q, m) - 1) / 2 AS y FROM j) SELECT q, round(corr(x, y), 6) AS rho FROM k GROUP BY q",
     "triplet_accuracy_halves": f"WITH {_HALF} SELECT q, round({_SCORE}, 6) AS accuracy, count(*) AS pairs FROM t GROUP BY q",

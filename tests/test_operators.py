@@ -59,7 +59,7 @@ def test_distances_of_zero_and_equal_rows(spark):
     [
         ("def f(a):\n if a and b:\n  pass\n for x in a:\n  if x: g()\n def n():\n  while 1: pass\n h()", [5, 2, 2]),
         ("def f():\n foo();foo();obj.save();factory()()", [1, 0, 4]),
-        ("def f(x):\n return [a for a in x if a], (b for b in x if b)", [5, 0, 0]),
+        ("def f(x):\n return [a for a in x if a], (b for b in x if b)", [5, 1, 0]),
         ("def f(x):\n try:\n  with x:\n   while x: pass\n except E: pass", [3, 3, 0]),
     ],
 )
@@ -401,3 +401,88 @@ def test_no_part_of_the_library_imports_llm():
         if "llm" not in p.relative_to(ROOT).parts:
             assert not re.search(r"^\s*(from|import) kindred\.llm", p.read_text(), re.M), p
     assert math.isfinite(1.0)
+
+
+def test_hot_keys_meet_their_facts(spark):
+    from kindred.operators.hot import meet
+
+    rows = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id as string)) as k").unionByName(spark.createDataFrame([(9999, None)], "id long, k string"))
+    facts = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    want = sorted(map(tuple, rows.join(facts, "k").select("id", "k", "n", "low").collect()))
+    for bound, most in ((10, 100), (10, 0), (10**6, 100)):
+        assert sorted(map(tuple, meet(rows, facts, "k", "n", bound, most).select("id", "k", "n", "low").collect())) == want
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from kindred import storage
+
+    fake = lambda master: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda _: None)), conf=SimpleNamespace(get=lambda *_: None))
+    assert storage.shared_dir(fake("local[4]")) == storage.LOCAL_FALLBACK
+    for master in ("yarn", "spark://x:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            storage.shared_dir(fake(master))
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    import os
+
+    from kindred import storage
+
+    with storage.scratch(spark) as keep:
+        gone, kept = storage.staged(spark.range(5)), storage.staged(spark.range(7), few=True)
+        keep.append(kept)
+    there = lambda d: os.path.exists(d._kindred_folder.removeprefix("file:"))
+    assert kept.count() == 7 and there(kept) and not there(gone)
+    storage.forget(kept)
+    assert not there(kept)
+
+
+def test_names_of_repositories(spark):
+    from kindred.functions import names as N
+
+    rows = ["alice/tool", "bob/tool-fork", "carol/tool-v2", "D/python-django-py", "e/aio-client", "f/old", "g/x_y.2", "h/a/b-copy", None, "plain", "/x", "y/"]
+    df = spark.createDataFrame([(r,) for r in rows], "r string")
+    got = [tuple(x) for x in df.select(N.owner(F.col("r")), N.name(F.col("r")), N.signatures(F.col("r"))["exact"], N.signatures(F.col("r"))["family"], N.family_name(F.col("r"))).collect()]
+    assert [g[3] for g in got[:3]] == ["tool"] * 3 and got[5][2:4] == ("old", "old") and got[6][2:4] == ("x-y-2", "x-y")
+    assert got[3][4] == "django" and got[4][4] == "" and got[7][:2] == ("h", "a/b-copy") and got[7][3] == "b"
+    assert [g[0] for g in got[8:]] == [None] * 4
+    assert df.limit(1).select(N.normalised(F.lit(" Alice/Tool "))).first()[0] == "alice/tool"
+    with pytest.raises(Exception, match="no repository name"):
+        df.limit(1).select(N.normalised(F.lit("nothing"))).collect()
+
+
+def test_near_duplicate_report_counts_pairs_without_making_them(spark):
+    import itertools
+
+    from kindred.operators import audit as A
+
+    rng = np.random.default_rng(8)
+    base = [int(x) for x in rng.integers(0, 2**63, 6)]
+    rows = [(i, f"{base[i % 6] ^ (1 << int(rng.integers(64))) if i % 2 else base[i % 6]:016x}", f"r{rng.integers(3)}", f"p{rng.integers(5)}") for i in range(120)]
+    got = {r.distance: r.pairs for r in A.near_duplicate_report(spark.createDataFrame(rows, "id int, f string, role string, repo string"), "f", "role", "repo").collect()}
+    want = collections.Counter()
+    for a, b in itertools.combinations(rows, 2):
+        d = (int(a[1], 16) ^ int(b[1], 16)).bit_count()
+        if d <= 3 and a[2] != b[2] and a[3] != b[3]:
+            want[d] += 1
+    assert got == dict(want)
+    few = A.close_prints(spark.createDataFrame(rows, "id int, f string, role string, repo string"), "f", bucket_bound=1)
+    assert few.where("f < g").count() == 0
+
+
+def test_recall_in_pools_smaller_than_k(spark):
+    rows = spark.createDataFrame([(1, i, float(i), float(-i)) for i in range(4)], "q int, c int, o double, m double")
+    r = R.ranked(rows, [("ork", F.col("o")), ("mrk", F.col("m"))])
+    assert r.groupBy("q").agg(R.recall_at(10).alias("r")).first().r == 1.0 and r.groupBy("q").agg(R.recall_at(2).alias("r")).first().r == 0.0
+
+
+def test_seed_interval_is_a_bootstrap():
+    from kindred.operators import inference as I
+
+    v = [0.1, 0.4, 0.2, 0.9, 0.3]
+    got = I.seed_interval(v, 500, np.random.default_rng(3))
+    means = np.mean(np.array(v)[np.random.default_rng(3).integers(0, 5, size=(500, 5))], axis=1)
+    assert (got["low"], got["high"]) == (np.quantile(means, 0.025), np.quantile(means, 0.975))
+    assert I.difference_of_means(np.ones(4), np.zeros(4))[0] == 1.0
