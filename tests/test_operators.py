@@ -1,3 +1,4 @@
+import collections
 import json
 import math
 import re
@@ -17,6 +18,7 @@ from kindred.operators import inference as I
 from kindred.operators import keys as K
 from kindred.operators import ledger as L
 from kindred.operators import probes as P
+from kindred.operators import retrieval as R
 from kindred.operators import selective as S
 from kindred.operators.components import connected_components
 from kindred.operators.graph import outcome, resolved_edges
