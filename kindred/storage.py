@@ -31,17 +31,28 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def staged(df: DataFrame, kind: str = "stage", few: bool = False) -> DataFrame:
+#: Bytes of input for one file of a table that is made from it.
+FILE_BYTES = 16 << 20
+
+
+def sized(df: DataFrame, like: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the table ``like``, of about the same size, has pieces of FILE_BYTES, and at least one for each core; never in more than it has."""
+    estimate = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(1 << 30, max(df.sparkSession.sparkContext.defaultParallelism, -(-estimate // FILE_BYTES))))
+
+
+def staged(df: DataFrame, kind: str = "stage", few: bool = False, like: DataFrame | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation. ``few``: for tables that are small
-    beside the input (counts, edges, keys); they go to a thirty-second of the shuffle partitions, though never to
-    fewer files than there are cores, instead of one tiny file from each partition.
+    beside the input (counts, edges, keys); they go to a thirty-second of the shuffle partitions instead of one
+    tiny file from each. ``like``: a table of about the same size, see ``sized``.
     """
     spark = df.sparkSession
     if few:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, parts // 32))
+        df = df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 32))
+    elif like is not None:
+        df = sized(df, like)
     path = new_folder(spark, kind)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
