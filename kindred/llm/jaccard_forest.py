@@ -37,7 +37,7 @@ from kindred.llm.tiles import key_of, local_roots, node_of, sharded, with_tiles
 from kindred.llm.words import U, Words, chunks, encoded, mix, shingles
 from kindred.operators.components import connected_components
 from kindred.operators.hot import meet
-from kindred.storage import forget, staged
+from kindred.storage import forget, sized, staged
 
 THRESHOLD, WIDTH, TREES, DEPTH, SHORTEST, RECALL, BLOCK = 0.8, 5, 32, 8, 4, 0.99999, 512
 #: Share of the threshold from which a text joins a head's cluster: such pairs would nearly all meet in nodes anyway.
@@ -170,7 +170,7 @@ def _forest(classes: DataFrame, trees: int, depth: int, shortest: int, parts: in
 
     tree = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.substring("path", t * width + 1, F.lit(width)).alias("path")))).alias("t")
     rows = classes.select("i", tree).select("i", "t.tree", "t.path").repartitionByRange(parts, "tree", "path", "i").sortWithinPartitions("tree", "path")
-    return staged(rows.mapInPandas(neighbours, "i long, tree int, path binary, deep int"), "forest")
+    return staged(rows.mapInPandas(neighbours, "i long, tree int, path binary, deep int"), "forest", like=classes)
 
 
 def _verified(edges: DataFrame, sets: DataFrame, salt: int = 512) -> DataFrame:
@@ -190,10 +190,10 @@ def _verified(edges: DataFrame, sets: DataFrame, salt: int = 512) -> DataFrame:
         size = np.array([len(items[k]) for k in rest])
         return pd.DataFrame({"i": i[rest], "h": h[rest], "s": both / (size + len(items[at]) - both)})
 
-    return staged(sharded(both, ["h", "salt"], "size", verify, "i long, h long, s double"), "stars", few=True)
+    return staged(sharded(both, ["h", "salt"], "size", verify, "i long, h long, s double"), "stars", like=edges)
 
 
-def _compare(tiles: DataFrame, keys: list[str], threshold: float, across: bool) -> DataFrame:
+def _compare(tiles: DataFrame, keys: list[str], threshold: float, across: bool, like: DataFrame) -> DataFrame:
     """``(c, root, n)`` of all tiles; ``across``: only pairs of different clusters, in the first node that both have."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame | None:
@@ -226,7 +226,7 @@ def _compare(tiles: DataFrame, keys: list[str], threshold: float, across: bool)
         hit = n > 0
         return pd.DataFrame({"c": names[hit], "root": names[root[hit]], "n": n[hit].astype(np.int64)})
 
-    return staged(sharded(tiles, keys, "size", compare, "c string, root string, n long"), "links", few=True)
+    return staged(sharded(tiles, keys, "size", compare, "c string, root string, n long"), "links", like=like)
 
 
 def jaccard_classes(
@@ -262,11 +262,11 @@ def jaccard_classes(
                 )
 
     signed = src.select(F.col("k").cast("string").alias("k"), "t", "d").mapInPandas(sign, "k string, d long, size long, digest binary, path binary")
-    signed = staged(signed.withColumn("k", F.col("k").cast("long")), "signed")
+    signed = staged(signed.withColumn("k", F.col("k").cast("long")), "signed", like=docs)
     some = signed.where("digest is not null")
     classes = some.groupBy("digest").agg(F.min("k").alias("class_id"), F.count("*").alias("w"), F.first("size").alias("size"), F.min(F.struct("d", "k", "path")).alias("rep"))
     # c: a class's name, in the order of its smallest key; i: a short one
-    classes = staged(classes.select("digest", "class_id", "w", "size", "rep.*", node_of(F.col("class_id"), F.col("digest")).alias("c"), F.monotonically_increasing_id().alias("i")), "classes")
+    classes = staged(classes.select("digest", "class_id", "w", "size", "rep.*", node_of(F.col("class_id"), F.col("digest")).alias("c"), F.monotonically_increasing_id().alias("i")), "classes", like=docs)
     forest = _forest(classes, trees, depth, shortest, parts)
 
     # the sets of classes that have company
@@ -281,7 +281,7 @@ def jaccard_classes(
     texts = src.join(company, (F.col("d") == F.col("_d")) & F.col("k").eqNullSafe(F.col("_k"))).select("i", "c", "w", "size", "t")
     sets = texts.mapInPandas(lay_out, "i long, c string, w long, size long, items binary")
     # a row that is there twice, key and all, is one representative
-    sets = staged(sets.groupBy("i").agg(*[F.first(x).alias(x) for x in ("c", "w", "size", "items")]), "sets")
+    sets = staged(sets.groupBy("i").agg(*[F.first(x).alias(x) for x in ("c", "w", "size", "items")]), "sets", like=docs)
 
     def members(x: int) -> DataFrame:
         name = lambda n: F.xxhash64("tree", F.substring("path", 1, 2 * n))
@@ -305,7 +305,7 @@ def jaccard_classes(
     # 2. clusters around heads
     led = stars.where(F.col("s") >= near * threshold).groupBy("i").agg(F.min("h").alias("g"))
     led = staged(led.unionByName(led.select(F.col("g").alias("i")).distinct().join(led, "i", "left_anti").withColumn("g", F.col("i"))), "groups", few=True)
-    found = _compare(with_tiles(sets.join(led, "i"), "g", "c", block, "size", BLOCK_ITEMS), ["g", "tile_a", "tile_b"], threshold, False)
+    found = _compare(with_tiles(sets.join(led, "i"), "g", "c", block, "size", BLOCK_ITEMS), ["g", "tile_a", "tile_b"], threshold, False, sets)
 
     # 3. across clusters: nodes of three and more, and the pairs that nodes of two are
     level = staged(level.drop("child").join(led, "i", "left").withColumn("g", F.coalesce("g", "i")), "members", few=True)
@@ -314,7 +314,7 @@ def jaccard_classes(
     shown = staged(meet(level, nodes.where("n > 2").select("node", "n"), "node", "n").select("i", "g", "tree", "node"), "across", few=True)
     lists = staged(shown.groupBy("i", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("tree", "node"))), lambda t: t["node"]).alias("nodes")), "lists", few=True)
     tiles = with_tiles(shown.select("i", "node").join(lists.join(sets, "i"), "i"), "node", "c", block, "size", BLOCK_ITEMS)
-    crossed = _compare(tiles, ["node", "tile_a", "tile_b"], threshold, True)
+    crossed = _compare(tiles, ["node", "tile_a", "tile_b"], threshold, True, sets)
     twos = nodes.where("n = 2").select("i", "h").distinct().join(stars.where(F.col("s") >= threshold), ["i", "h"])
     twos = twos.join(lists.select("i", F.col("nodes").alias("of_i")), "i", "left").join(lists.select(F.col("i").alias("h"), F.col("nodes").alias("of_h")), "h", "left")
     twos = twos.where(~F.coalesce(F.arrays_overlap("of_i", "of_h"), F.lit(False))).select("i", "h")
@@ -348,7 +348,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     out = docs.join(kept.where(F.col(n) == 1), on, "left_semi").unionByName(docs.where(F.col(key).isNull()))
     if kept.where(F.col(n) > 1).limit(1).count():
         out = out.unionByName(docs.join(kept.where(F.col(n) > 1), on, "left_semi").dropDuplicates([key, text]))
-    return out
+    return sized(out, docs)
 
 
 def op4_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

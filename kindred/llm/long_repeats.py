@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from kindred.llm.tables import table
 from kindred.llm.words import U, Words, chunks, encoded, mix, powers
 from kindred.operators.hot import meet
-from kindred.storage import staged
+from kindred.storage import sized, staged
 
 WINDOW = 35
 ROUNDS = 6
@@ -162,10 +162,10 @@ def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> F
 
     # keys go to Python as strings: a null beside them can't turn them into doubles
     named = src.withColumn("k", F.col("k").cast("string")).mapInPandas(name, "rid long, k string, d long, n_words long, sha string, names array<long>, bare boolean")
-    named = staged(named.withColumn("k", F.col("k").cast(kind)), "names")
+    named = staged(named.withColumn("k", F.col("k").cast(kind)), "names", like=docs)
     # equal word sequences: one row speaks for all
     same = named.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"))
-    same = staged(same, "copies")
+    same = staged(same, "copies", like=docs)
     names = named.where(F.col("n_words") >= window).select("rid", "names", "bare").join(same.select("rid"), "rid", "left_semi")
     each = names.select("rid", F.posexplode("names").alias("i", "name"))
     often = each.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
@@ -173,7 +173,7 @@ def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> F
     bare = names.where("bare").select("rid", F.lit(None).cast("int").alias("i"))
     at = meet(each, often, "name", "n").select("rid", "i").unionByName(bare).groupBy("rid").agg(F.collect_list("i").alias("at"))
     told = same.select("rid", (F.col("copies") == 1).alias("alone"))
-    wanted = staged(named.select("rid", F.col("k").alias("_k"), F.col("d").alias("_d"), "sha").join(told, "rid").join(at, "rid"), "repeats")
+    wanted = staged(named.select("rid", F.col("k").alias("_k"), F.col("d").alias("_d"), "sha").join(told, "rid").join(at, "rid"), "repeats", like=docs)
 
     def regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Starts of the windows that may repeat, as runs [from, to)."""
@@ -196,7 +196,7 @@ def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> F
 
     # a row that is there twice, key and all, comes twice under one rid; it is not alone
     texts = src.join(wanted, (F.col("d") == F.col("_d")) & F.col("k").eqNullSafe(F.col("_k"))).select("rid", "t", "sha", "alone", "at")
-    held = staged(texts.mapInPandas(regions, "rid long, t string, alone boolean, runs array<int>"), "regions")
+    held = staged(texts.mapInPandas(regions, "rid long, t string, alone boolean, runs array<int>"), "regions", like=docs)
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -287,7 +287,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n_
     new = {text: F.coalesce(F.col(kept), docs[text])}
     if n_chars in docs.columns:
         new[n_chars] = F.when(F.col(kept).isNotNull(), F.length(kept).cast(docs.schema[n_chars].dataType)).otherwise(docs[n_chars])
-    return out.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+    return sized(out.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns]), docs)
 
 
 def op10_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

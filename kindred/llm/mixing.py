@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kindred.llm.tables import table
-from kindred.storage import staged
+from kindred.storage import sized, staged
 
 WEIGHTS, SHARE, REPEAT, BLOCK = (5, 2, 1), 1.5, 2.0, 64
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -87,7 +87,7 @@ def _laid_and_played(docs: DataFrame, key: str, text: str, source: str, weights:
     """Documents in the order of their source (row, k, th, size, source_size, target), and their parts in blocks: row, from and to (words of the document), times."""
     src = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("th"))
     # h: place in the shuffle of its source, from hashes that any engine has
-    src = staged(src.withColumn("h", F.sha2(F.coalesce(F.col("k").cast("string"), F.lit("")), 256)), "sizes")
+    src = staged(src.withColumn("h", F.sha2(F.coalesce(F.col("k").cast("string"), F.lit("")), 256)), "sizes", like=docs)
     targets = staged(source_targets(src.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeat), "targets", few=True)
     facts = targets.agg(F.sum("target").alias("all"), F.sum("source_size").alias("words")).first()
     total = int(round(facts["all"] or 0))
@@ -97,7 +97,7 @@ def _laid_and_played(docs: DataFrame, key: str, text: str, source: str, weights:
     digits = max(1, math.ceil(math.log(max(1, count / bucket), 16)))
     named = src.join(targets.select(F.col("source").alias("_s"), "rank", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     laid = _running(named.withColumn("b", F.substring("h", 1, digits)), ["rank"], "b", [F.col("h"), F.col("size"), F.col("th")], F.col("size"), "at")
-    laid = staged(laid.select("k", "th", "size", "source_size", "target", "rank", "at", F.monotonically_increasing_id().alias("row")), "laid")
+    laid = staged(laid.select("k", "th", "size", "source_size", "target", "rank", "at", F.monotonically_increasing_id().alias("row")), "laid", like=docs)
     blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / block))
     plays = slots.join(targets.select("rank", "source_size", "target"), "rank")
     # the last words of a target may need no whole slot more, and never more than ``repeat`` rounds
@@ -148,7 +148,7 @@ def mixed_documents(
     new = {text: F.coalesce("cut", own)}
     if n_chars in docs.columns:
         new[n_chars] = F.when(F.col("cut").isNotNull(), F.length("cut").cast(docs.schema[n_chars].dataType)).otherwise(F.col("doc").getField(n_chars))
-    return met.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
+    return sized(met.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns]), docs)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,7 +163,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     """
     src = vectors.select(F.col(key).cast("long").cast("string").alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("v"))
     rows = src.mapInPandas(_pack, "id string, label string, d int, digest binary, v binary")
-    rows = staged(rows.withColumn("id", F.col("id").cast("long")), "vectors")
+    rows = staged(rows.withColumn("id", F.col("id").cast("long")), "vectors", like=vectors)
     good = rows.where("digest is not null")
     top = good.groupBy("d").count().orderBy(F.desc("count"), "d").first()
     dim = int(top["d"]) if top else 0
@@ -181,7 +181,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
 
     reps = good.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("d").alias("d"), F.first("v").alias("v"))
     reps = reps.withColumn("xy", cell("v")).select("digest", "rep", "w", "label", "d", "v", node_of(F.col("rep"), F.col("digest")).alias("c"), F.get("xy", F.lit(0)).alias("x"), F.get("xy", F.lit(1)).alias("y"))
-    reps = staged(reps, "vectors")
+    reps = staged(reps, "vectors", like=vectors)
     at = ["label", "d", "x", "y"]
     least = F.greatest(F.lit(64), F.least(F.lit(block), F.floor(F.lit(BLOCK_BYTES / 8) / F.col("d")))) if block >= 64 else F.lit(block)
     cells = staged(reps.groupBy(*at).agg(F.ceil(F.count("*") / least).cast("int").alias("n")), "cells", few=True)
@@ -217,7 +217,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
         hit = n > 0
         return pd.DataFrame({"c": names[hit], "root": names[root[hit]], "n": n[hit]})
 
-    found = staged(tiles.groupBy("label", "d", "x", "y", "dx", "dy", "ba", "bb").applyInPandas(compare, "c string, root string, n long"), "links", few=True)
+    found = staged(tiles.groupBy("label", "d", "x", "y", "dx", "dy", "ba", "bb").applyInPandas(compare, "c string, root string, n long"), "links", like=vectors)
     links = found.groupBy("c").agg(F.sum("n").alias("n"))
     comp = connected_components(found, "c", "root").select(F.col("node").alias("c"), key_of(F.col("component")).alias("component_id"))
     named = reps.select("digest", "rep", "w", "c").join(links, "c", "left").join(comp, "c", "left")
