@@ -13,7 +13,7 @@ from kindred.llm.pieces import PieceModel, with_pieces
 from kindred.llm.tables import table
 from kindred.llm.toxicity import REJECT, fit, score_toxicity, teaches
 from kindred.ship import ship
-from kindred.storage import forget, scratch, staged
+from kindred.storage import forget, scratch, sized, staged
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = fit(docs, table(spark, sf_dir, "labels"), teaches())
     own = "_" * max(map(len, docs.columns)) + "toxicity"  # no name of docs
-    return score_toxicity(docs, model, out=own).where(F.col(own) < REJECT).drop(own)
+    return sized(score_toxicity(docs, model, out=own).where(F.col(own) < REJECT).drop(own), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,6 +69,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = with_pieces(docs, PieceModel.load(public_tokenizers.path("piece_bpe_32k.model")))
+    out = sized(out, docs)
     return out.select("doc_id", "n_tokens", "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
