@@ -144,9 +144,6 @@ def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> F
     kind = docs.schema[key].dataType
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        rid = TaskContext.get().partitionId() << 33
         for pdf in batches:
             for part, words in _batches(pdf):
                 symbols = Symbols(words, rounds)
@@ -154,14 +151,13 @@ def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> F
                 own = [inside(symbols, d, words, window) for d in range(len(part))]
                 yield pd.DataFrame(
                     {
-                        "rid": np.arange(rid, rid + len(part)), "k": part["k"], "d": part["d"].to_numpy(), "n_words": np.diff(words.first), "sha": [_sha(b) for b in whole],
+                        "rid": part["rid"], "k": part["k"], "d": part["d"].to_numpy(), "n_words": np.diff(words.first), "sha": [_sha(b) for b in whole],
                         "names": [symbols.name[at].view(np.int64) for at in own], "bare": [bool(without(symbols, at, d, words, window).any()) for d, at in enumerate(own)],
                     }
                 )
-                rid += len(part)
 
     # keys go to Python as strings: a null beside them can't turn them into doubles
-    named = src.withColumn("k", F.col("k").cast("string")).mapInPandas(name, "rid long, k string, d long, n_words long, sha string, names array<long>, bare boolean")
+    named = src.withColumn("k", F.col("k").cast("string")).withColumn("rid", F.monotonically_increasing_id()).mapInPandas(name, "rid long, k string, d long, n_words long, sha string, names array<long>, bare boolean")
     named = staged(named.withColumn("k", F.col("k").cast(kind)), "names", like=docs)
     # equal word sequences: one row speaks for all
     same = named.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"))
