@@ -641,6 +641,14 @@ def test_long_repeats(spark, docs, texts):
     assert got == brute_repeats(texts)
 
 
+def test_results_do_not_depend_on_partitions(spark, docs, texts):
+    """More partitions than files that tables go to: some tasks work on several partitions."""
+    many = docs.repartition(64)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in long_repeats.repeated_words(many).collect()) == brute_repeats(texts)
+    for f in (jaccard_forest.jaccard_classes, mixing.mix_sources, mixing.mixed_documents, long_repeats.without_repeats, order_minhash.fingerprints_with_edits):
+        assert sorted(map(repr, f(many).collect())) == sorted(map(repr, f(docs.coalesce(1)).collect()))
+
+
 def test_long_repeats_of_periodic_texts(spark):
     r = random.Random(9)
     unit = ["a ", "b ", "a b ", "a a b ", "a b c d ", "x " * 36]
