@@ -36,7 +36,10 @@ FILE_BYTES = 16 << 20
 
 
 def sized(df: DataFrame, like: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as the table ``like``, of about the same size, has pieces of FILE_BYTES, and at least one for each core; never in more than it has."""
+    """``df`` in as many partitions as the table ``like``, of about the same size, has pieces of FILE_BYTES, and at least one for each core; never in more than it has.
+
+    For what is made from a scan row by row: a task of several partitions keeps the sort buffers of all of them.
+    """
     estimate = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.coalesce(min(1 << 30, max(df.sparkSession.sparkContext.defaultParallelism, -(-estimate // FILE_BYTES))))
 
@@ -45,12 +48,12 @@ def staged(df: DataFrame, kind: str = "stage", few: bool = False, like: DataFram
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation. ``few``: for tables that are small
-    beside the input (counts, edges, keys); they go to a thirty-second of the shuffle partitions instead of one
-    tiny file from each. ``like``: a table of about the same size, see ``sized``.
+    beside the input (counts, edges, keys); they are dealt to a thirty-second of the shuffle partitions instead of
+    one tiny file from each. ``like``: a table of about the same size, see ``sized``.
     """
     spark = df.sparkSession
     if few:
-        df = df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 32))
+        df = df.repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 32))
     elif like is not None:
         df = sized(df, like)
     path = new_folder(spark, kind)
