@@ -40,22 +40,43 @@ def sized(df: DataFrame, like: DataFrame) -> DataFrame:
 
     For what is made from a scan row by row: a task of several partitions keeps the sort buffers of all of them.
     """
+    return df.coalesce(pieces(like))
+
+
+def pieces(like: DataFrame) -> int:
+    """Pieces of FILE_BYTES in a stored table, at least one for each core."""
     estimate = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(min(1 << 30, max(df.sparkSession.sparkContext.defaultParallelism, -(-estimate // FILE_BYTES))))
+    return min(1 << 30, max(like.sparkSession.sparkContext.defaultParallelism, -(-estimate // FILE_BYTES)))
+
+
+def dealt(df: DataFrame, like: DataFrame) -> DataFrame:
+    """``df``, made by a shuffle, dealt anew to pieces by the size of the stored table ``like`` where it would fall into far more files.
+
+    Adaptive execution merges small partitions, if it may; this is for sessions where it may not. Not for rows that
+    are numbered on their way: a map task that is run again may number them otherwise.
+    """
+    conf = df.sparkSession.conf
+    if all(conf.get(f"spark.sql.adaptive.{x}") == "true" for x in ("enabled", "coalescePartitions.enabled")):
+        return df
+    n = pieces(like)
+    return df.repartition(n) if int(conf.get("spark.sql.shuffle.partitions")) > 4 * n else df
 
 
-def staged(df: DataFrame, kind: str = "stage", few: bool = False, like: DataFrame | None = None) -> DataFrame:
+def staged(df: DataFrame, kind: str = "stage", few: bool = False, like: DataFrame | None = None, by: DataFrame | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation. ``few``: for tables that are small
     beside the input (counts, edges, keys); they are dealt to a thirty-second of the shuffle partitions instead of
-    one tiny file from each. ``like``: a table of about the same size, see ``sized``.
+    one tiny file from each. ``like``: a table of about the same size, see ``sized``. ``by``: such a table too, for
+    what comes out of a shuffle, see ``dealt``.
     """
     spark = df.sparkSession
     if few:
         df = df.repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 32))
     elif like is not None:
         df = sized(df, like)
+    elif by is not None:
+        df = dealt(df, by)
     path = new_folder(spark, kind)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
