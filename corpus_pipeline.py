@@ -85,7 +85,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         before = docs
         with scratch(spark) as keep:
-            docs = staged(stage(spark, before, sf_dir), name)
+            docs = staged(stage(spark, before, sf_dir), name, by=before)
             keep.append(docs)
         forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

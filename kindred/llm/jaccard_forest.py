@@ -170,7 +170,7 @@ def _forest(classes: DataFrame, trees: int, depth: int, shortest: int, parts: in
 
     tree = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.substring("path", t * width + 1, F.lit(width)).alias("path")))).alias("t")
     rows = classes.select("i", tree).select("i", "t.tree", "t.path").repartitionByRange(parts, "tree", "path", "i").sortWithinPartitions("tree", "path")
-    return staged(rows.mapInPandas(neighbours, "i long, tree int, path binary, deep int"), "forest")
+    return staged(rows.mapInPandas(neighbours, "i long, tree int, path binary, deep int"), "forest", by=classes)
 
 
 def _verified(edges: DataFrame, sets: DataFrame, salt: int = 512) -> DataFrame:
@@ -281,7 +281,7 @@ def jaccard_classes(
     texts = src.join(company, (F.col("d") == F.col("_d")) & F.col("k").eqNullSafe(F.col("_k"))).select("i", "c", "w", "size", "t")
     sets = texts.mapInPandas(lay_out, "i long, c string, w long, size long, items binary")
     # a row that is there twice, key and all, is one representative
-    sets = staged(sets.groupBy("i").agg(*[F.first(x).alias(x) for x in ("c", "w", "size", "items")]), "sets")
+    sets = staged(sets.groupBy("i").agg(*[F.first(x).alias(x) for x in ("c", "w", "size", "items")]), "sets", by=classes)
 
     def members(x: int) -> DataFrame:
         name = lambda n: F.xxhash64("tree", F.substring("path", 1, 2 * n))

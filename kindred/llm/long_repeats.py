@@ -161,7 +161,7 @@ def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> F
     named = staged(named.withColumn("k", F.col("k").cast(kind)), "names", like=docs)
     # equal word sequences: one row speaks for all
     same = named.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"))
-    same = staged(same, "copies")
+    same = staged(same, "copies", by=named)
     names = named.where(F.col("n_words") >= window).select("rid", "names", "bare").join(same.select("rid"), "rid", "left_semi")
     each = names.select("rid", F.posexplode("names").alias("i", "name"))
     often = each.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
@@ -169,7 +169,7 @@ def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> F
     bare = names.where("bare").select("rid", F.lit(None).cast("int").alias("i"))
     at = meet(each, often, "name", "n").select("rid", "i").unionByName(bare).groupBy("rid").agg(F.collect_list("i").alias("at"))
     told = same.select("rid", (F.col("copies") == 1).alias("alone"))
-    wanted = staged(named.select("rid", F.col("k").alias("_k"), F.col("d").alias("_d"), "sha").join(told, "rid").join(at, "rid"), "repeats")
+    wanted = staged(named.select("rid", F.col("k").alias("_k"), F.col("d").alias("_d"), "sha").join(told, "rid").join(at, "rid"), "repeats", by=named)
 
     def regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Starts of the windows that may repeat, as runs [from, to)."""
@@ -192,7 +192,7 @@ def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> F
 
     # a row that is there twice, key and all, comes twice under one rid; it is not alone
     texts = src.join(wanted, (F.col("d") == F.col("_d")) & F.col("k").eqNullSafe(F.col("_k"))).select("rid", "t", "sha", "alone", "at")
-    held = staged(texts.mapInPandas(regions, "rid long, t string, alone boolean, runs array<int>"), "regions")
+    held = staged(texts.mapInPandas(regions, "rid long, t string, alone boolean, runs array<int>"), "regions", by=docs)
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
