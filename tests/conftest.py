@@ -40,8 +40,8 @@ def duck(sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    for t in sorted(Path(sf_dir).glob("*.parquet")):
+        con.execute(f"CREATE VIEW {t.stem} AS SELECT * FROM '{t}{'/*.parquet' if t.is_dir() else ''}'")
     return con
 
 
