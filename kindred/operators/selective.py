@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from kindred.operators.keys import global_rank
 from kindred.operators.probes import fit_logistic
+from kindred.operators.quantiles import at_ranks
+from kindred.storage import staged
 
 
 @dataclass(frozen=True)
@@ -30,17 +32,15 @@ def conformal_rank(n: int, alpha: float) -> int:
     return min(n, math.ceil((n + 1) * (1 - alpha)))
 
 
+def conformal_quantiles(scores: DataFrame, alphas: dict[str, list[float]]) -> dict[str, list[float | None]]:
+    """By column: the k-th smallest score for each alpha, k = min(n, ceil((n + 1)(1 - alpha))); null without scores. ``scores`` should be a stored table."""
+    own = lambda a: lambda n: [conformal_rank(n, x) - 1 for x in a]
+    got = at_ranks(scores, {c: own(a) for c, a in alphas.items()})
+    return {c: got[c][1] or [None] * len(a) for c, a in alphas.items()}
+
+
 def conformal_quantile(scores: DataFrame, score: str, alpha: float) -> float | None:
-    """The k-th smallest score, k = min(n, ceil((n + 1)(1 - alpha))); null without scores."""
-    kept = scores.where(F.col(score).isNotNull())
-    n = kept.count()
-    if n == 0:
-        return None
-    k = conformal_rank(n, alpha)
-    # the larger tail is never gathered: TakeOrdered keeps k (or n - k + 1) rows, in pieces
-    if k <= n - k + 1:
-        return float(kept.orderBy(F.col(score)).limit(k).agg(F.max(score)).first()[0])
-    return float(kept.orderBy(F.col(score).desc()).limit(n - k + 1).agg(F.min(score)).first()[0])
+    return conformal_quantiles(scores, {score: [alpha]})[score][0]
 
 
 def interval_decision(low: Column, high: Column, query: Query) -> tuple[Column, Column, Column]:
@@ -82,7 +82,7 @@ def compound_conformal(fit: DataFrame, calibration: DataFrame, rows: DataFrame,
     model = fit_logistic(fit, vector, label)
     p = model.probability(F.col(vector))
     scores = calibration.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select((1 - F.when(F.col(label).cast("int") == 1, p).otherwise(1 - p)).alias("s"))
-    q = conformal_quantile(scores, "s", alpha)
+    q = conformal_quantile(staged(scores, "scores"), "s", alpha)
     limit = F.lit(-1.0 if q is None else q)
     yes, no = (1 - p) <= limit, p <= limit
     reason = F.when(yes & no, "refused_ambiguous_prediction_set").when(yes | no, "accepted_singleton_prediction_set").otherwise("refused_empty_prediction_set")

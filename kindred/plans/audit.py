@@ -161,11 +161,8 @@ def code_tokens_of_cases(spark, sf_dir):
 
 def signed_margins(spark, sf_dir):
     """Primitives less their median, in units of their interquartile range (1 at least)."""
-    d = Q._primitives(spark, sf_dir)
-    q = d.agg(*[F.percentile(p, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{p}") for p in ("p1", "p2", "p3")])
-    m = lambda p: (F.col(p) - F.get(f"q_{p}", F.lit(1))) / F.greatest(F.get(f"q_{p}", F.lit(2)) - F.get(f"q_{p}", F.lit(0)), F.lit(1.0))
-    margins = [F.round(m(p), 6) for p in ("p1", "p2", "p3")]
-    return d.join(F.broadcast(q)).select("doc_id", *[x.alias(f"m{i}") for i, x in enumerate(margins)], (F.least(*margins) > 0).alias("all_positive"))  # one row
+    d = Q._scaled(spark, sf_dir)
+    return d.select("doc_id", *[F.col(f"p{i + 1}").alias(f"m{i}") for i in range(3)], (F.least("p1", "p2", "p3") > 0).alias("all_positive"))
 
 
 def _mass(spark, sf_dir) -> DataFrame:

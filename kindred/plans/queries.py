@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ from kindred.operators import ledger as L
 from kindred.operators import probes as P
 from kindred.operators import retrieval as R
 from kindred.operators import selective as S
+from kindred.operators.quantiles import quantiles
 from kindred.sources.readers import table
 from kindred.storage import staged
 
@@ -172,8 +173,9 @@ def triplet_accuracy_pairweighted(spark, sf_dir):
 
 
 def oracle_rank_percentiles(spark, sf_dir):
-    p = _ranked(spark, sf_dir).where("ork <= 10").agg(F.percentile("mrk", F.array(F.lit(0.5), F.lit(0.9))).alias("p"))
-    return p.select(F.round(F.get("p", F.lit(0)), 6).alias("median"), F.round(F.get("p", F.lit(1)), 6).alias("p90"))
+    near = staged(_ranked(spark, sf_dir).where("ork <= 10").select("mrk"), "ranks")
+    median, p90 = quantiles(near, {"mrk": [0.5, 0.9]})["mrk"] or (None, None)
+    return spark.createDataFrame([(median, p90)], "median double, p90 double").select(F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90"))
 
 
 def retrieval_summary(spark, sf_dir):
@@ -191,22 +193,29 @@ def _primitives(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", "source", "lang", "n_chars", count(",").alias("p1"), count(".").alias("p2"), count("\n").alias("p3"))
 
 
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def _scaled(spark, sf_dir) -> DataFrame:
+    """Documents with each primitive less its median, in units of its interquartile range (1 at least)."""
+    d = staged(_primitives(spark, sf_dir), "counts")
+    q = quantiles(d, {p: QUARTILES for p in ("p1", "p2", "p3")})
+    z = {p: F.round((F.col(p) - e[1]) / max(e[2] - e[0], 1.0), 6) if e else F.lit(None).cast("double") for p, e in q.items()}
+    return d.select("doc_id", "source", "n_chars", *[c.alias(p) for p, c in z.items()])
+
+
 def robust_scale(spark, sf_dir):
-    """Median and IQR (1 at least) of each primitive, and every row scaled by them."""
-    d = _primitives(spark, sf_dir)
-    q = d.agg(*[F.percentile(p, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{p}") for p in ("p1", "p2", "p3")])
-    z = lambda p: (F.col(p) - F.get(f"q_{p}", F.lit(1))) / F.greatest(F.get(f"q_{p}", F.lit(2)) - F.get(f"q_{p}", F.lit(0)), F.lit(1.0))
-    return d.join(F.broadcast(q)).select("doc_id", "source", "n_chars", *[F.round(z(p), 6).alias(p) for p in ("p1", "p2", "p3")])  # one row
+    return _scaled(spark, sf_dir)
 
 
 def token_deciles(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    edges = H.decile_edges(d, "n_chars")
-    return d.join(F.broadcast(edges)).select("doc_id", "n_chars", H.decile(F.col("edges"), F.col("n_chars")).alias("decile"))  # one row
+    return d.select("doc_id", "n_chars", H.decile(H.decile_edges(d, "n_chars"), F.col("n_chars")).alias("decile"))
 
 
 def _hard_ranked(spark, sf_dir) -> DataFrame:
-    d = staged(robust_scale(spark, sf_dir).join(token_deciles(spark, sf_dir).select("doc_id", "decile"), "doc_id"), "primitives")
+    d = _scaled(spark, sf_dir)
+    d = d.withColumn("decile", H.decile(H.decile_edges(d, "n_chars"), F.col("n_chars")))
     q = d.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("q"), F.col("source").alias("q_source"), "decile", *[F.col(p).alias(f"q_{p}") for p in ("p1", "p2", "p3")], F.col("n_chars").alias("q_n"))
     c = d.select(F.col("doc_id").alias("c"), "decile", *[F.col(p).alias(f"c_{p}") for p in ("p1", "p2", "p3")], F.col("n_chars").alias("c_n"))
     o = F.greatest(*[F.abs(F.col(f"q_{p}") - F.col(f"c_{p}")) for p in ("p1", "p2", "p3")])
@@ -254,9 +263,9 @@ def leave_one_group_out(spark, sf_dir):
 
 def accuracy_by_group_quartile(spark, sf_dir):
     """Queries by the size quartile of their source: edges over distinct sources."""
-    sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("size"))
-    edges = sizes.agg(F.percentile("size", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("edges"))
-    quart = sizes.join(F.broadcast(edges)).select("source", F.size(F.filter("edges", lambda e: e <= F.col("size"))).alias("quartile"))  # one row
+    sizes = staged(table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("size")), "sizes")
+    edges = quantiles(sizes, {"size": QUARTILES})["size"] or []
+    quart = sizes.select("source", H.decile(edges, F.col("size")).alias("quartile"))
     per = _hard_scores(spark, sf_dir).groupBy(F.col("q_source").alias("source"), "q").agg(F.avg("first").alias("a")).join(quart, "source")
     return per.groupBy("quartile").agg(F.round(F.avg("a"), 6).alias("accuracy"), F.count("*").alias("queries"))
 
@@ -415,9 +424,14 @@ def query_truth(spark, sf_dir):
     return m.select("id", *[q.truth(F.col("truth")).alias(n) for n, q in FORMS.items()])
 
 
+def _residuals() -> list[Column]:
+    return [F.get("residuals", F.lit(i)).alias(f"r{i}") for i in range(3)]
+
+
 def conformal_quantiles(spark, sf_dir):
-    m = staged(_margins(spark, sf_dir).where("calibration").select(F.posexplode("residuals").alias("primitive", "r")), "residuals")
-    rows = [(p, a, S.conformal_quantile(m.where(F.col("primitive") == p), "r", a)) for p in range(3) for a in ALPHAS]
+    m = staged(_margins(spark, sf_dir).where("calibration").select(*_residuals()), "residuals")
+    got = S.conformal_quantiles(m, {f"r{p}": list(ALPHAS) for p in range(3)})
+    rows = [(p, a, r) for p in range(3) for a, r in zip(ALPHAS, got[f"r{p}"], strict=True)]
     return spark.createDataFrame(rows, "primitive int, alpha double, radius double").select("primitive", "alpha", F.round("radius", 6).alias("radius"))
 
 
@@ -425,7 +439,8 @@ def _joint(spark, sf_dir, alpha: float) -> DataFrame:
     """Boxes by the largest scaled residual: scales are the medians of the residuals."""
     m = staged(_margins(spark, sf_dir), "margins")
     cal = m.where("calibration")
-    scales = [max(r, 1e-12) for r in cal.agg(*[F.percentile(F.get("residuals", F.lit(i)), 0.5) for i in range(3)]).first()]
+    medians = quantiles(cal.select(*_residuals()), {f"r{i}": [0.5] for i in range(3)})
+    scales = [max(r[0], 1e-12) for r in medians.values()]
     worst = cal.select(F.array_max(F.zip_with("residuals", V.literal(scales), lambda r, s: r / s)).alias("s"))
     radius = S.conformal_quantile(worst, "s", alpha)
     half = V.literal([radius * s for s in scales])
@@ -577,7 +592,7 @@ def independent_interval_decision(spark, sf_dir):
     """Boxes from one conformal radius per condition."""
     m = staged(_margins(spark, sf_dir), "margins")
     cal = m.where("calibration")
-    half = V.literal([S.conformal_quantile(cal.select(F.get("residuals", F.lit(i)).alias("r")), "r", 0.10) for i in range(3)])
+    half = V.literal([r[0] for r in S.conformal_quantiles(cal.select(*_residuals()), {f"r{i}": [0.10] for i in range(3)}).values()])
     d = m.where("not calibration").withColumn("low", F.zip_with("margins", half, lambda x, h: x - h)).withColumn("high", F.zip_with("margins", half, lambda x, h: x + h))
     yes, accepted, score = S.interval_decision(F.col("low"), F.col("high"), FORMS["two_of_three"])
     return d.select("id", yes.alias("prediction"), accepted.alias("accepted"), F.round(score, 6).alias("score"))
