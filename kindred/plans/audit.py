@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kindred.functions import names as N
 from kindred.functions.code import code_primitives, normal_tokens
 from kindred.operators import audit as A
+from kindred.operators.dominance import at_least_of, counts_above
 from kindred.operators import duplicates as D
 from kindred.operators import retrieval as R
 from kindred.plans import queries as Q
@@ -166,15 +167,16 @@ def signed_margins(spark, sf_dir):
 
 
 def _mass(spark, sf_dir) -> DataFrame:
-    """Share of all calibration residual vectors under which a row's query holds, for each form: every residual meets every row, in blocks, and is counted there."""
-    m = Q._margins(spark, sf_dir)
-    test = m.where("not calibration").select(F.col("id").alias("q"), "label", "truth", "margins")
-    cal = m.where("calibration").select((-F.col("id") - 1).alias("c"), F.zip_with("truth", "margins", lambda t, p: t - p).alias("r"))
-    support = F.zip_with("margins", "r", lambda x, r: x + r)
-    both = R.pairs(test, cal).select("q", "label", "truth", support.alias("support"))
-    per = both.groupBy("q").agg(F.first("label").alias("label"), F.first("truth").alias("truth"), *[F.avg(form.truth(F.col("support")).cast("double")).alias(n) for n, form in Q.FORMS.items()])
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("form"), F.col(n).alias("p"), form.truth(F.col("truth")).alias("truth")) for n, form in Q.FORMS.items()])).alias("x")
-    out = per.select(F.col("q").alias("id"), "label", rows).select("id", "label", "x.*")
+    """Share of all calibration residual vectors under which a row's query holds, for each form: residuals above minus the row's margins, counted by coordinates."""
+    m = staged(Q._margins(spark, sf_dir), "margins")
+    test, cal = m.where("not calibration"), m.where("calibration")
+    at = lambda v: [F.get(v, F.lit(i)).alias(f"x{i}") for i in range(3)]
+    points = cal.select("id", *at(F.zip_with("truth", "margins", lambda t, p: t - p)))
+    above = counts_above(points, test.select("id", *at(F.transform("margins", lambda p: -p))), "id", ["x0", "x1", "x2"])
+    n = cal.count()
+    share = lambda form: at_least_of(3 if form.kind == "all" else 1 if form.kind == "any" else form.k, 3) / n if n else F.lit(None).cast("double")
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("form"), share(form).alias("p"), form.truth(F.col("truth")).alias("truth")) for name, form in Q.FORMS.items()])).alias("x")
+    out = above.join(test.select("id", "label", "truth"), "id").select("id", "label", rows).select("id", "label", "x.*")
     accepted = (F.col("p") <= 0.05) | (F.col("p") >= 0.95)
     return out.withColumn("prediction", F.col("p") > 0.5).withColumn("accepted", accepted).withColumn("score", F.greatest(F.col("p"), 1 - F.col("p"))).withColumn("reason", F.when(accepted, "accepted_empirical_support_mass").otherwise("refused_empirical_support_disagreement"))
 

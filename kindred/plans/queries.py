@@ -17,6 +17,7 @@ from kindred.operators import ledger as L
 from kindred.operators import probes as P
 from kindred.operators import retrieval as R
 from kindred.operators import selective as S
+from kindred.operators.dominance import counts_above
 from kindred.operators.quantiles import quantiles
 from kindred.sources.readers import table
 from kindred.storage import staged
@@ -495,20 +496,11 @@ def risk_coverage(spark, sf_dir):
 
 
 def residual_mass(spark, sf_dir):
-    """Share of calibration residuals under which a row's query holds; residuals come binned per condition, so each row meets a table of counts.
-
-    For one condition the share is that of residuals above minus the margin: a rank in the sorted residuals.
-    """
-    m = _margins(spark, sf_dir)
-    cal = m.where("calibration").select((F.get("truth", F.lit(0)) - F.get("margins", F.lit(0))).alias("r"))
-    test = m.where("not calibration").select("id", F.get("margins", F.lit(0)).alias("m"))
-    # one ordered sweep by bucket of value: residuals before a row, plus the buckets before its own
-    bucket = lambda c: F.floor(c * 64).cast("long")
-    both = test.select("id", (-F.col("m")).alias("x"), F.lit(0).alias("is_r")).unionByName(cal.select(F.lit(None).cast("long").alias("id"), F.col("r").alias("x"), F.lit(1).alias("is_r"))).withColumn("b", bucket(F.col("x")))
-    inner = W.partitionBy("b").orderBy("x", F.desc("is_r")).rowsBetween(W.unboundedPreceding, 0)
-    sums = both.groupBy("b").agg(F.sum("is_r").alias("s"))
-    sums = sums.select("b", F.coalesce(F.sum("s").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(W.partitionBy()).alias("n"))
-    out = both.withColumn("here", F.sum("is_r").over(inner)).join(sums, "b").where("is_r = 0").select("id", (1 - (F.col("before") + F.col("here")) / F.col("n")).alias("p"))
+    """Share of calibration residuals under which a row's first condition holds: those above minus its margin."""
+    m = staged(_margins(spark, sf_dir).select("id", "calibration", F.get("truth", F.lit(0)).alias("t"), F.get("margins", F.lit(0)).alias("m")), "margins")
+    cal, test = m.where("calibration"), m.where("not calibration")
+    out = counts_above(cal.select("id", (F.col("t") - F.col("m")).alias("x")), test.select("id", (-F.col("m")).alias("x")), "id", ["x"])
+    out = out.select("id", F.try_divide("s1", F.lit(cal.count())).alias("p"))
     return out.select("id", F.round("p", 6).alias("p"), (F.col("p") > 0.5).alias("prediction"), ((F.col("p") <= 0.05) | (F.col("p") >= 0.95)).alias("accepted"))
 
 
