@@ -43,16 +43,16 @@ def bucket_sizes(prints: DataFrame, fingerprint: str, most: int) -> DataFrame:
 def close_prints(prints: DataFrame, fingerprint: str, most: int = 3, bucket_bound: int | None = None) -> DataFrame:
     """``(f, g, distance)``: fingerprints within ``most`` bits, f <= g, each pair once, each fingerprint with itself.
 
-    Exact for up to three bits. ``bucket_bound`` leaves out buckets of more distinct fingerprints, as a bounded
-    audit does; what it leaves out is counted by ``bucket_sizes``.
+    ``bucket_bound`` keeps only pairs that share a 16-bit band of at most so many distinct fingerprints, as a bounded
+    audit does; what that leaves out is counted by ``bucket_sizes``.
     """
     f = prints.select(F.col(fingerprint).alias("f")).distinct()
-    banded = f.select("f", F.posexplode(D.bands(F.col("f"))).alias("band", "value"))
+    near = D.near_prints(f, "f", most)
     if bucket_bound is not None:
-        small = banded.groupBy("band", "value").count().where(F.col("count") <= bucket_bound).select("band", "value")
-        banded = banded.join(small, ["band", "value"], "left_semi")
-    other = banded.select(F.col("f").alias("g"), "band", "value")
-    near = banded.join(other, ["band", "value"]).where("f < g").select("f", "g", D.hamming(F.col("f"), F.col("g")).alias("distance")).where(F.col("distance") <= most).distinct()
+        near = staged(near, "near")
+        small = f.select(F.posexplode(D.bands(F.col("f"))).alias("band", "value")).groupBy("band", "value").count().where(F.col("count") <= bucket_bound).select("band", "value")
+        shared = near.select("f", "g", F.posexplode(F.zip_with(D.bands(F.col("f")), D.bands(F.col("g")), lambda a, b: F.when(a == b, a))).alias("band", "value")).where("value is not null")
+        near = near.join(shared.join(small, ["band", "value"], "left_semi"), ["f", "g"], "left_semi")
     return near.unionByName(f.select("f", F.col("f").alias("g"), F.lit(0).alias("distance")))
 
 

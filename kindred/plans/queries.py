@@ -349,7 +349,7 @@ def simhash_fingerprints(spark, sf_dir):
 
 
 def simhash_near_pairs(spark, sf_dir):
-    return D.banded_pairs(staged(_prints(spark, sf_dir), "prints"), "doc_id", "f", ["source"])
+    return D.pairs_within(staged(_prints(spark, sf_dir), "prints"), "doc_id", "f", ["source"])
 
 
 def near_pair_classes(spark, sf_dir):

@@ -121,7 +121,7 @@ def test_near_pairs_are_all_found(spark):
         for _ in range(int(rng.integers(0, 5))):
             base ^= 1 << int(rng.integers(0, 64))
         rows.append((i, f"s{i % 4}", f"{base:016x}"))
-    got = {(r.left_key, r.right_key, r.distance) for r in D.banded_pairs(spark.createDataFrame(rows, "k long, s string, f string"), "k", "f", ["s"]).collect()}
+    got = {(r.left_key, r.right_key, r.distance) for r in D.pairs_within(spark.createDataFrame(rows, "k long, s string, f string"), "k", "f", ["s"]).collect()}
     want = {(a, b, d) for a, s, f in rows for b, t, g in rows if a < b and s != t and (d := bin(int(f, 16) ^ int(g, 16)).count("1")) <= 3}
     assert got == want
 
