@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,6 +19,7 @@ from kindred.operators import probes as P
 from kindred.operators import retrieval as R
 from kindred.operators import selective as S
 from kindred.operators.dominance import counts_above
+from kindred.operators.nearest import nearest
 from kindred.operators.quantiles import quantiles
 from kindred.sources.readers import table
 from kindred.storage import staged
@@ -42,9 +44,11 @@ def _pair_frame(e: DataFrame, *cols: str) -> DataFrame:
     return R.pairs(q, e.select(F.col("id").alias("c"), *[F.col(c).alias(f"c_{c}") for c in cols]))
 
 
-def _topk(spark, sf_dir, distance, cols=("v",), k=10) -> DataFrame:
-    d = _pair_frame(_vectors(spark, sf_dir), *cols).select("q", "c", distance.alias("d"))
-    return R.top_k(d, "d", k).select("q", "c", "rk", F.round("d", 6).alias("d"))
+def _topk(rows: DataFrame, vector: Column, metric: str = "euclidean", k: int = 10) -> DataFrame:
+    """The k nearest other rows of every query row, by a metric over some vector of each row."""
+    v = rows.select("id", vector.alias("v"))
+    out = nearest(v.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "q"), v.withColumnRenamed("id", "c"), k, metric)
+    return out.select("q", "c", "rk", F.round("d", 6).alias("d"))
 
 
 def _qc(column: str = "v"):
@@ -56,58 +60,57 @@ def _cosine():
 
 
 def cosine_topk(spark, sf_dir):
-    return _topk(spark, sf_dir, _cosine(), ("v", "n"))
+    return _topk(_vectors(spark, sf_dir), F.col("v"), "cosine")
 
 
 def euclidean_topk(spark, sf_dir):
-    return _topk(spark, sf_dir, V.euclidean_distance(*_qc()))
+    return _topk(_vectors(spark, sf_dir), F.col("v"))
 
 
 def diagonal_topk(spark, sf_dir):
-    w = [math.sqrt(x) for x in DIAGONAL]
-    qv, cv = _qc()
-    return _topk(spark, sf_dir, V.euclidean_distance(V.weighted(qv, w), V.weighted(cv, w)))
+    return _topk(_vectors(spark, sf_dir), V.weighted(F.col("v"), [math.sqrt(x) for x in DIAGONAL]))
 
 
 def projection_topk(spark, sf_dir):
-    qv, cv = _qc()
-    return _topk(spark, sf_dir, F.abs(V.project(qv, DIRECTION) - V.project(cv, DIRECTION)))
+    return _topk(_vectors(spark, sf_dir), F.array(V.project(F.col("v"), DIRECTION)))
 
 
 def low_rank_topk(spark, sf_dir):
-    qv, cv = _qc()
-    return _topk(spark, sf_dir, V.euclidean_distance(V.project_many(qv, BLOCKS4), V.project_many(cv, BLOCKS4)))
+    return _topk(_vectors(spark, sf_dir), V.project_many(F.col("v"), BLOCKS4))
+
+
+def _product(primitives: Column) -> Column:
+    """Primitives in the space whose Euclidean distance is that of the product."""
+    return V.weighted(primitives, [math.sqrt(w) for w in PRODUCT])
 
 
 def weighted_product_topk(spark, sf_dir):
-    return _topk(spark, sf_dir, V.product_space_distance(F.col("q_p"), F.col("c_p"), PRODUCT), ("p",))
+    return _topk(_vectors(spark, sf_dir), _product(F.col("p")))
 
 
 def scalar_collapse_topk(spark, sf_dir):
-    return _topk(spark, sf_dir, F.abs(V.project(F.col("q_p"), PRODUCT) - V.project(F.col("c_p"), PRODUCT)), ("p",))
+    return _topk(_vectors(spark, sf_dir), F.array(V.project(F.col("p"), PRODUCT)))
 
 
 def chebyshev_topk(spark, sf_dir):
-    return _topk(spark, sf_dir, V.chebyshev_distance(F.col("q_p"), F.col("c_p")), ("p",))
+    return _topk(_vectors(spark, sf_dir), F.col("p"), "chebyshev")
 
 
 def scalar_topk(spark, sf_dir):
-    return _topk(spark, sf_dir, F.abs(F.col("q_y") - F.col("c_y")), ("y",))
+    return _topk(_vectors(spark, sf_dir), F.array("y"))
 
 
 def permuted_product_topk(spark, sf_dir):
     """All wrong alignments of the three primitives, as one frame keyed by the permutation."""
-    p = _pair_frame(_vectors(spark, sf_dir), "p")
-    each = F.explode(F.array(*[F.struct(F.lit("".join(map(str, s))).alias("swap"), V.product_space_distance(F.col("q_p"), V.permuted(F.col("c_p"), s), PRODUCT).alias("d")) for s in SWAPS])).alias("x")
-    d = p.select("q", "c", each).select("q", "c", "x.swap", "x.d")
-    rk = F.row_number().over(W.partitionBy("swap", "q").orderBy("d", "c"))
-    return d.withColumn("rk", rk).where("rk <= 5").select("swap", "q", "c", "rk", F.round("d", 6).alias("d"))
+    e = _vectors(spark, sf_dir)
+    q = e.where(F.col("id") % EVERY == 0).select(F.col("id").alias("q"), _product(F.col("p")).alias("v"))
+    each = [nearest(q, e.select(F.col("id").alias("c"), _product(V.permuted(F.col("p"), s)).alias("v")), 5).withColumn("swap", F.lit("".join(map(str, s)))) for s in SWAPS]
+    return reduce(DataFrame.unionByName, each).select("swap", "q", "c", "rk", F.round("d", 6).alias("d"))
 
 
 def token_length_topk(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars")
-    p = _pair_frame(d, "n_chars").select("q", "c", F.abs(F.col("q_n_chars") - F.col("c_n_chars")).alias("d"))
-    return R.top_k(p, "d", 10).select("q", "c", "rk", "d")
+    return _topk(d, F.array(F.col("n_chars").cast("double"))).withColumn("d", F.col("d").cast("long"))
 
 
 # retrieval metrics: the oracle distance is that of the first coordinate, the method's is cosine
