@@ -118,12 +118,16 @@ def fit(vectors: DataFrame, key: str, vector: str, parts: int = PARTS, entries:
     entry, but count. Fewer keys than ``entries`` give as many entries as keys.
     """
     v = F.col(vector)
-    able = vectors.where(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0) & (F.size(v) % parts == 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))))
-    smallest = able.groupBy(F.col(key).alias("k")).agg(F.min(v).alias("v")).orderBy("k").limit(1).collect()
-    if not smallest:
+    fine = F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+    able = vectors.where(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0) & (F.size(v) % parts == 0) & fine).select(F.col(key).alias("k"), v.alias("v"))
+    # keys first, so that only vectors of these keys meet
+    first = able.agg(F.min("k")).first()[0]
+    if first is None:
         return None
-    dim = len(smallest[0]["v"])
-    seeds = able.where(F.size(v) == dim).groupBy(F.col(key).alias("k")).agg(F.min(v).alias("v")).orderBy("k").limit(entries).toArrow().sort_by("k")
+    dim = able.where(F.col("k") == first).agg(F.size(F.min("v"))).first()[0]
+    able = able.where(F.size("v") == dim)
+    keys = [r["k"] for r in able.select("k").distinct().orderBy("k").limit(entries).collect()]
+    seeds = able.where(F.col("k").isin(keys)).groupBy("k").agg(F.min("v").alias("v")).toArrow().sort_by("k")
     start = np.concatenate(list(columns_of(seeds["v"].combine_chunks(), dim, scale)), axis=1)
     books = Codebooks(np.ascontiguousarray(start.reshape(parts, dim // parts, -1).transpose(0, 2, 1)), scale)
     for _ in range(rounds):
