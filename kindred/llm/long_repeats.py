@@ -123,7 +123,7 @@ def _windows(words: Words, d: int, window: int) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
-def _batches(pdf: pd.DataFrame, most: int = 1 << 20) -> Iterator[tuple[pd.DataFrame, Words]]:
+def _batches(pdf: pd.DataFrame, most: int = 1 << 18) -> Iterator[tuple[pd.DataFrame, Words]]:
     items = encoded(pdf["t"])
     for i, j in chunks(items, most):
         yield pdf.iloc[i:j], Words(items[i:j])

@@ -225,7 +225,7 @@ def encode_texts(model: PieceModel, texts: list[str], known: dict[str, bytes] |
     return [b"".join([begin, *map(known.__getitem__, ws), end]) for ws in split]
 
 
-def with_pieces(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: str = "text", batch_bytes: int = 1 << 21) -> DataFrame:
+def with_pieces(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """``(key, n_tokens, ids, decoded)`` for each row: ids binary, little-endian unsigned 32-bit, with begin and end.
 
     A null text counts as empty: two ids, decoded to "". Rows with equal or null keys each give a row.

@@ -26,7 +26,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return _powers["p"], _powers["q"]
     out = {}
     for key, r in (("p", _R), ("q", _RI)):
-        x = np.full(max(n, 1 << 20), r, dtype=U)
+        x = np.full(max(n, 1 << 19), r, dtype=U)
         x[0] = 1
         out[key] = np.multiply.accumulate(x)
     if n <= 1 << 21:
@@ -45,7 +45,7 @@ def encoded(texts) -> list[bytes]:
     return [t.encode() if isinstance(t, str) else b"" for t in texts]
 
 
-def chunks(items: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(items: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Slices of ``items`` of about ``most`` bytes; a longer item is a slice of its own."""
     at, held = 0, 0
     for i, b in enumerate(items):
