@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import names as N
 from kindred.operators import duplicates as D
+from kindred.operators.ledger import streamed_digests
 from kindred.storage import staged
 
 
@@ -111,18 +112,20 @@ def with_support(rows: DataFrame, group: str, least: int) -> DataFrame:
 
 
 def ordered_commitment(rows: DataFrame, by: list[str], key: str, line: str) -> DataFrame:
-    """``(by, commitment, n)``: SHA-256 of a group's lines, each ended by a line break, in the order of key and line.
+    """``(by, commitment, n)``: SHA-256 of a group's lines, each ended by a line break, in the order of key and line."""
+    out = streamed_digests(rows, by, [key, line], F.concat(F.col(line), F.lit("\n")))
+    return out.select(*by, F.col("sha256").alias("commitment"), "n")
 
-    A group is one string in one task, as the value asks for; for groups without a bound use ``ledger.commitments``.
-    """
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(line).alias("l")))), lambda x: F.concat(x["l"], F.lit("\n")))
-    return rows.groupBy(*by).agg(F.sha2(F.array_join(lines, ""), 256).alias("commitment"), F.count("*").alias("n"))
+
+def json_item(value: Column) -> Column:
+    """A string as it stands in a JSON list."""
+    listed = F.to_json(F.array(value))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
 def sequence_hash(rows: DataFrame, by: list[str], key: str, order: str) -> DataFrame:
     """``(by, sha256, n)`` of the JSON list of a group's string keys in order."""
-    keys = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("k")))), lambda x: x["k"])
-    return rows.groupBy(*by).agg(F.sha2(F.to_json(keys), 256).alias("sha256"), F.count("*").alias("n"))
+    return streamed_digests(rows, by, [order, key], json_item(F.col(key)), "[", ",", "]")
 
 
 def manifest_faults(pairs: DataFrame, group: str, order: str, digest: str, expected: Column) -> DataFrame:

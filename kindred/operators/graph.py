@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.operators.ledger import streamed_digests
+from kindred.storage import staged
 from kindred.operators.components import connected_components
 
 
@@ -42,9 +44,9 @@ def components_of(nodes: DataFrame, edges: DataFrame, name: str, protocol: str)
     """Every node with its component, the component's size and its id: a hash of its sorted members and the protocol."""
     comp = connected_components(edges).withColumnRenamed("node", name)
     named = nodes.select(name).where(F.col(name).isNotNull()).distinct().join(comp, name, "left").withColumn("component", F.coalesce("component", name))
-    ids = named.groupBy("component").agg(F.array_sort(F.collect_set(name)).alias("members"))
-    ids = ids.select("component", F.size("members").alias("size"), F.sha2(F.concat_ws("\n", F.concat_ws("\n", "members"), F.lit(protocol)), 256).alias("component_id"))
-    return named.join(ids, "component")
+    named = staged(named, "components")
+    ids = streamed_digests(named, ["component"], [name], F.col(name), between="\n", after=f"\n{protocol}")
+    return named.join(ids.select("component", F.col("n").cast("int").alias("size"), F.col("sha256").alias("component_id")), "component")
 
 
 def role_crossings(members: DataFrame, name: str, rows: str = "row_count") -> DataFrame:

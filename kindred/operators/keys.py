@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kindred.operators.hot import meet
 from kindred.storage import staged
 
 
@@ -43,10 +44,37 @@ def global_rank(rows: DataFrame, order: list[Column], name: str = "rk") -> DataF
     return dealt.withColumn("_here", here).join(before, "_range").withColumn(name, F.col("_here") + F.col("_before")).drop("_range", "_here", "_before")
 
 
+def prefix_sums(rows: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """``rows`` with ``before_<column>`` for each of ``sums``: its sum over all rows that come earlier in a total order.
+
+    Ranges of rows are summed by themselves, after the sums of earlier ranges; the only window without a key sees one row per range.
+    """
+    dealt = staged(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    whole = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    whole = whole.select("_range", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in sums])
+    here = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = dealt.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(here), F.lit(0)) for c in sums}).join(whole, "_range")
+    return out.withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"_{c}") for c in sums}).drop("_range", *[f"_{c}" for c in sums])
+
+
+def average_ranks(rows: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """``rows`` with their rank from 1 in the order of some columns, ties averaged (a null is a value like others, the first; -0 is 0).
+
+    Equal rows are counted first, and the counts summed up range by range, so a tie of any size is one row until its
+    rank goes back to the rows; ``rows`` is read twice, so it should be a stored table.
+    """
+    value = lambda c: F.col(c) + 0.0 if rows.schema[c].dataType.typeName() in ("double", "float") else F.col(c)
+    keyed = rows.withColumn("_tie", F.sha2(F.to_json(F.struct(*[value(c).cast("string").alias(c) for c in order]), {"ignoreNullFields": "false"}), 256))
+    ties = keyed.groupBy(*order, "_tie").agg(F.count("*").alias("_n"))
+    ranks = prefix_sums(ties, [F.col(c) for c in order], ["_n"]).select("_tie", (F.col("before__n") + (F.col("_n") + 1) / 2).alias(name), "_n")
+    return meet(keyed, ranks, "_tie", "_n").drop("_tie", "_n")
+
+
 def hash_folds(groups: DataFrame, name: str, k: int) -> DataFrame:
-    """Balanced folds of distinct groups by hash order; the window sees one row per group."""
-    order = W.orderBy(F.sha2(F.col(name), 256), name)
-    return groups.select(name).where(F.col(name).isNotNull()).distinct().withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+    """Balanced folds of distinct groups by hash order."""
+    g = groups.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_h", F.sha2(F.col(name).cast("string"), 256))
+    return global_rank(g, [F.col("_h"), F.col(name)]).select(name, ((F.col("rk") - 1) % k).cast("int").alias("fold"))
 
 
 def role_quotas(n: int, minimums: Sequence[int], weights: Sequence[float]) -> list[int]:
@@ -64,8 +92,7 @@ def role_quotas(n: int, minimums: Sequence[int], weights: Sequence[float]) -> li
 
 def allocate(groups: DataFrame, name: str, roles: Sequence[str], quotas: Sequence[int], domain: str, context: str) -> DataFrame:
     """Whole groups to roles: hash order, cut at cumulative quotas."""
-    rk = F.row_number().over(W.orderBy("order_key", name))
-    out = groups.select(name).distinct().withColumn("order_key", order_key(domain, context, name)).withColumn("rk", rk)
+    out = global_rank(groups.select(name).distinct().withColumn("order_key", order_key(domain, context, name)), [F.col("order_key"), F.col(name)])
     role, up = F.lit(None).cast("string"), sum(quotas)
     for r, n in reversed(list(zip(roles, quotas, strict=True))):
         role = F.when(F.col("rk") <= up, F.lit(r)).otherwise(role)

@@ -9,9 +9,11 @@ import tempfile
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical_json(value, ascii_only: bool = False) -> str:
@@ -51,6 +53,43 @@ def commitments(rows: DataFrame, by: list[str], key: str, line: str) -> DataFram
     return inner.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), ""), 256).alias("commitment"), F.sum("n").alias("n"))
 
 
+def streamed_digests(rows: DataFrame, by: list[str], order: list[str], piece: Column, before: str = "", between: str = "", after: str = "") -> DataFrame:
+    """``(by, sha256, n)``: SHA-256 of each group's pieces in order, with texts before, between and after them.
+
+    A digest of one long text has to be taken in its order, so a group is read by one task; but it is sorted by Spark, which
+    spills, and streams past: the task holds a batch and the state of the digest. Null pieces are left out, though they
+    count in ``n``; order columns must tell rows apart where their pieces differ.
+    """
+    group = F.to_json(F.struct(*by)) if by else F.lit("")
+    src = rows.select(*by, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], piece.alias("_piece"), group.alias("_group"))
+    out = T.StructType([*[f for f in src.schema.fields if f.name in by], T.StructField("sha256", T.StringType()), T.StructField("n", T.LongType())])
+    src = src.repartition("_group") if by else src.coalesce(1)
+    src = src.sortWithinPartitions("_group", *[f"_o{i}" for i in range(len(order))]).select(*by, "_piece", "_group")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held, first, state, n, some = None, None, None, 0, False
+
+        def result() -> pa.RecordBatch:
+            state.update(after.encode())
+            return pa.RecordBatch.from_arrays([*first, pa.array([state.hexdigest()]), pa.array([n])], [*by, "sha256", "n"])
+
+        for b in batches:
+            columns = [b.column(c) for c in by]
+            for i, (g, p) in enumerate(zip(b.column("_group").to_pylist(), b.column("_piece").to_pylist(), strict=True)):
+                if g != held or state is None:
+                    if state is not None:
+                        yield result()
+                    held, first, state, n, some = g, [c.slice(i, 1) for c in columns], hashlib.sha256(before.encode()), 0, False
+                n += 1
+                if p is not None:
+                    state.update(((between if some else "") + p).encode())
+                    some = True
+        if state is not None:
+            yield result()
+
+    return src.mapInArrow(run, out)
+
+
 def chain_breaks(entries: DataFrame, by: list[str], sequence: str, payload: str) -> DataFrame:
     """Entries of each chain with the hash that they must carry on from: sha256(previous payload) and a flag of gaps."""
     order = W.partitionBy(*by).orderBy(sequence)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kindred.operators.ranking import correlation
+
 
 #: Rows of a block of queries and of a block of candidates.
 QUERY_ROWS, CANDIDATE_ROWS = 64, 4096
@@ -80,7 +82,7 @@ def average_precision(pair: DataFrame, relevant: Column, q: str = "q") -> DataFr
 def spearman(pair: DataFrame, q: str = "q") -> DataFrame:
     """Correlation of averaged ranks per query; null where a side is constant."""
     both = pair.select(q, average_rank(F.col("o"), q).alias("x"), average_rank(F.col("m"), q).alias("y"))
-    rho = both.groupBy(q).agg(F.corr("x", "y").alias("rho"), F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
+    rho = both.groupBy(q).agg(correlation("x", "y").alias("rho"), F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
     return rho.select(q, F.when((F.col("a") < F.col("b")) & (F.col("c") < F.col("d")), F.col("rho")).alias("rho"))
 
 

@@ -13,6 +13,7 @@ from kindred.functions.code import code_primitives, normal_tokens
 from kindred.operators import audit as A
 from kindred.operators.dominance import at_least_of, counts_above
 from kindred.operators import duplicates as D
+from kindred.operators.ledger import streamed_digests
 from kindred.operators import retrieval as R
 from kindred.plans import queries as Q
 from kindred.plans.sql import _PRIM
@@ -206,8 +207,9 @@ def sequence_hashes(spark, sf_dir):
 def component_commitments(spark, sf_dir):
     """Component ids as the SHA-256 of canonical JSON: sorted members and the protocol."""
     d, e = Q._graph(spark, sf_dir)
-    c = Q.G.components_of(d, e, "node", "protocol-1").groupBy("component").agg(F.array_sort(F.collect_set("node")).alias("members"))
-    return c.select("component", F.sha2(F.to_json(F.struct("members", F.lit("protocol-1").alias("protocol_sha256"))), 256).alias("component_id"), F.size("members").alias("size"))
+    c = Q.G.components_of(d, e, "node", "protocol-1")
+    out = streamed_digests(c, ["component"], ["node"], A.json_item(F.col("node")), '{"members":[', ",", '],"protocol_sha256":"protocol-1"}')
+    return out.select("component", F.col("sha256").alias("component_id"), F.col("n").cast("int").alias("size"))
 
 
 def manifest_checks(spark, sf_dir):

@@ -21,6 +21,7 @@ from kindred.operators import selective as S
 from kindred.operators.dominance import counts_above
 from kindred.operators.nearest import nearest
 from kindred.operators.quantiles import quantiles
+from kindred.operators.ranking import spearman
 from kindred.sources.readers import table
 from kindred.storage import staged
 
@@ -521,9 +522,10 @@ def ridge_oof(spark, sf_dir):
 
 
 def probe_quality(spark, sf_dir):
-    r = P.out_of_fold(_folded(spark, sf_dir), "x", "y", "fold", 1.0)
+    r = staged(P.out_of_fold(_folded(spark, sf_dir), "x", "y", "fold", 1.0).select("fold", "y", "yhat"), "judged")
     e = F.col("y") - F.col("yhat")
-    return r.groupBy("fold").agg(F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(1 - F.sum(e * e) / (F.count("y") * F.var_pop("y")), 6).alias("r2"), F.count("*").alias("n"))
+    rho = spearman(r, ["fold"], "y", "yhat").select("fold", F.round("spearman", 6).alias("spearman"))
+    return r.groupBy("fold").agg(F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(1 - F.sum(e * e) / (F.count("y") * F.var_pop("y")), 6).alias("r2"), F.count("*").alias("n")).join(rho, "fold")
 
 
 def _roles_of_rows(spark, sf_dir) -> DataFrame:
