@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,12 +29,53 @@ from pyspark.sql import functions as F
 from kindred.llm.layouts import LAYOUTS
 from kindred.llm.tables import table
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|object|canvas|title|textarea|select|button|audio|video)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
-    re.S | re.I,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
+_STOP = re.compile("[>\"']")
+#: Elements whose content is no text of the page.
+RAW = frozenset("script style noscript template iframe svg object canvas title textarea select button audio video".split())
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Behind the ``>`` that ends a tag; quoted ones are passed over, and a quote that nothing closes is a character like others."""
+    while m := _STOP.search(page, at):
+        at = m.end()
+        if m[0] == ">":
+            return at
+        closing = page.find(m[0], at)
+        at = closing + 1 if closing >= 0 else at
+    return len(page)
+
+
+def _cut(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """``(start, end, kind, name, attributes)`` of all markup in page order, in one pass that never goes back.
+
+    kind: "<" and ">" tags, "x" an element with all that it holds, "" comments and declarations.
+    """
+    at, n = 0, len(page)
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = end + 3 if end >= 0 else n
+            yield i, at, "", "", ""
+        elif page[i + 1 : i + 2] in ("!", "?"):
+            end = page.find(">", i + 2)
+            at = end + 1 if end >= 0 else n
+            yield i, at, "", "", ""
+        elif not (m := _NAME.match(page, i)):
+            at = i + 1
+        else:
+            at = _tag_end(page, m.end())
+            name, attrs = m[2].lower(), page[m.end() : at].removesuffix(">")
+            if name in RAW and not m[1]:
+                if not attrs.endswith("/"):
+                    end = _RAW_END[name].search(page, at)
+                    at = end.end() if end else n
+                yield i, at, "x", name, attrs
+            else:
+                yield i, at, ">" if m[1] else "<", name, attrs
+
+
 #: One attribute after another: name, then value if it has one. What a value holds is never taken for a name.
 _ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -42,6 +84,8 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that need no end tag, and the starts that end them.
 ENDED_BY = {"p": BLOCKS - {"td", "tr"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+#: By start: the elements that it ends.
+_ENDS = {name: [old for old, by in ENDED_BY.items() if name in by] for name in BLOCKS}
 _OPTIONAL = frozenset([*ENDED_BY, "html", "body", "head", "tbody", "thead", "tfoot"])
 #: Words of class, id and role that a name must end in to mark something else than content, and words that may stand behind them.
 HINTS = frozenset(
@@ -92,73 +136,87 @@ class Page:
     """
 
     def __init__(self, page: str):
+        unclosed = self._parse(page, {})
+        # one that was never closed ends where content starts: the page is read again with these ends
+        content, stop = [0] * (len(self.name) + 1), 0
+        for c in range(len(self.name) - 1, 0, -1):
+            content[c + 1] = stop
+            stop = c if self.name[c] in ("article", "main", "h1") and "hint" not in self.features[c] else stop
+        ends: dict[int, list[int]] = {}
+        for e in unclosed:
+            if self.features[e] & _MARKING and e < content[e + 1] < self.upto[e]:
+                ends.setdefault(content[e + 1], []).append(e)
+        if ends:
+            self._parse(page, ends)
+        self._settle()
+
+    def _parse(self, page: str, ends: dict[int, list[int]]) -> list[int]:
+        """Elements and tokens of a page; those that nothing closed though they need it come back. ``ends``: elements that end where another one starts."""
         self.name, self.parent, self.features, self.words, self.upto = [""], [-1], [set()], [0], [0]
         self.tokens: list[tuple[str, str, int]] = []
-        open_, at = [0], 0
         unclosed: list[int] = []
-        for m in _TOKEN.finditer(page):
-            if m.start() > at:
-                self._text(page[at : m.start()], open_[-1])
-            at = m.end()
-            name = (m["name"] or "").lower()
-            if not name:
-                if m["raw"]:
-                    self.tokens.append(("x", "", open_[-1]))
-                continue
-            if m["end"]:
-                k = next((k for k in range(len(open_) - 1, 0, -1) if self.name[open_[k]] == name), 0)
-                if k:
-                    unclosed += self._close(open_, k, True)
+        #: open elements, the places of each name among them, and of those that need an end tag and hold blocks
+        open_, place, walls = [0], {}, [0]
+
+        def close(k: int, ended: bool) -> None:
+            gone = open_[k:]
+            del open_[k:]
+            while len(walls) > 1 and walls[-1] >= k:
+                walls.pop()
+            for e in gone:
+                self.upto[e] = len(self.name)
+                place[self.name[e]].pop()
+            unclosed.extend(e for e in gone[ended:] if self.name[e] not in _OPTIONAL)
+
+        at = 0
+        for start, end, kind, name, attrs in _cut(page):
+            if start > at:
+                self._text(page[at:start], open_[-1])
+            at = end
+            if kind == "x":
+                self.tokens.append(("x", "", open_[-1]))
+            elif kind == ">":
+                if place.get(name):
+                    close(place[name][-1], True)
                 self.tokens.append((">", name, open_[-1]))
-                continue
-            if name in VOID:
+            elif kind and name in VOID:
                 self.tokens.append(("br" if name == "br" else "<", name, open_[-1]))
-                continue
-            # an element of the kind that this start ends, not beyond an element that must be closed
-            for k in range(len(open_) - 1, 0, -1):
-                old = self.name[open_[k]]
-                if name in ENDED_BY.get(old, ()):
-                    unclosed += self._close(open_, k, True)
-                    break
-                if old not in ENDED_BY and old in BLOCKS:
-                    break
-            e = len(self.name)
-            self.name.append(name)
-            self.parent.append(open_[-1])
-            self.features.append(own_features(name, m["attrs"] or ""))
-            self.words.append(0)
-            self.upto.append(0)
-            self.tokens.append(("<", name, e))
-            if not (m["attrs"] or "").endswith("/"):
-                open_.append(e)
-            else:
-                self.upto[e] = e + 1
+            elif kind:
+                e = len(self.name)
+                # elements are numbered as they start, so open ones stand in order
+                here = [k for old in ends.get(e, ()) if (k := bisect_left(open_, old)) < len(open_) and open_[k] == old]
+                if here:
+                    close(min(here), True)
+                # an element of the kind that this start ends, not beyond an element that must be closed
+                k = max((place[old][-1] for old in _ENDS.get(name, ()) if place.get(old)), default=0)
+                if k > walls[-1]:
+                    close(k, True)
+                self.name.append(name)
+                self.parent.append(open_[-1])
+                self.features.append(own_features(name, attrs))
+                self.words.append(0)
+                self.upto.append(0)
+                self.tokens.append(("<", name, e))
+                if attrs.endswith("/"):
+                    self.upto[e] = e + 1
+                else:
+                    place.setdefault(name, []).append(len(open_))
+                    if name in BLOCKS and name not in ENDED_BY:
+                        walls.append(len(open_))
+                    open_.append(e)
         if at < len(page):
             self._text(page[at:], open_[-1])
-        unclosed += self._close(open_, 1, False)
+        close(1, False)
         self.upto[0] = len(self.name)
-        self._settle(unclosed)
+        return unclosed
 
     def _text(self, text: str, e: int) -> None:
         self.tokens.append(("t", text, e))
         self.words[e] += len(text.split())
 
-    def _close(self, open_: list[int], k: int, ended: bool) -> list[int]:
-        """Close the elements from place k on; those that have no end tag and need one."""
-        gone = open_[k:]
-        del open_[k:]
-        for e in gone:
-            self.upto[e] = len(self.name)
-        return [e for e in gone[ended:] if self.name[e] not in _OPTIONAL]
-
-    def _settle(self, unclosed: list[int]) -> None:
+    def _settle(self) -> None:
         """Features as they stand in the page, words below each element, and for each element the features of all that hold it."""
         n = len(self.name)
-        for e in unclosed:  # one that was never closed ends where content starts
-            if self.features[e] & _MARKING:
-                stop = next((c for c in range(e + 1, self.upto[e]) if self.name[c] in ("article", "main", "h1") and not self.features[c] & {"hint"}), None)
-                if stop is not None:
-                    self._let_go(e, stop)
         for e in range(n - 1, 0, -1):
             self.words[self.parent[e]] += self.words[e]
         marks = [e for e in range(1, n) if self.name[e] in ("main", "article") and "hint" not in self.features[e]]
@@ -181,27 +239,6 @@ class Page:
             both = self.held[p] | own
             self.held[e] = known.setdefault(both, both)
 
-    def _let_go(self, e: int, stop: int) -> None:
-        """Element e ends before element ``stop``: what comes from there on belongs to e's parent."""
-        up = self.parent[e]
-        below = {e}
-        for c in range(e + 1, len(self.name)):
-            if self.parent[c] in below:
-                if c >= stop:
-                    self.parent[c] = up
-                else:
-                    below.add(c)
-        seen, moved = False, []
-        for kind, what, c in self.tokens:
-            seen = seen or kind == "<" and c == stop
-            if seen and c in below:
-                if kind == "t":
-                    self.words[c] -= len(what.split())
-                    self.words[up] += len(what.split())
-                c = up
-            moved.append((kind, what, c))
-        self.tokens, self.upto[e] = moved, min(self.upto[e], stop)
-
     def blocks(self) -> tuple[set[int], set[int]]:
         """Positions of the texts of short blocks that hold a cue phrase; and of links (tags and texts) in blocks of mostly other words."""
         cues: set[int] = set()
