@@ -15,6 +15,7 @@ no tokenizer file. Each worker keeps a bounded memory of words that it has alrea
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -65,6 +66,7 @@ class PieceModel:
         self.piece_at = np.concatenate([[0], np.cumsum(self.piece_len)])[:-1]
         self.piece_bytes = np.frombuffer(b"".join(held), dtype=np.uint8)
         self.lead = np.array([p.startswith(META) and k == "normal" for p, k in zip(pieces, kinds, strict=True)])
+        self.digest = hashlib.sha256(repr((pieces, scores, kinds, bos, eos)).encode()).hexdigest()
         self.control = np.array([k == "control" for k in kinds])
         cut_line = not any("\n" in p for p in normal)
         if any(META in p.lstrip(META) for p in normal):
@@ -207,12 +209,13 @@ def _one_each(e: UnicodeError):
     return "�" * (e.end - e.start), e.end
 
 
-_known: dict[str, bytes] = {}
+#: Words encoded before, by the digest of the model: a worker may serve several.
+_known: dict[str, dict[str, bytes]] = {}
 
 
 def encode_texts(model: PieceModel, texts: list[str], known: dict[str, bytes] | None = None, most_known: int = 150_000) -> list[bytes]:
     """Ids of whole texts with begin and end. known: words of up to KEPT characters encoded before; it is emptied when it outgrows most_known."""
-    known = _known if known is None else known
+    known = _known.setdefault(model.digest, {}) if known is None else known
     if len(known) > most_known:
         known.clear()
     split = [model.word.findall(META + t.replace(" ", META)) if t else [] for t in texts]
