@@ -226,7 +226,7 @@ def read_archives(pages: DataFrame, folder: str, firsts: list[bytes], names: lis
     """Look up every row's capture by url and key: key, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``payload`` (null in revisits).
 
     Null urls and keys are looked up as such; rows that share both take their captures in turn. Further columns
-    are ignored; an empty table gives no rows. A damaged response raises.
+    are ignored; an empty table gives no rows. A damaged response raises, and so does a row without a capture.
     """
     kind = pages.schema[key].dataType.simpleString()
 
@@ -239,6 +239,8 @@ def read_archives(pages: DataFrame, folder: str, firsts: list[bytes], names: lis
                 turn = turn + 1 if line_key == before else 0
                 before = line_key
                 found = list(reader.lines(line_key))
+                if not found:
+                    raise KeyError(f"no capture of {line_key!r} in the index")
                 fields, http, payload = reader.record(found[turn % len(found)])
                 response = fields["WARC-Type"] == "response"
                 sha = fields["WARC-Payload-Digest"].removeprefix("sha1:")

@@ -253,3 +253,105 @@ def test_orders_of_clicks_edges(spark, tmp_path):
     assert len(got) == 5 and got[odd]["n_tied"] == got[even]["n_tied"] == got[None]["n_tied"] == n
     assert got[odd]["lag_us"] == 0 and got[even]["lag_us"] == 30 * 60_000_000 and got[even]["sale_id"] == even + 200
     assert [(got[i]["n_tied"], got[i]["sale_id"], got[i]["lag_us"]) for i in (1000, 1001)] == [(0, None, None)] * 2
+
+
+# operators 2, 3 and 9: broken pages, two models in one process, captures that are missing
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "<a" * n + '"', lambda n: "<nav>x<main>y" * n, lambda n: "<div>" * n + "</span>" * n, lambda n: "<nav>" * n + "<p>w w</p>", lambda n: "<nav><div>" * n + "<h1>t</h1>",
+    lambda n: "<li><p>" * n, lambda n: "<td><b>" * n, lambda n: '<a x="' * n, lambda n: "<script" * n + "'", lambda n: "<dt><ul><dd>" * n,
+])
+def test_broken_pages_take_time_in_proportion(make):
+    import time
+
+    from kindred.llm.main_text import main_text
+
+    took = []
+    for n in (4000, 32_000):
+        took.append(float("inf"))
+        for _ in range(2):
+            began = time.process_time()
+            main_text(make(n))
+            took[-1] = min(took[-1], time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.01)
+
+
+def test_formulas_stay_and_quotes_that_nothing_closes_end_with_the_tag():
+    from kindred.llm.main_text import main_text
+
+    words = "These words are the text of a page that goes on for a while and says a thing or two about the world. " * 3
+    page = f"<article><p>{words}so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> end of it.</p></article>"
+    assert main_text(page).endswith("so x=2 end of it.")
+    assert main_text(f"<article><p title='it is\">{words}</p></article>") == " ".join(words.split())
+
+
+def plain_run(scores):
+    """The best contiguous run by trying all: (score, from, to)."""
+    best = (0.0, 0, 0)
+    for i in range(len(scores)):
+        for j in range(i + 1, len(scores) + 1):
+            if sum(scores[i:j]) > best[0] + 1e-9:
+                best = (sum(scores[i:j]), i, j)
+    return best
+
+
+def test_scan_finds_the_best_run():
+    from kindred.llm import main_text as M
+
+    r = random.Random(2)
+    part = lambda: r.choice(["<p>", "</p>", "<div class='sidebar'>", "</div>", "<a href='x'>", "</a>", "<br>", "<ul><li>", "</ul>", "<article>", "</article>", "word " * r.randint(1, 30)])
+    for _ in range(150):
+        page = "".join(part() for _ in range(r.randint(1, 25)))
+        doc, w = M.Page(page), M.weights()
+        cues, prose = doc.blocks()
+        out = [False] * len(doc.name)
+        for e in range(1, len(out)):
+            out[e] = out[doc.parent[e]] or w.unlikely(doc.features[e])
+        scores = []
+        for i, (kind, what, e) in enumerate(doc.tokens):
+            if out[e]:
+                scores.append(w.skip if kind == "<" and not out[doc.parent[e]] and what == doc.name[e] else 0.0)
+            elif kind == "t":
+                scores.append(len(what.split()) * w.of(M.features_at(doc.held[e], i in cues, i in prose)))
+            else:
+                scores.append(w.other if kind == "x" else 0.0 if i in prose else w.tag.get(what, w.other))
+        score, i, j = plain_run(scores)
+        words = [x for kind, what, e in doc.tokens[i:j] if kind == "t" and not out[e] for x in what.split()]
+        got = M.main_text(page).split()
+        assert got == words or abs(sum(scores[i:j]) - score) < 1e-9 and len(got) <= sum(kind == "t" for kind, *_ in doc.tokens) * 30 and _scores_equal(doc, scores, out, got, score)
+
+
+def _scores_equal(doc, scores, out, got, score):
+    """Another run of the same score gives these words."""
+    n = len(scores)
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            if abs(sum(scores[i:j]) - score) < 1e-9 and [x for kind, what, e in doc.tokens[i:j] if kind == "t" and not out[e] for x in what.split()] == got:
+                return True
+    return score < 1e-9 and not got
+
+
+def test_two_models_in_one_process():
+    from kindred.llm import pieces
+
+    base = [("<unk>", 0.0, "unknown"), ("<s>", 0.0, "control"), ("</s>", 0.0, "control"), *[(f"<0x{i:02X}>", 0.0, "byte") for i in range(256)]]
+    own = [("▁", -3.0, "normal"), ("a", -4.0, "normal"), ("b", -5.0, "normal"), ("▁a", -1.0, "normal"), ("ab", -2.0, "normal")]
+    turned = [own[0], own[1], own[2], (own[4][0], -1.0, "normal"), (own[3][0], -2.0, "normal")]
+    models = [pieces.PieceModel(*map(list, zip(*(base + x), strict=True)), 1, 2) for x in (own, turned)]
+    pieces._known.clear()
+    one = [pieces.encode_texts(m, ["ab ab"]) for m in models]
+    alone = [pieces.encode_texts(m, ["ab ab"], {}) for m in models]
+    assert one == alone and one[0] != one[1]
+
+
+def test_a_missing_capture_raises(spark, tmp_path):
+    from kindred.llm import warc
+
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/", "<p>x</p>") for i in range(3)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/warc"
+    firsts, names = warc.build_index(warc.write_archives(pages, folder), folder, 2)
+    assert warc.read_archives(pages, folder, firsts, names, 2).count() == 3
+    more = pages.unionByName(spark.createDataFrame([(7, "http://h1.org/", "")], pages.schema))
+    with pytest.raises(Exception, match="no capture"):
+        warc.read_archives(more, folder, firsts, names, 2).collect()
