@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -84,6 +85,16 @@ def staged(df: DataFrame, kind: str = "stage", few: bool = False, like: DataFram
     return out
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let executors delete shuffle files that nothing needs any more.
+
+    They stay until the driver happens to collect its garbage, which a driver that only plans does rarely. To be called once
+    a large staged table is written: what lies behind it is never read again.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
