@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from kindred.llm.tables import table
 from kindred.llm.words import U, Words, chunks, encoded, mix, powers
 from kindred.operators.hot import meet
-from kindred.storage import staged
+from kindred.storage import release_shuffles, staged
 
 WINDOW = 35
 ROUNDS = 6
@@ -170,6 +170,7 @@ def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> F
     at = meet(each, often, "name", "n").select("rid", "i").unionByName(bare).groupBy("rid").agg(F.collect_list("i").alias("at"))
     told = same.select("rid", (F.col("copies") == 1).alias("alone"))
     wanted = staged(named.select("rid", F.col("k").alias("_k"), F.col("d").alias("_d"), "sha").join(told, "rid").join(at, "rid"), "repeats", by=named)
+    release_shuffles(docs.sparkSession)
 
     def regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Starts of the windows that may repeat, as runs [from, to)."""
@@ -193,6 +194,7 @@ def _search(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> F
     # a row that is there twice, key and all, comes twice under one rid; it is not alone
     texts = src.join(wanted, (F.col("d") == F.col("_d")) & F.col("k").eqNullSafe(F.col("_k"))).select("rid", "t", "sha", "alone", "at")
     held = staged(texts.mapInPandas(regions, "rid long, t string, alone boolean, runs array<int>"), "regions", by=docs)
+    release_shuffles(docs.sparkSession)
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
