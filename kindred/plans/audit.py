@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,26 +24,12 @@ from kindred.storage import staged
 NAMES = ("python-tool", "tool-v2", "Tool_fork", "django-core-utils", "aiohttp-client", "tool-2", "web-app-py", "data")
 ROLES = ("fit", "iteration", "selection", "reserve")
 PAIRS = [("fit", "iteration"), ("fit", "selection"), ("fit", "reserve"), ("iteration", "selection"), ("iteration", "reserve")]
-#: Function bodies with their complexity, depth and calls.
-FUNCTIONS = [
-    ("def f(x):\n    while x:\n        x -= 1\n", 2.0, 1.0, 0.0),
-    ("def f():\n    try:\n        work()\n    except ValueError:\n        recover()\n", 2.0, 1.0, 2.0),
-    ("async def f(ctx):\n    async with ctx:\n        work()\n", 1.0, 1.0, 1.0),
-    ("def f(x):\n    match x:\n        case 0:\n            return 0\n        case _:\n            return 1\n", 2.0, 1.0, 0.0),
-    ("def f(x):\n    match x:\n        case 0:\n            return 0\n        case 1:\n            return 1\n        case 2:\n            return g()\n", 3.0, 1.0, 1.0),
-    ("def f(xs):\n    return {x: x for x in xs}\n", 2.0, 1.0, 0.0),
-    ("def f(xs, ys):\n    return [(x, y) for x in xs if g(x) for y in ys if h(y)]\n", 5.0, 2.0, 2.0),
-    ("def f(x):\n    if x == 0:\n        return 0\n    elif x == 1:\n        return 1\n    return 2\n", 3.0, 1.0, 0.0),
-    ("def f(x):\n    if x == 0:\n        return 0\n    else:\n        if x == 1:\n            return 1\n    return 2\n", 3.0, 2.0, 0.0),
-    ("def f(a, b):\n    for x in a:\n        if x and b or x:\n            obj.save(); obj.save(); make()()\n", 5.0, 2.0, 3.0),
-]
-#: Pieces of code with their normal tokens.
-CODE = [
-    ("def f(x):\n    return x + 1.5\n", "def NAME ( NAME ) : return NAME + NUMBER"),
-    ("value = 'a' if flag else \"b\"", "NAME = STRING if NAME else STRING"),
-    ("x = (1, # note\n 2)", "NAME = ( NUMBER , NUMBER )"),
-    ("broken = ((", "broken = ( ("),
-    ("", ""),
+#: A statement for each line of a text, by its commas: code, tokens, and what it adds to the complexity, the depth it needs and its call target.
+STATEMENTS = [
+    ("    x = step_{i}(x)", "NAME = NAME ( NAME )", 0, 0, None),
+    ("    if x > {n}:\n        x = clip(x)", "if NAME > NUMBER : NAME = NAME ( NAME )", 1, 1, "clip"),
+    ("    for y in x:\n        if y and x:\n            keep(y)", "for NAME in NAME : if NAME and NAME : NAME ( NAME )", 3, 2, "keep"),
+    ("    z = [y for y in x if y]", "NAME = [ NAME for NAME in NAME if NAME ]", 2, 1, None),
 ]
 
 
@@ -148,14 +134,26 @@ def near_pair_degrees(spark, sf_dir):
 # code
 
 
-def code_primitives_of_cases(spark, sf_dir):
-    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(FUNCTIONS)], "case int, code string")
-    return rows.select("case", code_primitives(F.col("code")).alias("p")).select("case", "p.complexity", "p.depth", "p.calls")
+def _code(spark, sf_dir) -> DataFrame:
+    """Each document as a function of Python: a statement for every line of its text, chosen by the number of commas in it."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+
+    def statement(line: Column, i: Column) -> Column:
+        n = F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))
+        filled = [F.replace(F.replace(F.lit(code), F.lit("{i}"), (i % 5).cast("string")), F.lit("{n}"), n.cast("string")) for code, *_ in STATEMENTS]
+        return F.element_at(F.array(*filled), (n % 4 + 1).cast("int"))
+
+    body = F.array_join(F.transform("lines", statement), "\n")
+    return d.select("doc_id", F.concat(F.lit("def f(x):\n"), body, F.lit("\n    return x\n")).alias("code"))
 
 
-def code_tokens_of_cases(spark, sf_dir):
-    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CODE)], "case int, code string")
-    return rows.select("case", F.array_join(normal_tokens(F.col("code")), " ").alias("tokens"))
+def code_primitives_of_texts(spark, sf_dir):
+    return _code(spark, sf_dir).select("doc_id", code_primitives(F.col("code")).alias("p")).select("doc_id", "p.complexity", "p.depth", "p.calls", "p.reason")
+
+
+def code_tokens_of_texts(spark, sf_dir):
+    t = _code(spark, sf_dir).select("doc_id", normal_tokens(F.col("code")).alias("tokens"))
+    return t.select("doc_id", F.size("tokens").cast("long").alias("tokens"), F.sha2(F.array_join("tokens", " "), 256).alias("sha256"))
 
 
 # selective decisions
@@ -276,7 +274,8 @@ _MASS = (
     + "), y AS (SELECT *, p > 0.5 AS prediction, p <= 0.05 OR p >= 0.95 AS accepted, greatest(p, 1 - p) AS score FROM z)"
 )
 _WHY = "CASE WHEN accepted THEN 'accepted_empirical_support_mass' ELSE 'refused_empirical_support_disagreement' END"
-_VALUES = lambda rows: ", ".join("(" + ", ".join(map(str, r)) + ")" for r in rows)
+
+_LINES = "s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, r.i AS i, ((length(ls[i + 1]) - length(replace(ls[i + 1], ',', ''))) % 4 + 1)::INT AS k FROM s, LATERAL (SELECT unnest(range(len(ls))) AS i) r)"
 
 ORACLES = {
     "repository_names": _SIG + f" SELECT repository, lower(trim(repository)) AS normalised, lower(split_part(repository, '/', 1)) AS owner, lower(regexp_extract(repository, '^[^/]+/(.+)$', 1)) AS name, exact, family, {_FAMILY} AS family_name FROM s",
@@ -294,8 +293,8 @@ ORACLES = {
     "near_pair_degrees": _NEAR + ", q AS (SELECT key, count(*) AS degree FROM (SELECT a_doc AS key FROM n UNION ALL SELECT b_doc FROM n) GROUP BY key) SELECT degree, count(*) AS documents, min(key) AS first_doc FROM q GROUP BY degree",
     "simhash_fingerprints": "WITH " + _HASH.format(source="documents") + f" SELECT doc_id, {_HEX} AS simhash_hex, [(f & 65535)::INT, ((f >> 16) & 65535)::INT, ((f >> 32) & 65535)::INT, ((f >> 48) & 65535)::INT] AS bands FROM f",
     "simhash_near_pairs": "WITH " + _HASH.format(source="documents") + ", p AS (SELECT doc_id, source, f FROM documents JOIN f USING (doc_id)) SELECT a.doc_id AS left_key, b.doc_id AS right_key, bit_count(xor(a.f, b.f))::INT AS distance FROM p a JOIN p b ON a.doc_id < b.doc_id AND a.source <> b.source AND bit_count(xor(a.f, b.f)) <= 3",
-    "code_primitives_of_cases": "SELECT * FROM (VALUES " + _VALUES((i, *c[1:]) for i, c in enumerate(FUNCTIONS)) + ") AS t(\"case\", complexity, depth, calls)",
-    "code_tokens_of_cases": "SELECT * FROM (VALUES " + _VALUES((i, _text(c[1])) for i, c in enumerate(CODE)) + ") AS t(\"case\", tokens)",
+    "code_primitives_of_texts": f"WITH {_LINES} SELECT doc_id, (1 + sum([0, 1, 3, 2][k]))::DOUBLE AS complexity, max([0, 1, 2, 1][k])::DOUBLE AS depth, (count(DISTINCT i % 5) FILTER (k = 1) + count(DISTINCT k) FILTER (k = 2 OR k = 3))::DOUBLE AS calls, NULL::VARCHAR AS reason FROM l GROUP BY doc_id",
+    "code_tokens_of_texts": f"WITH {_LINES}, t AS (SELECT doc_id, 'def NAME ( NAME ) : ' || string_agg([{', '.join(repr(x[1]) for x in STATEMENTS)}][k], ' ' ORDER BY i) || ' return NAME' AS t FROM l GROUP BY doc_id) SELECT doc_id, length(t) - length(replace(t, ' ', '')) + 1 AS tokens, sha256(t) AS sha256 FROM t",
     "empirical_residual_mass": f"WITH {_MASS} SELECT id, form, round(p, 6) AS p, prediction, accepted, round(score, 6) AS score, {_WHY} AS reason FROM y",
     "selective_diagnostics": f"WITH {_MASS}, g AS (SELECT form, label, count(*) AS n, count(*) FILTER (accepted) AS a, sum((prediction <> truth)::INT) FILTER (accepted) AS e FROM y GROUP BY ALL), h AS (SELECT form, sum(n)::BIGINT AS rows, sum(a)::BIGINT AS accepted, coalesce(sum(e), 0)::BIGINT AS errors, count(*) FILTER (a > 0) AS groups_with_acceptance, avg(e / a) FILTER (a > 0) AS mean_risk, stddev_pop(e / a) FILTER (a > 0) AS std_risk, min(e / a) FILTER (a > 0) AS min_risk, max(e / a) FILTER (a > 0) AS max_risk FROM g GROUP BY form) SELECT form, rows, accepted, rows - accepted AS refused, errors, groups_with_acceptance, CASE WHEN rows > accepted THEN 'refused_empirical_support_disagreement=' || (rows - accepted) ELSE '' END AS refusals, round(accepted / rows, 6) AS coverage, round(CASE WHEN accepted > 0 THEN errors / accepted END, 6) AS risk, round(mean_risk, 6) AS mean_risk, round(std_risk, 6) AS std_risk, round(min_risk, 6) AS min_risk, round(max_risk, 6) AS max_risk FROM h",
     "ordered_commitments": _D + " SELECT repository, sha256(string_agg(doc_id || '|' || lang || '|' || n_chars || chr(10), '' ORDER BY doc_id)) AS commitment, count(*) AS n FROM d GROUP BY 1",

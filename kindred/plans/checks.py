@@ -61,7 +61,7 @@ def payload_verdicts(spark, sf_dir):
 
 
 ORACLES = {
-    "matrix_round_trip": "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL",
+    "matrix_round_trip": "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6) + 0) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL",
     "broken_cache": "SELECT doc_id, doc_id % 7 <> 0 AS before, true AS after FROM documents",
     "isolated_failures": "SELECT click_id, CASE WHEN json_valid(props) THEN TRY_CAST(TRY(props ->> '$.k') AS BIGINT) END AS k, CASE WHEN props IS NULL THEN 'TypeError' WHEN NOT json_valid(props) THEN 'JSONDecodeError' END AS failed FROM clicks",
     "payload_verdicts": f"""WITH c AS (SELECT DISTINCT click_id, props, coalesce(json_valid(props), false) AS fine FROM clicks),

@@ -132,16 +132,17 @@ def workflow_steps(spark, sf_dir):
 
 
 def unit_rows(spark, sf_dir):
-    """Rows scaled to length 1, told by four of their components and their length."""
+    """Rows scaled to length 1, and their length."""
     e = Q._vectors(spark, sf_dir).select("id", V.unit(F.col("v")).alias("u"))
-    return e.select("id", *[F.round(F.get("u", F.lit(i)), 6).alias(f"u{i}") for i in range(4)], F.round(V.norm(F.col("u")), 6).alias("length"))
+    return e.select("id", F.transform("u", lambda x: F.round(x, 6)).alias("u"), F.round(V.norm(F.col("u")), 6).alias("length"))
 
 
 def standardised(spark, sf_dir):
-    """Four components less their mean, in population deviations."""
-    e = Q._vectors(spark, sf_dir).select("id", *[F.get("v", F.lit(i)).alias(f"v{i}") for i in range(4)])
-    m = e.agg(*[F.avg(f"v{i}").alias(f"m{i}") for i in range(4)], *[F.stddev_pop(f"v{i}").alias(f"s{i}") for i in range(4)])
-    return e.join(F.broadcast(m)).select("id", *[F.round((F.col(f"v{i}") - F.col(f"m{i}")) / F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(1.0), 6).alias(f"z{i}") for i in range(4)])  # one row
+    """All components less their mean, in population deviations (1 where that is 0)."""
+    e = Q._vectors(spark, sf_dir).select("id", *[F.get("v", F.lit(i)).alias(f"v{i}") for i in range(Q.DIM)])
+    m = e.agg(*[F.avg(f"v{i}").alias(f"m{i}") for i in range(Q.DIM)], *[F.stddev_pop(f"v{i}").alias(f"s{i}") for i in range(Q.DIM)]).first()
+    z = [F.round((F.col(f"v{i}") - F.lit(m[f"m{i}"])) / F.lit(m[f"s{i}"] or 1.0), 6) for i in range(Q.DIM)]
+    return e.select("id", F.array(*z).alias("z"))
 
 
 # the sweep: residual mass at five levels and the oracle, over all forms
@@ -174,7 +175,7 @@ ORACLES = {
     "graph_completeness": f"WITH {_CAND} SELECT edge_type, count(*) AS edges, count(*) FILTER (review_status = 'APPROVED') AS approved, count(*) FILTER (review_status = 'REJECTED') AS rejected, count(*) FILTER (review_status = 'UNRESOLVED') AS unresolved, count(*) FILTER (review_status = 'REVIEW_ONLY') AS review_only, count(*) FILTER (connecting) AS connecting FROM f GROUP BY 1",
     "evidence_outcome": f"WITH {_CAND}, k AS (SELECT (SELECT count(*) FROM documents WHERE source IS NULL) AS missing, (SELECT count(*) FROM f WHERE review_status = 'UNRESOLVED') AS unresolved, (SELECT count(*) FROM f WHERE connecting AND split_part(a, '/', 1) <> split_part(b, '/', 1)) AS crossings) SELECT 'all' AS what, CASE WHEN missing > 0 THEN 'METADATA_INCOMPLETE' WHEN unresolved > 0 THEN 'REVIEW_REQUIRED' WHEN crossings > 0 THEN 'ROLE_CROSSING_FOUND' ELSE 'NO_ROLE_CROSSING' END AS outcome FROM k UNION ALL SELECT 'reviewed', CASE WHEN crossings > 0 THEN 'ROLE_CROSSING_FOUND' ELSE 'NO_ROLE_CROSSING' END FROM k UNION ALL SELECT 'alone', 'NO_ROLE_CROSSING' FROM k",
     "workflow_steps": "WITH n AS (SELECT count(*) AS d, (SELECT count(*) FROM labels SEMI JOIN documents USING (doc_id)) AS l FROM documents) SELECT 0 AS step, 'count' AS name, 'COMPLETED' AS status, '{\"documents\":' || d || '}' AS output, true AS same FROM n UNION ALL SELECT 1, 'check', 'COMPLETED', '{\"documents\":' || d || ',\"labels\":' || l || '}', true FROM n UNION ALL SELECT 2, 'review', 'BLOCKED', '{\"unlabelled\":' || (d - l) || '}', true FROM n",
-    "unit_rows": f"WITH {_V}, u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM e) SELECT id, " + ", ".join(f"round(v[{i + 1}] / n, 6) AS u{i}" for i in range(4)) + ", 1.0::DOUBLE AS length FROM u",
-    "standardised": f"WITH {_V} SELECT id, " + ", ".join(f"round((v[{i + 1}] - avg(v[{i + 1}]) OVER ()) / stddev_pop(v[{i + 1}]) OVER (), 6) AS z{i}" for i in range(4)) + " FROM e",
+    "unit_rows": f"WITH {_V}, u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM e) SELECT id, list_transform(v, lambda x: round(x / n, 6) + 0) AS u, 1.0::DOUBLE AS length FROM u",
+    "standardised": f"WITH {_V}, x AS (SELECT id, i, v[i] AS x FROM e, range(1, 65) r(i)), z AS (SELECT id, i, round((x - avg(x) OVER w) / stddev_pop(x) OVER w, 6) + 0 AS z FROM x WINDOW w AS (PARTITION BY i)) SELECT id, list(z ORDER BY i) AS z FROM z GROUP BY id",
     "evaluation_sweep": f"WITH {P._MASS}, a AS (SELECT 'residual_mass' AS method, level, form, label, prediction, truth, p <= level OR p >= 1 - level AS accepted FROM y, (SELECT unnest([{', '.join(f'{b}::DOUBLE' for b in BETAS)}]) AS level) UNION ALL SELECT 'oracle', 0.02::DOUBLE, form, label, truth, truth, id IN (SELECT id FROM m WHERE list_min(list_transform(truth, lambda x: abs(x))) > 0.02) FROM y), g AS (SELECT method, level, form, label, count(*) AS n, count(*) FILTER (accepted) AS k, coalesce(sum((prediction <> truth)::INT) FILTER (accepted), 0) AS e FROM a GROUP BY ALL) SELECT method, level, form, sum(n)::BIGINT AS rows, sum(k)::BIGINT AS accepted, sum(e)::BIGINT AS errors, (sum(n) - sum(k))::BIGINT AS refused, round(sum(k) / sum(n), 6) AS coverage, round(CASE WHEN sum(k) > 0 THEN sum(e) / sum(k) END, 6) AS risk, round(stddev_pop(e / k) FILTER (k > 0), 6) AS std_risk FROM g GROUP BY ALL",
 }

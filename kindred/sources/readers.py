@@ -25,19 +25,6 @@ def any_of(df: DataFrame, *names: str):
     return F.coalesce(*there) if there else F.lit(None).cast("string")
 
 
-def read_npy(spark: SparkSession, path: str, keys: list, key_type: str = "long") -> DataFrame:
-    """A saved matrix of finite float32 or float64 rows, with one key per row, read in slices from the driver."""
-    import numpy as np
-
-    m = np.load(path, mmap_mode="r", allow_pickle=False)
-    if m.ndim != 2 or m.dtype not in (np.float32, np.float64) or len(m) != len(keys) or len(set(keys)) != len(keys):
-        raise ValueError(f"{path}: expected a float matrix of {len(keys)} rows with unique keys")
-    if not np.isfinite(m).all():
-        raise ValueError(f"{path}: not finite")
-    kind = "float" if m.dtype == np.float32 else "double"
-    return spark.createDataFrame([(k, row.tolist()) for k, row in zip(keys, m, strict=True)], f"key {key_type}, embedding array<{kind}>")
-
-
 def write_once(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Parquet; an existing target is an error."""
     w = df.write.mode("errorifexists")

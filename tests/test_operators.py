@@ -363,10 +363,6 @@ def test_outcome_precedence():
 
 
 def test_readers(spark, tmp_path):
-    np.save(tmp_path / "m.npy", np.eye(3, dtype=np.float32))
-    assert readers.read_npy(spark, str(tmp_path / "m.npy"), [1, 2, 3]).count() == 3
-    with pytest.raises(ValueError):
-        readers.read_npy(spark, str(tmp_path / "m.npy"), [1, 1, 2])
     df = spark.createDataFrame([(i, i % 2) for i in range(6)], "k int, g int")
     readers.write_once(df, str(tmp_path / "t"), ["g"])
     with pytest.raises(Exception, match="(?i)exists"):
