@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindred.storage import staged
+
 
 def canonical_json(value, ascii_only: bool = False) -> str:
     """Sorted keys, no spaces, finite numbers only. The two dialects give different bytes."""
@@ -45,12 +47,12 @@ def write_json(path: str | Path, value, replace: bool = False) -> None:
 def commitments(rows: DataFrame, by: list[str], key: str, line: str) -> DataFrame:
     """SHA-256 over the lines of each group in key order.
 
-    Two levels, so that no task holds more than a bucket of a group: lines are hashed by key bucket (leading
-    hex digits of the key's hash), and the buckets' hashes by group.
+    Two levels, so that a large group is read by many tasks: lines are hashed by key bucket (leading hex digits of the
+    key's hash), and the 256 buckets' hashes by group. Lines stream past in order; no bucket is held.
     """
-    bucket = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2)
-    inner = rows.groupBy(*by, bucket.alias("bucket")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(line).alias("l")))), lambda x: x["l"]), ""), 256).alias("h"), F.count("*").alias("n"))
-    return inner.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), ""), 256).alias("commitment"), F.sum("n").alias("n"))
+    bucketed = rows.withColumn("bucket", F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2))
+    inner = streamed_digests(bucketed, [*by, "bucket"], [key, line], F.col(line))
+    return inner.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "sha256"))), lambda x: x["sha256"]), ""), 256).alias("commitment"), F.sum("n").alias("n"))
 
 
 def streamed_digests(rows: DataFrame, by: list[str], order: list[str], piece: Column, before: str = "", between: str = "", after: str = "") -> DataFrame:
@@ -91,9 +93,21 @@ def streamed_digests(rows: DataFrame, by: list[str], order: list[str], piece: Co
 
 
 def chain_breaks(entries: DataFrame, by: list[str], sequence: str, payload: str) -> DataFrame:
-    """Entries of each chain with the hash that they must carry on from: sha256(previous payload) and a flag of gaps."""
-    order = W.partitionBy(*by).orderBy(sequence)
-    return entries.withColumn("entry_sha256", F.sha2(F.col(payload), 256)).withColumn("previous_sha256", F.lag("entry_sha256").over(order)).withColumn("gap", F.col(sequence) - F.lag(sequence).over(order))
+    """Entries of each chain with the hash that they must carry on from: sha256(previous payload) and a flag of gaps.
+
+    Entries are dealt to ranges of (chain, sequence), so a chain of any length lies in several; the first of a range
+    carries on from the last of the range before.
+    """
+    dealt = entries.withColumn("entry_sha256", F.sha2(F.col(payload), 256)).repartitionByRange(*by, sequence).withColumn("_range", F.spark_partition_id())
+    dealt = staged(dealt, "chains")
+    own = F.struct(F.struct(*by).alias("chain"), F.col(sequence).alias("at"), F.col("entry_sha256").alias("sha256"))
+    last = dealt.groupBy("_range").agg(F.max_by(own, F.struct(*by, sequence)).alias("_last"))
+    last = last.select("_range", F.lag("_last").over(W.orderBy("_range")).alias("_last"))  # one row for each range
+    before = F.coalesce(F.lag(own).over(W.partitionBy("_range").orderBy(*by, sequence)), F.col("_last"))
+    out = dealt.join(last, "_range").withColumn("_before", before)
+    same = F.col("_before.chain").eqNullSafe(F.struct(*by))
+    out = out.withColumn("previous_sha256", F.when(same, F.col("_before.sha256"))).withColumn("gap", F.when(same, F.col(sequence) - F.col("_before.at")))
+    return out.drop("_range", "_last", "_before")
 
 
 class Chain:

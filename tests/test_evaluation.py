@@ -198,3 +198,21 @@ def test_predicted_search_equals_sql_over_the_stored_predictions(spark, sf_dir,
     d AS (SELECT a.id AS q, b.id AS c, list_max(list_transform([1, 2, 3], lambda i: abs(a.predicted[i] - b.predicted[i]))) AS d FROM p a JOIN p b ON a.role = 'test' AND b.role = 'train'),
     r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, c) AS rk FROM d) SELECT q, c, rk, round(d, 6) FROM r WHERE rk <= 10"""
     assert got == sorted(duckdb.sql(sql).fetchall())
+
+
+# ledgers
+
+
+def test_a_chain_that_lies_in_several_ranges(spark):
+    import hashlib
+
+    from kindred.operators.ledger import chain_breaks
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [("a" if i < 900 else "b" if i < 901 else None, i, f"p{i}") for i in range(1000) if i % 97]
+    df = spark.createDataFrame(rows, "chain string, at long, payload string").repartition(5)
+    got = {r["at"]: (r["previous_sha256"], r["gap"]) for r in chain_breaks(df, ["chain"], "at", "payload").collect()}
+    want = {}
+    for before, row in zip([(0, 0, 0), *rows], rows, strict=False):
+        want[row[1]] = (sha(before[2]), row[1] - before[1]) if before[0] == row[0] else (None, None)
+    assert got == want
