@@ -126,10 +126,25 @@ def _ranked(spark, sf_dir) -> DataFrame:
 
 
 KS = (10, 50)
+#: Rank of a row that is not among the nearest.
+FAR = 1 << 30
+
+
+def _retrieved(spark, sf_dir, k: int = max(KS)) -> DataFrame:
+    """Rows that are among the k nearest of a query by the oracle or by the method, with both ranks and the oracle distance: all that measures down to k look at."""
+    e = staged(_vectors(spark, sf_dir).select("id", "label", "v", "y"), "vectors")
+
+    def found(vector: Column, metric: str, rank: str) -> DataFrame:
+        rows = e.select("id", vector.alias("v"))
+        return nearest(rows.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "q"), rows.withColumnRenamed("id", "c"), k, metric).select("q", "c", F.col("rk").alias(rank))
+
+    side = lambda s: e.select(F.col("id").alias(s), F.col("y").alias(f"{s}_y"), F.col("label").alias(f"{s}_label"))
+    both = found(F.col("v"), "cosine", "mrk").join(found(F.array("y"), "euclidean", "ork"), ["q", "c"], "full").join(side("q"), "q").join(side("c"), "c")
+    return both.select("q", "c", *[F.coalesce(r, F.lit(FAR)).alias(r) for r in ("ork", "mrk")], F.abs(F.col("q_y") - F.col("c_y")).alias("o"), "q_label", "c_label")
 
 
 def _per_query(spark, sf_dir, **metrics) -> DataFrame:
-    out = _ranked(spark, sf_dir).groupBy("q").agg(*[c.alias(n) for n, c in metrics.items()])
+    out = _retrieved(spark, sf_dir).groupBy("q").agg(*[c.alias(n) for n, c in metrics.items()])
     return out.select("q", *[F.round(n, 6).alias(n) for n in metrics])
 
 
@@ -148,16 +163,16 @@ def ndcg_at_k(spark, sf_dir):
 def within_tolerance_at_k(spark, sf_dir):
     e = _vectors(spark, sf_dir)
     tolerance = e.agg((F.stddev_pop("y") * 0.05).alias("tol"))
-    hit = _ranked(spark, sf_dir).where("mrk <= 10").join(F.broadcast(tolerance))  # one row
+    hit = _retrieved(spark, sf_dir, 10).where("mrk <= 10").join(F.broadcast(tolerance))  # one row
     return hit.groupBy("q").agg(F.round(F.avg((F.col("o") <= F.col("tol")).cast("double")), 6).alias("within"))
 
 
 def class_precision_recall_at_k(spark, sf_dir):
-    same = F.col("q_label") == F.col("c_label")
-    hits = F.sum((same & (F.col("mrk") <= 10)).cast("int"))
-    every = F.sum(same.cast("int"))
-    out = _ranked(spark, sf_dir).groupBy("q").agg((hits / F.least(F.lit(10), F.count(F.lit(1)))).alias("precision"), F.when(every > 0, hits / every).alias("recall"))
-    return out.select("q", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    hits = F.coalesce(F.sum(((F.col("q_label") == F.col("c_label")) & (F.col("mrk") <= 10)).cast("int")), F.lit(0))
+    out = _retrieved(spark, sf_dir, 10).groupBy("q", F.col("q_label").alias("label")).agg((hits / F.least(F.lit(10), F.count(F.lit(1)))).alias("precision"), hits.alias("hits"))
+    sizes = _vectors(spark, sf_dir).groupBy("label").agg((F.count("*") - 1).alias("others"))  # of a query's label, but for the query
+    out = out.join(sizes, "label", "left")
+    return out.select("q", F.round("precision", 6).alias("precision"), F.round(F.when(F.col("others") > 0, F.col("hits") / F.col("others")), 6).alias("recall"))
 
 
 def average_precision(spark, sf_dir):
@@ -185,7 +200,7 @@ def oracle_rank_percentiles(spark, sf_dir):
 
 def retrieval_summary(spark, sf_dir):
     """Means over queries, each query counting alike."""
-    per = _ranked(spark, sf_dir).groupBy("q").agg(R.recall_at(10).alias("r"), R.regret_at(10).alias("g"), R.constraint_error_at(10).alias("x"))
+    per = _retrieved(spark, sf_dir, 10).groupBy("q").agg(R.recall_at(10).alias("r"), R.regret_at(10).alias("g"), R.constraint_error_at(10).alias("x"))
     return per.agg(F.round(F.avg("r"), 6).alias("recall_10"), F.round(F.avg("g"), 6).alias("regret_10"), F.round(F.avg("x"), 6).alias("constraint_error_10"), F.count("*").alias("queries"))
 
 
