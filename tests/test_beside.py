@@ -9,8 +9,20 @@ from pyspark.sql import functions as F
 
 from kindred.operators import beside as B
 from kindred.operators import hard_negatives as H
+from kindred.operators import retrieval as R
 from conftest import same_rows
 
+WHOLE = ("ndcg_at_k", "average_precision", "spearman_per_query", "triplet_accuracy_halves", "triplet_accuracy_pairweighted", "oracle_rank_percentiles")
+
+
+def vectors(spark, path, n=60):
+    r = random.Random(3)
+    rows = [(i, [float(r.randrange(-2, 3)) for _ in range(64)], r.choice([0, 1, None])) for i in range(n)]
+    rows = [(i, rows[i - 1][1] if i % 7 == 0 and i else v, k) for i, v, k in rows]  # copies are ties
+    spark.createDataFrame([*rows, (n, None, 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return f"{path}"
+
+
 def documents(spark, path, n=400):
     r = random.Random(5)
     rows = [(i, r.choice(["x,", "y.", "z\n", "w"]) * r.randrange(1, 9) + "," * r.randrange(4), r.choice("ab"), "en") for i in range(n)]
@@ -19,6 +31,22 @@ def documents(spark, path, n=400):
     return f"{path}"
 
 
+@pytest.mark.parametrize("name", WHOLE)
+def test_no_row_for_a_pair(spark, tmp_path, name):
+    """Nothing is joined and nothing exploded but packs, so nothing of that size is broadcast or sorted; ties and a missing vector as in SQL."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    path = vectors(spark, tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet/*.parquet'")
+    df = queries()[name](spark, path)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    same_rows(df, con, oracle_sql()[name])
+
+
 @pytest.mark.parametrize("name", ["hard_negative_pairs", "hard_negative_accuracy", "hard_negative_decision", "accuracy_by_decile", "leave_one_group_out", "manifest_checks"])
 def test_hard_negatives_of_many_ties(spark, tmp_path, name):
     import duckdb
@@ -62,3 +90,4 @@ def test_ranks_and_smallest():
     x = np.array([2.0, np.nan, 1.0, 2.0, np.nan])
     assert B.average_ranks(x).tolist() == [2.5, 4.5, 1.0, 2.5, 4.5]
     assert B.smallest(x, 2).tolist() == [2, 0] and B.smallest(x, 4).tolist() == [2, 0, 3, 1]
+    assert R.spearman_of({"q": 1}, {}, np.ones(3), np.arange(3.0))["rho"] == [None]
