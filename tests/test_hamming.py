@@ -54,3 +54,22 @@ def test_pairs_of_rows(spark):
     got = D.pairs_within(spark.createDataFrame(rows, "k long, s string, h string").withColumn("table", F.lit(1)), "k", "h", ["s"])
     assert sorted(map(tuple, got.collect())) == [(1, 2, 0), (2, 3, 3), (3, 4, 1)]
     assert D.near_prints(spark.createDataFrame([], "h string"), "h").count() == 0
+
+
+def test_exploded_prints_are_not_broadcast(spark, tmp_path):
+    """Twenty rows for each print, from an estimate of one: a stored table of prints must not lead to a broadcast."""
+    spark.range(2000).select(F.xxhash64("id").alias("f")).write.parquet(f"{tmp_path}/prints")
+    plan = D.hamming_candidates(spark.read.parquet(f"{tmp_path}/prints"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_copies_are_counted_not_paired(spark, tmp_path):
+    """Three thousand copies in two sources: millions of pairs, of which no join makes a row."""
+    from __spark_entry__ import queries
+
+    text = "one two three four five six seven"
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"), F.lit("en").alias("lang"), F.lit(len(text)).cast("long").alias("n_chars"))
+    d.unionByName(d.limit(1).withColumns({"doc_id": F.lit(9999).cast("long"), "source": F.lit(None).cast("string")})).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries()["near_pair_classes"](spark, str(tmp_path))
+    assert "doc_id" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [("exact", 0, 1000 * 2000)]
