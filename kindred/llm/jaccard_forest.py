@@ -313,7 +313,8 @@ def jaccard_classes(
     nodes = staged(nodes, "nodes", few=True)
     shown = staged(meet(level, nodes.where("n > 2").select("node", "n"), "node", "n").select("i", "g", "tree", "node"), "across", few=True)
     lists = staged(shown.groupBy("i", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("tree", "node"))), lambda t: t["node"]).alias("nodes")), "lists", few=True)
-    tiles = with_tiles(shown.select("i", "node").join(lists.join(sets, "i"), "i"), "node", "c", block, "size", BLOCK_ITEMS)
+    # one row of each text meets its sets, and then goes to its nodes, of which each tree has one at most
+    tiles = with_tiles(lists.join(sets, "i").withColumn("node", F.explode("nodes")), "node", "c", block, "size", BLOCK_ITEMS)
     crossed = _compare(tiles, ["node", "tile_a", "tile_b"], threshold, True)
     twos = nodes.where("n = 2").select("i", "h").distinct().join(stars.where(F.col("s") >= threshold), ["i", "h"])
     twos = twos.join(lists.select("i", F.col("nodes").alias("of_i")), "i", "left").join(lists.select(F.col("i").alias("h"), F.col("nodes").alias("of_h")), "h", "left")
