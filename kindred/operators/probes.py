@@ -152,11 +152,16 @@ class Logistic:
 
 
 def fit_logistic(rows: DataFrame, vector: str, label: str, c: float = 1.0, tol: float = 1e-9, most: int = 100) -> Logistic:
-    """Logistic regression with an L2 penalty of 1 / (2 c) on all but the intercept, by Newton steps.
+    """The one model of ``fit_logistics`` for one penalty."""
+    return fit_logistics(rows, vector, label, [c], tol, most)[0]
 
-    A step is one pass in which each task adds up loss, gradient and Hessian; only their sums, (d + 2)
-    squared numbers, reach the driver. Rows with a null vector or label take no part; labels of one class
-    raise. ``rows`` are read once a step: stage them if they are costly.
+
+def fit_logistics(rows: DataFrame, vector: str, label: str, cs: Sequence[float], tol: float = 1e-9, most: int = 100) -> list[Logistic]:
+    """Logistic regressions with L2 penalties of 1 / (2 c) on all but the intercept, by Newton steps; one model for each c.
+
+    A step is one pass for all models that have not converged, in which each task adds up loss, gradient and Hessian of
+    each; only their sums, (d + 2) squared numbers for a model, reach the driver. Rows with a null vector or label take no
+    part; labels of one class raise. ``rows`` are read once a step: stage them if they are costly.
     """
     src = rows.select(V.wide(vector).alias("v"), F.col(label).cast("double").alias("y")).where("v is not null and y is not null")
     sides = src.agg(F.max(F.size("v")).alias("d"), F.min("y").alias("low"), F.max("y").alias("high")).first()
@@ -164,44 +169,52 @@ def fit_logistic(rows: DataFrame, vector: str, label: str, c: float = 1.0, tol:
         raise ValueError("labels of both classes are needed")
     d = sides["d"]
 
-    def sums(at: np.ndarray) -> np.ndarray:
+    def sums(at: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
         def local(batches: Iterable):
-            import pandas as pd
-
-            held = np.zeros((d + 2, d + 2))
-            for pdf in batches:
-                x = np.column_stack([np.array(pdf["v"].tolist(), dtype=np.float64), np.ones(len(pdf))])
-                y, z = pdf["y"].to_numpy(dtype=np.float64), x @ at
-                p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-                held[: d + 1, : d + 1] += (x * (p * (1 - p))[:, None]).T @ x
-                held[: d + 1, d + 1] += x.T @ (p - y)
-                held[d + 1, d + 1] += (np.logaddexp(0, z) - y * z).sum()
-            yield pd.DataFrame({"i": range(d + 2), "row": list(held)})
-
-        out = np.zeros((d + 2, d + 2))
-        for r in _added(src.mapInPandas(local, "i int, row array<double>"), ["i"], d + 2):
-            out[r["i"]] = r[1:]
-        ridge = np.append(np.full(d, 1 / c), 0.0)
-        out[: d + 1, : d + 1] += np.diag(ridge)
-        out[: d + 1, d + 1] += ridge * at
-        out[d + 1, d + 1] += (ridge * at * at).sum() / 2
+            import pyarrow as pa
+
+            held = {m: np.zeros((d + 2, d + 2)) for m in at}
+            for b in batches:
+                # no row is longer than d, so this fails where one is shorter
+                v = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d)
+                x, y = np.column_stack([v, np.ones(len(v))]), b.column(1).to_numpy(zero_copy_only=False)
+                for m, h in held.items():
+                    z = x @ at[m]
+                    p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                    h[: d + 1, : d + 1] += (x * (p * (1 - p))[:, None]).T @ x
+                    h[: d + 1, d + 1] += x.T @ (p - y)
+                    h[d + 1, d + 1] += (np.logaddexp(0, z) - y * z).sum()
+            key = [(m, i) for m in held for i in range(d + 2)]
+            row = [held[m][i] for m, i in key]
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in key], pa.int32()), pa.array([i for _, i in key], pa.int32()), pa.array(row, pa.list_(pa.float64()))], ["m", "i", "row"])
+
+        out = {m: np.zeros((d + 2, d + 2)) for m in at}
+        for r in _added(src.mapInArrow(local, "m int, i int, row array<double>"), ["m", "i"], d + 2):
+            out[r["m"]][r["i"]] = r[2:]
+        for m, h in out.items():
+            ridge = np.append(np.full(d, 1 / cs[m]), 0.0)
+            h[: d + 1, : d + 1] += np.diag(ridge)
+            h[: d + 1, d + 1] += ridge * at[m]
+            h[d + 1, d + 1] += (ridge * at[m] * at[m]).sum() / 2
         return out
 
-    at = np.zeros(d + 1)
-    now, step = sums(at), None
+    at = {m: np.zeros(d + 1) for m in range(len(cs))}
+    now, step = sums(at), {}
     for _ in range(most):
-        if np.abs(now[: d + 1, d + 1]).max() <= tol * max(1.0, now[d + 1, d + 1]):
+        left = [m for m, h in now.items() if not np.abs(h[: d + 1, d + 1]).max() <= tol * max(1.0, h[d + 1, d + 1])]
+        if not left:
             break
-        if step is None:
-            step = -np.linalg.solve(now[: d + 1, : d + 1], now[: d + 1, d + 1])
-        new = sums(at + step)
-        if new[d + 1, d + 1] > now[d + 1, d + 1] * (1 + 1e-12):
-            step = step / 2
-            continue
-        at, now, step = at + step, new, None
+        for m in left:
+            if m not in step:
+                step[m] = -np.linalg.solve(now[m][: d + 1, : d + 1], now[m][: d + 1, d + 1])
+        for m, new in sums({m: at[m] + step[m] for m in left}).items():
+            if new[d + 1, d + 1] > now[m][d + 1, d + 1] * (1 + 1e-12):
+                step[m] = step[m] / 2
+            else:
+                at[m], now[m] = at[m] + step.pop(m), new
     else:
         raise RuntimeError(f"no convergence in {most} steps")
-    return Logistic(at[:-1], float(at[-1]))
+    return [Logistic(at[m][:-1], float(at[m][-1])) for m in range(len(cs))]
 
 
 def perceptron(fit: DataFrame, rows: DataFrame, vector: str, label: str, hidden: Sequence[int] = (32, 16), seed: int = 17, steps: int = 200) -> DataFrame:

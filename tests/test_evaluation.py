@@ -109,6 +109,42 @@ def test_average_precision_and_spearman_edges(spark):
     assert {x["g"]: x["spearman"] for x in R.spearman(df, ["g"], "x", "y").collect()} == {"a": -1.0, "b": None, "d": 1.0}
 
 
+def test_average_precisions_are_those_of_each_group(spark):
+    r = random.Random(11)
+    rows = [(r.choice("abc"), r.choice([None, 0.5, -0.0, 0.0, r.random()]), r.choice([None, 0, 1, 1])) for _ in range(900)] + [("none", 0.5, 0), ("one", 0.1, 1), (None, 0.9, 1), ("gone", None, 1)]
+    df = spark.createDataFrame(rows, "g string, s double, p int").repartition(7)
+    got = R.average_precisions(df, "g", "s", "p")
+    want = {g: R.average_precision(df.where(F.col("g") == g), "s", "p") for g in ("a", "b", "c")}
+    assert set(got) == {"a", "b", "c", "none", "one"} and got["none"] is None and got["one"] == 1.0
+    assert all(abs(got[g] - want[g]) < 1e-12 for g in want)
+
+
+@pytest.mark.parametrize("files", [1, 6])
+def test_fits_of_signs_are_dealt_by_rows_whatever_the_files(spark, sf_dir, tmp_path, monkeypatch, files):
+    from kindred.plans import evaluation as E
+
+    monkeypatch.setattr(E, "FIT_ROWS", 100)
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    odd = spark.createDataFrame([(900_001, None, 1), (900_002, [9.0] * 40 + [None] + [9.0] * 23, 1)], e.schema)
+    e.unionByName(odd).repartition(files).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = E._signs(spark, str(tmp_path)).withColumn("part", F.spark_partition_id()).collect()
+    n = e.count()
+    assert len({r["part"] for r in got}) > 1 and max(Counter(r["part"] for r in got).values()) < 200 and len(got) == n + 2
+    own = {k: [r["id"] for r in got if r["part"] == k] for k in {r["part"] for r in got}}
+    assert all(ids == sorted(ids) for ids in own.values())
+    want = e.unionByName(odd).select("vec_id", "embedding", F.pmod(F.crc32(F.col("vec_id").cast("string")), F.lit(5)).alias("fold")).collect()
+    x = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in want if r["embedding"] is not None}
+    train = np.array([x[r["vec_id"]] for r in want if r["fold"] < 3 and r["vec_id"] < 900_000])
+    mean, sd = train.mean(axis=0)[:4], train.std(axis=0)[:4]
+    for r in got:
+        if r["id"] == 900_001:
+            assert r["plain"] is None and r["products"] is None and r["same"] is None
+            continue
+        z = (x[r["id"]][:4] - mean) / sd
+        assert np.allclose(r["plain"], z) and r["same"] == int(x[r["id"]][0] * x[r["id"]][1] > 0)
+        assert np.allclose(r["products"], [*z, z[0] * z[1], z[0] * z[2], z[0] * z[3], z[1] * z[2], z[1] * z[3], z[2] * z[3]])
+
+
 # cross-validation
 
 

@@ -155,6 +155,22 @@ def test_logistic_is_at_the_optimum(spark):
         P.fit_logistic(rows.where("l = 1"), "v", "l")
 
 
+def test_logistics_of_several_penalties_share_their_passes(spark, monkeypatch):
+    x, y, rows = _noisy(spark)
+    cs, passes, added = [0.01, 1.0, 100.0], [], P._added
+    monkeypatch.setattr(P, "_added", lambda *a: passes.append(1) or added(*a))
+    alone = [P.fit_logistic(rows, "v", "l", c) for c in cs]
+    each, passes[:] = len(passes), []
+    for c, m, one in zip(cs, P.fit_logistics(rows.repartition(3), "v", "l", cs), alone, strict=True):
+        p = 1 / (1 + np.exp(-(x @ m.w + m.b)))
+        assert np.allclose(x.T @ (p - (y > 0)) + m.w / c, 0, atol=1e-6) and abs((p - (y > 0)).sum()) < 1e-6
+        assert np.allclose(m.w, one.w, atol=1e-9) and abs(m.b - one.b) < 1e-9
+    assert len(passes) < each / 2
+    short = spark.createDataFrame([([1.0, 2.0], 0), ([1.0, 2.0, 3.0], 1), ([1.0], 0)], "v array<double>, l int")
+    with pytest.raises(Exception, match="reshape"):
+        P.fit_logistics(short, "v", "l", [1.0])
+
+
 def test_pls_against_deflation(spark):
     x, y, rows = _noisy(spark)
     g = P.grams(rows.withColumn("f", F.lit(0)), "v", "y", "f")[0]
