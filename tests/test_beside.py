@@ -86,6 +86,32 @@ def test_blocks_hold_few_bytes(spark, monkeypatch):
     assert sorted((r["q"], r["n"], r["s"]) for r in got) == [(i, 299, float(sum(abs(i - j) for j in range(i % 2, 600, 2)))) for i in range(0, 600, 10)]
 
 
+def test_only_places_around_changes(spark, tmp_path, monkeypatch):
+    """Copies are folded, in parts: a query meets at most the ends of each distance, however many copies there are, with all pairs that are few places apart and their places."""
+    monkeypatch.setattr(B, "FOLD_ROWS", 50)
+    rows = spark.range(900).select(F.col("id").alias("c"), (F.col("id") % 2).cast("int").alias("g"), ((F.col("id") * 7) % 11 % 4).cast("double").alias("x"), (F.col("id") * 3).cast("double").alias("m"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    gaps = lambda a, b: np.abs(a["x"][:, None] - b["x"])
+
+    def pairs(query, found, o):
+        two = [(i, j) for i in range(len(o)) for j in range(i + 1, min(i + 4, len(o))) if o[i] != o[j]]
+        return {"q": [query["q"]], "n": [len(o)], "s": [sorted(f"{found['c'][i]} {found['c'][j]} {found['place'][i]} {found['place'][j]} {found['m'][i]:.0f}" for i, j in two)]}
+
+    folded = B.cells(rows, ["g", "x"], 4, ["m"])
+    assert folded.agg(F.count("*"), F.sum("n"), F.max(F.size("c"))).first()[:] == (8, 900, 8)
+    q = rows.where("c % 10 = 3 or c % 100 = 8").withColumnRenamed("c", "q")
+    got = {r["q"]: r for r in B.changes_beside(q, folded, gaps, pairs, "q long, n long, s array<string>", "g", ("x",), 3).collect()}
+    every = sorted(r[:] for r in rows.collect())
+    assert len(got) == 99
+    for i, r in got.items():
+        own = every[i]
+        assert r["n"] <= 4 * 8
+        ranked = sorted((abs(x - own[2]), c, m) for c, g, x, m in every if g == own[1] and c != i)
+        want = [f"{ranked[a][1]} {ranked[b][1]} {a} {b} {ranked[a][2]:.0f}" for a in range(len(ranked)) for b in range(a + 1, min(a + 4, len(ranked))) if ranked[a][0] != ranked[b][0]]
+        assert r["s"] == sorted(want)
+
+
 def test_ranks_and_smallest():
     x = np.array([2.0, np.nan, 1.0, 2.0, np.nan])
     assert B.average_ranks(x).tolist() == [2.5, 4.5, 1.0, 2.5, 4.5]
