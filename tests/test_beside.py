@@ -61,6 +61,22 @@ def test_hard_negatives_of_many_ties(spark, tmp_path, name):
     same_rows(df, con, oracle_sql()[name])
 
 
+def test_accuracy_of_all_documents(spark, tmp_path):
+    """Every document that has pairs is a query, whatever its key; a missing length wins no pair, and a missing text is in none."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    d = spark.read.parquet(documents(spark, tmp_path / "all", 300) + "/documents.parquet").withColumn("doc_id", F.col("doc_id") * 20 + 7)
+    gone = lambda c, k: F.when(F.col("doc_id") % 11 != k, F.col(c)).alias(c)
+    d.select("doc_id", gone("text", 1), "source", "lang", gone("n_chars", 2)).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = queries()["hard_negative_accuracy"](spark, f"{tmp_path}")
+    assert df.count() == d.where("doc_id % 11 <> 1").count()
+    same_rows(df, con, oracle_sql()["hard_negative_accuracy"])
+
+
 @pytest.mark.parametrize("hashed", [7, 1 << 16])
 def test_pairs_of_one_query(monkeypatch, hashed):
     """All pairs of places 2 to 5 apart that differ, the smallest hashes first, however many are hashed at once; a missing distance is in none."""
