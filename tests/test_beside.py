@@ -61,7 +61,8 @@ def test_hard_negatives_of_many_ties(spark, tmp_path, name):
     same_rows(df, con, oracle_sql()[name])
 
 
-def test_accuracy_of_all_documents(spark, tmp_path):
+@pytest.mark.parametrize("name", ["hard_negative_accuracy", "accuracy_by_decile"])
+def test_accuracy_of_all_documents(spark, tmp_path, name):
     """Every document that has pairs is a query, whatever its key; a missing length wins no pair, and a missing text is in none."""
     import duckdb
 
@@ -72,9 +73,19 @@ def test_accuracy_of_all_documents(spark, tmp_path):
     d.select("doc_id", gone("text", 1), "source", "lang", gone("n_chars", 2)).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    df = queries()["hard_negative_accuracy"](spark, f"{tmp_path}")
-    assert df.count() == d.where("doc_id % 11 <> 1").count()
-    same_rows(df, con, oracle_sql()["hard_negative_accuracy"])
+    df = queries()[name](spark, f"{tmp_path}")
+    assert (df.count() if "queries" not in df.columns else df.agg(F.sum("queries")).first()[0]) == d.where("doc_id % 11 <> 1").count()
+    same_rows(df, con, oracle_sql()[name])
+
+
+def test_accuracy_of_all_pairs():
+    """More pairs than a manifest holds all count, ties half."""
+    r = np.random.default_rng(2)
+    o, x = np.sort(r.integers(0, 40, 300)).astype(float), r.integers(0, 5, 300).astype(float)
+    pairs = [(x[i], x[j]) for i in range(300) for j in range(i + 5, min(i + 26, 300)) if o[i] != o[j]]
+    got = H.separated_accuracy(5, 25, lambda query, found: found["x"])({"q": 1}, {"x": x}, o)
+    assert len(pairs) > 128 and got["accuracy"] == [pytest.approx(sum(0.5 if a == b else a < b for a, b in pairs) / len(pairs), abs=1e-12)]
+    assert H.separated_accuracy(5, 25, lambda query, found: found["x"])({"q": 1}, {"x": x[:4]}, o[:4]) is None
 
 
 @pytest.mark.parametrize("hashed", [7, 1 << 16])
