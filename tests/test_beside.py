@@ -113,6 +113,41 @@ def test_blocks_hold_few_bytes(spark, monkeypatch):
     assert sorted((r["q"], r["n"], r["s"]) for r in got) == [(i, 299, float(sum(abs(i - j) for j in range(i % 2, 600, 2)))) for i in range(0, 600, 10)]
 
 
+@pytest.mark.parametrize("hashed", [50, 1 << 16])
+def test_spark_hashes_runs(spark, tmp_path, monkeypatch, hashed):
+    """Far more pairs than are kept are hashed by Spark, in one piece or many; the smallest come whole, with their ranks and what they carry."""
+    rows = spark.range(300).select(F.col("id").alias("c"), F.lit(0).alias("g"), (F.col("id") * 7 % 40).cast("double").alias("x"), (F.col("id") * 3).cast("double").alias("m"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    q = rows.where("c % 50 = 0").withColumnRenamed("c", "q")
+    gaps = lambda a, b: np.abs(a["x"][:, None] - b["x"])
+    inner = H.runs_of(5, 25, "s", 64, lambda query, found, at: {"m": found["m"][at]})
+
+    def runs(query, found, o):
+        H.HASHED = hashed
+        return inner(query, found, o)
+
+    out = B.changes_beside(q, B.cells(rows, ["g", "x"], 26, ["m"]), gaps, runs, H.runs_schema(("m",)), "g", ("x",), 25)
+    assert {r[0] for r in out.select(F.length("limit")).collect()} == {16}
+    schema = "q long, pair_order int, selection_sha256 string, closer long, farther long, closer_rank long, farther_rank long, closer_m double, farther_m double"
+    got = sorted(r[:] for r in H.hashed_runs(out, 64, ("m",), (), lambda x: x, schema).collect())
+    every, want = sorted(r[:] for r in rows.collect()), []
+    for i in range(0, 300, 50):
+        ranked = sorted((abs(x - every[i][2]), c, m) for c, _, x, m in every if c != i)
+        two = [(a, b) for a in range(299) for b in range(a + 5, min(a + 26, 299)) if ranked[a][0] != ranked[b][0]]
+        digests = sorted((hashlib.sha256(f"s\n{i}\n{ranked[a][1]}\n{ranked[b][1]}".encode()).hexdigest(), a, b) for a, b in two)[:64]
+        want += [(i, k, h, ranked[a][1], ranked[b][1], a + 1, b + 1, ranked[a][2], ranked[b][2]) for k, (h, a, b) in enumerate(digests)]
+    assert got == want
+
+
+def test_keys_that_are_not_unique():
+    """Equal digests have no limit: such a query is hashed at once."""
+    o, ids = np.repeat([0.0, 1.0], 200), np.repeat([5, 6], 200)
+    found = {"c": ids, "place": np.arange(400)}
+    (got,) = H.runs_of(5, 25, "s", 128, lambda query, found, at: {})({"q": 9}, found, o)
+    assert set(got["limit"]) == {"g"} and len(got["farther"]) == 128 and set(got["pairs"]) == {128}
+
+
 def test_only_places_around_changes(spark, tmp_path, monkeypatch):
     """Copies are folded, in parts: a query meets at most the ends of each distance, however many copies there are, with all pairs that are few places apart and their places."""
     monkeypatch.setattr(B, "FOLD_ROWS", 50)
